@@ -75,15 +75,25 @@ def capped(points: Column, limit: int) -> Column:
     return F.least(points, F.lit(limit))
 
 
-def check(name: str, status: str, detail) -> Column:
-    detail = F.lit(detail) if isinstance(detail, str) else detail
-    return F.struct(
-        F.lit(name).alias("name"), F.lit(status).alias("status"), detail.alias("detail")
-    )
-
+def checks_array(*items: tuple) -> Column:
+    """Array of {name, status, detail} for the items (condition, name, status, detail)
+    whose condition holds, in order.
 
-def checks_array(*items: Column) -> Column:
-    return F.array_compact(F.array(*items))
+    Conditions and details are two flat arrays and names are constants: this keeps the
+    generated code far below the size limits that a struct per case would exceed.
+    """
+    conditions = F.array(*[F.coalesce(c, F.lit(False)) for c, *_ in items])
+    details = F.array(*[F.lit(d) if isinstance(d, str) else d for *_, d in items])
+    named = F.array(
+        *[F.struct(F.lit(n).alias("name"), F.lit(s).alias("status")) for _, n, s, _ in items]
+    )
+    pairs = F.arrays_zip(conditions.alias("holds"), named.alias("of"), details.alias("detail"))
+    return F.transform(
+        F.filter(pairs, lambda x: x["holds"]),
+        lambda x: F.struct(
+            x["of"]["name"].alias("name"), x["of"]["status"].alias("status"), x["detail"].alias("detail")
+        ),
+    )
 
 
 def _accent_pairs() -> tuple[str, str]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark import lexicon
-from riskspark.functions.text import capped, check, checks_array, keyword_hits, shown
+from riskspark.functions.text import capped, checks_array, keyword_hits, shown
 
 Get = Callable[[str], Column]
 
@@ -67,12 +67,12 @@ def count_any(text: Column, chars: str) -> Column:
 
 
 def with_scheme(get: Get) -> dict[str, Column]:
-    url = get("url")
-    return _absolute(F.when(url.contains("://"), url).otherwise(F.concat(F.lit("http://"), url)))
+    url = F.coalesce(get("url"), F.lit(""))
+    return {"url": url} | _absolute(F.when(url.contains("://"), url).otherwise(F.concat(F.lit("http://"), url)))
 
 
 def as_given(get: Get) -> dict[str, Column]:
-    return _absolute(get("url"))
+    return _absolute(F.coalesce(get("url"), F.lit("")))
 
 
 def _absolute(text: Column) -> dict[str, Column]:
@@ -244,80 +244,53 @@ def checks(get: Get) -> dict[str, Column]:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
 
     quoted_tld = text('TLD "', get("tld"), '"')
-    items = [
-        F.when(
-            get("url_length") > 75,
-            check("Excessive URL Length", "fail", text(number("url_length"), " characters (suspicious > 75)")),
-        ).otherwise(check("URL Length", "pass", text(number("url_length"), " characters (normal)"))),
-        F.when(
-            get("dot_count") > 4,
-            check("Excessive Dots", "fail", text(number("dot_count"), " dots found")),
-        ),
-        F.when(
-            get("special_char_count") > 2,
-            check("Special Characters", "fail", text(number("special_char_count"), " suspicious characters")),
-        ),
-        F.when(
-            get("has_at_symbol"),
-            check("@ Symbol in URL", "fail", "URL contains @ symbol (redirect trick)"),
-        ),
-        F.when(
-            get("ip_hostname"),
-            check("IP-based Hostname", "fail", "Uses IP address instead of domain name"),
-        ).otherwise(check("IP-based Hostname", "pass", "Uses domain name")),
-        F.when(get("uses_https"), check("HTTPS Protocol", "pass", "Secure connection")).otherwise(
-            check("HTTPS Protocol", "fail", "No HTTPS - insecure connection")
-        ),
-        F.when(
-            get("subdomain_depth") > 2,
-            check("Deep Subdomains", "fail", text(number("subdomain_depth"), " subdomain levels")),
-        ),
-        F.when(
-            get("path_length") > 50,
-            check("Long Path", "fail", text(number("path_length"), " characters in path")),
-        ),
-        F.when(
-            get("suspicious_tld"),
-            check("Suspicious TLD", "fail", text(quoted_tld, " is commonly used in phishing")),
-        ).otherwise(check("TLD Check", "pass", text(quoted_tld, " is standard"))),
-        F.when(
-            get("url_shortener"),
-            check("URL Shortener", "warn", "Shortened URL hides true destination"),
-        ),
-        F.when(
-            get("high_entropy"),
-            check(
-                "High Entropy Hostname",
-                "fail",
-                text("Entropy: ", F.format_string("%.2f", get("hostname_entropy")), " (random-looking domain)"),
+    long, ip, https, tld = (
+        get("url_length") > 75, get("ip_hostname"), get("uses_https"), get("suspicious_tld")
+    )
+    entropy = F.format_string("%.2f", get("hostname_entropy"))
+    return {
+        "checks": checks_array(
+            (long, "Excessive URL Length", "fail", text(number("url_length"), " characters (suspicious > 75)")),
+            (~long, "URL Length", "pass", text(number("url_length"), " characters (normal)")),
+            (get("dot_count") > 4, "Excessive Dots", "fail", text(number("dot_count"), " dots found")),
+            (
+                get("special_char_count") > 2, "Special Characters", "fail",
+                text(number("special_char_count"), " suspicious characters"),
             ),
-        ),
-        F.when(
-            get("typosquatting"),
-            check("Typosquatting Detected", "fail", text('Impersonating "', get("typosquat_brand"), '"')),
-        ),
-        F.when(
-            F.size(get("suspicious_keywords")) >= 2,
-            check("Suspicious Keywords", "fail", text("Found: ", shown(get("suspicious_keywords"), 5))),
-        ),
-        F.when(
-            get("hyphen_count") > 2,
-            check("Excessive Hyphens", "fail", text(number("hyphen_count"), " hyphens in domain")),
-        ),
-        F.when(
-            get("unusual_port"),
-            check("Unusual Port", "fail", text("Port ", number("port"), " (non-standard)")),
-        ),
-        F.when(
-            get("double_slash_path"),
-            check("Double Slash in Path", "warn", "Redirect trick detected"),
-        ),
-        F.when(
-            get("suspicious_params"),
-            check("Suspicious Parameters", "fail", "Query contains sensitive parameter names"),
-        ),
-    ]
-    return {"checks": checks_array(*items)}
+            (get("has_at_symbol"), "@ Symbol in URL", "fail", "URL contains @ symbol (redirect trick)"),
+            (ip, "IP-based Hostname", "fail", "Uses IP address instead of domain name"),
+            (~ip, "IP-based Hostname", "pass", "Uses domain name"),
+            (https, "HTTPS Protocol", "pass", "Secure connection"),
+            (~https, "HTTPS Protocol", "fail", "No HTTPS - insecure connection"),
+            (
+                get("subdomain_depth") > 2, "Deep Subdomains", "fail",
+                text(number("subdomain_depth"), " subdomain levels"),
+            ),
+            (get("path_length") > 50, "Long Path", "fail", text(number("path_length"), " characters in path")),
+            (tld, "Suspicious TLD", "fail", text(quoted_tld, " is commonly used in phishing")),
+            (~tld, "TLD Check", "pass", text(quoted_tld, " is standard")),
+            (get("url_shortener"), "URL Shortener", "warn", "Shortened URL hides true destination"),
+            (
+                get("high_entropy"), "High Entropy Hostname", "fail",
+                text("Entropy: ", entropy, " (random-looking domain)"),
+            ),
+            (
+                get("typosquatting"), "Typosquatting Detected", "fail",
+                text('Impersonating "', get("typosquat_brand"), '"'),
+            ),
+            (
+                F.size(get("suspicious_keywords")) >= 2, "Suspicious Keywords", "fail",
+                text("Found: ", shown(get("suspicious_keywords"), 5)),
+            ),
+            (get("hyphen_count") > 2, "Excessive Hyphens", "fail", text(number("hyphen_count"), " hyphens in domain")),
+            (get("unusual_port"), "Unusual Port", "fail", text("Port ", number("port"), " (non-standard)")),
+            (get("double_slash_path"), "Double Slash in Path", "warn", "Redirect trick detected"),
+            (
+                get("suspicious_params"), "Suspicious Parameters", "fail",
+                "Query contains sensitive parameter names",
+            ),
+        )
+    }
 
 
 RULES = [*PARTS, rule_features, rule_flags]

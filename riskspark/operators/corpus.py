@@ -10,8 +10,8 @@ from riskspark import lexicon
 from riskspark.functions.text import coerce_label
 
 
-def normalize_columns(df: DataFrame, text_col=None, label_col=None) -> DataFrame:
-    """Rename the guessed or given columns to `text` and `label`; keep no others."""
+def guess_columns(df: DataFrame, text_col=None, label_col=None) -> tuple[str, str | None]:
+    """Names of the text and label columns; the label may be missing."""
     by_name = {c.lower(): c for c in df.columns}
     text_col = text_col or next((by_name[c] for c in lexicon.TEXT_COLUMNS if c in by_name), None)
     if text_col is None:
@@ -22,6 +22,12 @@ def normalize_columns(df: DataFrame, text_col=None, label_col=None) -> DataFrame
     label_col = label_col or next(
         (by_name[c] for c in lexicon.LABEL_COLUMNS if c in by_name), None
     )
+    return text_col, label_col
+
+
+def normalize_columns(df: DataFrame, text_col=None, label_col=None) -> DataFrame:
+    """Rename the guessed or given columns to `text` and `label`; keep no others."""
+    text_col, label_col = guess_columns(df, text_col, label_col)
     columns = [F.col(f"`{text_col}`").cast("string").alias("text")]
     if label_col is not None:
         columns.append(F.col(f"`{label_col}`").alias("label"))

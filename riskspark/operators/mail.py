@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskspark import lexicon
 from riskspark.functions import scoring
 from riskspark.functions.text import (
-    capped, check, checks_array, keyword_hits, pattern_hits, shown, strip_ws,
+    capped, checks_array, keyword_hits, pattern_hits, shown, strip_ws,
 )
 from riskspark.operators.links import extract_links, score_links
 
@@ -45,7 +45,6 @@ def fold_parts(messages: DataFrame, parts: DataFrame) -> DataFrame:
     Messages without parts keep empty bodies.
     """
     attached = F.coalesce("disposition", F.lit("")).contains("attachment")
-    single = F.coalesce("n_parts", F.lit(1)) == 1
     plain = ~attached & (F.col("content_type") == "text/plain")
     html = ~attached & (F.col("content_type") == "text/html")
     marked = parts.select(
@@ -132,15 +131,18 @@ def render_mail_text(messages: DataFrame, parts: DataFrame, html_fallback=False)
     if html_fallback:
         stripped = collapse_ws(strip_html(F.coalesce(F.col("html"), F.lit(""))))
         body = F.when(body == "", stripped).otherwise(body)
+    return messages.join(bodies, "id", "left").select("id", corpus_body(body).alias("text"))
+
+
+def corpus_body(body: Column) -> Column:
+    """The non-empty headers, one per line, a blank line and the body."""
     headers = [
         F.when(_text(c) != "", F.concat(F.lit(label + ": "), F.col(c)))
         for label, c in (
             ("subject", "subject"), ("from", "sender"), ("to", "recipient"), ("date", "date"),
         )
     ]
-    joined = messages.join(bodies, "id", "left")
-    text = F.concat_ws("\n", *headers, F.lit(""), body)
-    return joined.select("id", strip_ws(text).alias("text"))
+    return strip_ws(F.concat_ws("\n", *headers, F.lit(""), body))
 
 
 def form_mail(df: DataFrame) -> DataFrame:
@@ -258,13 +260,13 @@ def hybrid_score(df: DataFrame) -> DataFrame:
 
 
 def mail_checks(df: DataFrame) -> DataFrame:
-    def status(col: str, label: str, failed: str, passed: str, unknown: str) -> Column:
+    def status(col: str, label: str, failed: str, passed: str, unknown: str) -> list[tuple]:
         state = F.col(col)
-        return (
-            F.when(state == "fail", check(f"{label}_FAILURE", "fail", failed))
-            .when(state == "pass", check(f"{label}_PASS", "pass", passed))
-            .otherwise(check(f"{label}_UNKNOWN", "warn", unknown))
-        )
+        return [
+            (state == "fail", f"{label}_FAILURE", "fail", failed),
+            (state == "pass", f"{label}_PASS", "pass", passed),
+            (~state.isin("fail", "pass"), f"{label}_UNKNOWN", "warn", unknown),
+        ]
 
     def counted(col: Column, suffix: str) -> Column:
         return F.concat(col.cast("string"), F.lit(suffix))
@@ -272,62 +274,49 @@ def mail_checks(df: DataFrame) -> DataFrame:
     domains = F.concat(
         F.lit("Sender: "), F.col("sender_domain"), F.lit(", Reply-To: "), F.col("reply_domain")
     )
-    analyzed = F.size("links_analyzed")
-    items = [
-        status(
-            "spf_status", "SPF", "Unauthorized sender IP", "Authorized sender IP",
-            "SPF record not verifiable",
-        ),
-        status(
-            "dkim_status", "DKIM", "Email signature invalid", "Verified domain signature",
-            "DKIM not verifiable",
-        ),
-        F.when(
-            F.col("has_reply") & F.col("reply_mismatch"), check("REPLY_TO_MISMATCH", "fail", domains)
-        ).when(
-            F.col("has_reply"),
-            check("REPLY_TO_CHECK", "pass", "Sender and Reply-To domains match"),
-        ),
-        F.when(
-            F.col("suspicious_sender"),
-            check(
-                "SUSPICIOUS_SENDER",
-                "fail",
+    replied, differs = F.col("has_reply"), F.col("reply_mismatch")
+    urgent = F.size("urgency_keywords") > 0
+    analyzed, attached = F.size("links_analyzed"), F.size("attachments")
+    risky = F.col("risky_links") > 0
+    dangerous = F.size("dangerous_files") > 0
+    return df.withColumn(
+        "checks",
+        checks_array(
+            *status(
+                "spf_status", "SPF", "Unauthorized sender IP", "Authorized sender IP",
+                "SPF record not verifiable",
+            ),
+            *status(
+                "dkim_status", "DKIM", "Email signature invalid", "Verified domain signature",
+                "DKIM not verifiable",
+            ),
+            (replied & differs, "REPLY_TO_MISMATCH", "fail", domains),
+            (replied & ~differs, "REPLY_TO_CHECK", "pass", "Sender and Reply-To domains match"),
+            (
+                F.col("suspicious_sender"), "SUSPICIOUS_SENDER", "fail",
                 F.concat(F.lit("Known suspicious domain: "), F.col("sender_domain")),
             ),
-        ),
-        F.when(
-            F.size("urgency_keywords") > 0,
-            check(
-                "URGENCY_KEYWORDS",
-                "fail",
+            (
+                urgent, "URGENCY_KEYWORDS", "fail",
                 F.concat(F.lit("Found: "), shown(F.col("urgency_keywords"), 5)),
             ),
-        ).otherwise(check("URGENCY_CHECK", "pass", "No urgency manipulation detected")),
-        F.when(
-            F.col("pattern_count") > 0,
-            check("PHISHING_PATTERNS", "fail", counted(F.col("pattern_count"), " suspicious patterns detected")),
-        ),
-        F.when(
-            F.col("risky_links") > 0,
-            check("RISKY_LINKS", "fail", counted(F.col("risky_links"), " suspicious links found")),
-        ).when(
-            analyzed > 0,
-            check("LINK_ANALYSIS", "pass", counted(analyzed, " links analyzed, none suspicious")),
-        ),
-        F.when(
-            F.size("dangerous_files") > 0,
-            check(
-                "DANGEROUS_ATTACHMENTS",
-                "fail",
+            (~urgent, "URGENCY_CHECK", "pass", "No urgency manipulation detected"),
+            (
+                F.col("pattern_count") > 0, "PHISHING_PATTERNS", "fail",
+                counted(F.col("pattern_count"), " suspicious patterns detected"),
+            ),
+            (risky, "RISKY_LINKS", "fail", counted(F.col("risky_links"), " suspicious links found")),
+            (
+                ~risky & (analyzed > 0), "LINK_ANALYSIS", "pass",
+                counted(analyzed, " links analyzed, none suspicious"),
+            ),
+            (
+                dangerous, "DANGEROUS_ATTACHMENTS", "fail",
                 F.concat(F.lit("Dangerous files: "), F.array_join("dangerous_files", ", ")),
             ),
-        ).when(
-            F.size("attachments") > 0,
-            check("ATTACHMENTS", "warn", counted(F.size("attachments"), " attachment(s) found")),
+            (~dangerous & (attached > 0), "ATTACHMENTS", "warn", counted(attached, " attachment(s) found")),
         ),
-    ]
-    return df.withColumn("checks", checks_array(*items))
+    )
 
 
 def mail_extras(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark import lexicon
 from riskspark.functions.text import (
-    capped, check, checks_array, keyword_hits, pattern_hits, shown, strip_ws,
+    capped, checks_array, keyword_hits, pattern_hits, shown, strip_ws,
 )
 from riskspark.operators.links import find_links, score_links
 
@@ -89,54 +89,37 @@ def sms_checks(df: DataFrame) -> DataFrame:
         return F.concat(name.cast("string"), F.lit(suffix))
 
     analyzed = F.size("links_analyzed")
+    risky, linked = F.col("risky_links") > 0, analyzed > 0
     sender = F.col("sender")
-    items = [
-        F.when(_has("urgency"), check("Urgency Language", "fail", found("Found: ", "urgency"))).otherwise(
-            check("Urgency Check", "pass", "No urgency manipulation detected")
-        ),
-        F.when(_has("prizes"), check("Prize/Lottery Scam", "fail", found("Found: ", "prizes"))),
-        F.when(_has("threats"), check("Threat Language", "fail", found("Found: ", "threats"))),
-        F.when(F.col("otp_hits") > 0, check("OTP/Code Pattern", "warn", "Contains OTP-related content")),
-        F.when(
-            _has("financial"), check("Financial Content", "warn", found("References: ", "financial"))
-        ),
-        F.when(
-            F.col("pressured"), check("Call to Action", "fail", found("Pressuring action: ", "actions"))
-        ),
-        F.when(
-            F.col("risky_links") > 0,
-            check("Suspicious Links", "fail", counted(F.col("risky_links"), " risky link(s) detected")),
-        )
-        .when(
-            analyzed > 0,
-            check("Link Analysis", "pass", counted(analyzed, " link(s) analyzed, appear safe")),
-        )
-        .when(
-            F.col("link_words"),
-            check("Missing Link", "warn", "Mentions action but link may be hidden"),
-        ),
-        F.when(
-            sender.rlike(r"(?U)^\d{4,6}$"),
-            check(
-                "Short Code Sender",
-                "warn",
-                F.concat(
-                    F.lit("Short code: "),
-                    sender,
-                    F.lit(" (legitimate services use these, but so do scams)"),
-                ),
+    short = sender.rlike(r"(?U)^\d{4,6}$")
+    phone = sender.rlike(r"(?U)^\+?\d{10,15}$")
+    short_detail = F.concat(
+        F.lit("Short code: "), sender, F.lit(" (legitimate services use these, but so do scams)")
+    )
+    return df.withColumn(
+        "checks",
+        checks_array(
+            (_has("urgency"), "Urgency Language", "fail", found("Found: ", "urgency")),
+            (~_has("urgency"), "Urgency Check", "pass", "No urgency manipulation detected"),
+            (_has("prizes"), "Prize/Lottery Scam", "fail", found("Found: ", "prizes")),
+            (_has("threats"), "Threat Language", "fail", found("Found: ", "threats")),
+            (F.col("otp_hits") > 0, "OTP/Code Pattern", "warn", "Contains OTP-related content"),
+            (_has("financial"), "Financial Content", "warn", found("References: ", "financial")),
+            (F.col("pressured"), "Call to Action", "fail", found("Pressuring action: ", "actions")),
+            (risky, "Suspicious Links", "fail", counted(F.col("risky_links"), " risky link(s) detected")),
+            (~risky & linked, "Link Analysis", "pass", counted(analyzed, " link(s) analyzed, appear safe")),
+            (
+                ~linked & F.col("link_words"), "Missing Link", "warn",
+                "Mentions action but link may be hidden",
+            ),
+            (short, "Short Code Sender", "warn", short_detail),
+            (~short & phone, "Standard Number", "pass", "Standard phone number format"),
+            (
+                ~short & ~phone & (sender != ""), "Sender Format", "warn",
+                F.concat(F.lit("Non-standard sender: "), sender),
             ),
-        )
-        .when(
-            sender.rlike(r"(?U)^\+?\d{10,15}$"),
-            check("Standard Number", "pass", "Standard phone number format"),
-        )
-        .when(
-            sender != "",
-            check("Sender Format", "warn", F.concat(F.lit("Non-standard sender: "), sender)),
         ),
-    ]
-    return df.withColumn("checks", checks_array(*items))
+    )
 
 
 def sms_extras(df: DataFrame) -> DataFrame:
