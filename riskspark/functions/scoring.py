@@ -13,7 +13,8 @@ LABEL_THRESHOLD = 0.61
 
 
 def clamp(col: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(col, F.lit(low)), F.lit(high))
+    # least and greatest skip nulls; a missing value has to stay missing.
+    return F.when(col.isNotNull(), F.least(F.greatest(col, F.lit(low)), F.lit(high)))
 
 
 def combine_scores(rule: Column, ml: Column, llm: Column, llm_ok: Column) -> Column:

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -28,3 +29,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def hold(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the named columns once, at this point of the plan.
+
+    The optimizer pushes a filter below projections by copying the filtered column's
+    whole expression into it, for every use inside. A generator is not crossed that way,
+    so a filter on a score stays a comparison of a finished column.
+    """
+    others = [c for c in df.columns if c not in names]
+    held = F.inline(F.array(F.struct(*names)))
+    return df.select(*others, held).select(*df.columns)

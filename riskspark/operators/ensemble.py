@@ -1,12 +1,15 @@
 """Combining model probabilities and batch prediction reports."""
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from riskspark.functions import scoring
 from riskspark.operators import textmodel
 
 SNIPPET = 100  # characters of text shown in a report
+BATCH = 16  # texts handed to a batch scorer at once
 
 
 def combine_tables(a: DataFrame, b: DataFrame, key="id", mode="weighted", weights=(0.7, 0.3)):
@@ -32,9 +35,7 @@ def with_second_model(df: DataFrame, probs: DataFrame | None = None, scorer=None
     """
     if probs is not None:
         return df.join(probs.select(key, F.col("p").alias("p_second")), key, "left")
-    from pyspark.ml.functions import predict_batch_udf
-
-    score = predict_batch_udf(scorer, return_type="double", batch_size=16)
+    score = predict_batch_udf(scorer, return_type=DoubleType(), batch_size=BATCH)
     return df.withColumn("p_second", score(F.col(text)))
 
 

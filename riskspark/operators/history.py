@@ -29,25 +29,26 @@ def history_page(scans: DataFrame, page: int = 1, per_page: int = 20) -> DataFra
     skip = (page - 1) * per_page
     if skip + per_page > DIRECT_ROWS:
         for unit in ("day", "second"):
-            scans, skip = _narrow(scans, F.date_trunc(unit, F.col("created_at")), skip, per_page)
+            scans, skip = _narrow(scans, unit, skip, per_page)
     return newest(scans).offset(skip).limit(per_page)
 
 
-def _narrow(scans: DataFrame, slot: Column, skip: int, size: int):
+def _narrow(scans: DataFrame, unit: str, skip: int, size: int):
     """Keep the time slots that overlap ranks [skip, skip+size); return the new offset."""
-    counts = scans.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"))
+    at = F.col("created_at")
+    counts = scans.groupBy(F.date_trunc(unit, at).alias("slot")).agg(F.count("*").alias("n"))
     passed, low, high, offset = 0, None, None, 0
     for row in counts.orderBy(F.desc("slot")).toLocalIterator():
-        if passed + row["n"] > skip:
-            if high is None:
-                high, offset = row["slot"], skip - passed
-            low = row["slot"]
+        if high is None and passed + row["n"] > skip:
+            high, offset = row["slot"], skip - passed
         passed += row["n"]
+        low = row["slot"]
         if passed >= skip + size:
             break
     if high is None:
         return scans.limit(0), 0
-    return scans.filter((slot >= F.lit(low)) & (slot <= F.lit(high))), offset
+    # A plain range on the column reaches the file statistics.
+    return scans.filter((at >= F.lit(low)) & (at < F.lit(high) + F.expr(f"INTERVAL 1 {unit}"))), offset
 
 
 def page_info(scans: DataFrame, per_page: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark import lexicon
 from riskspark.functions import urls
+from riskspark.functions.staging import hold
 
 RISKY_ABOVE = 40  # a link is risky when its rule score exceeds this
 
@@ -43,7 +44,7 @@ def score_links(df: DataFrame, links: str = "links", limit: int = 10) -> DataFra
         F.filter(scored, lambda s: s["error"].isNull()),
         lambda s: F.struct(s["url"].alias("url"), s["rule_score"].alias("rule_score")),
     )
-    df = df.withColumn("links_analyzed", usable)
+    df = hold(df.withColumn("links_analyzed", usable), "links_analyzed")
     scores = F.col("links_analyzed.rule_score")
     return df.withColumns(
         {

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark import lexicon
 from riskspark.functions import text, urls
+from riskspark.functions.staging import hold
 
 RULE_FEATURES = [
     "url_length", "dot_count", "special_char_count", "has_at_symbol", "ip_hostname",
@@ -22,7 +23,8 @@ def _named(df: DataFrame, col: str) -> DataFrame:
 
 def url_parts(df: DataFrame, col: str = "url") -> DataFrame:
     """Add scheme, host, port, path, query and error."""
-    return urls.on_columns(_named(df, col), urls.PARTS, *_PART_INTERNALS)
+    parsed = urls.on_columns(_named(df, col), urls.PARTS, *_PART_INTERNALS)
+    return hold(parsed, "scheme", "host", "port", "path", "query", "error")
 
 
 def validate_urls(df: DataFrame, col: str = "url") -> DataFrame:
@@ -52,7 +54,7 @@ def url_rule_features(df: DataFrame, col: str = "url") -> DataFrame:
 
 
 def url_rule_score(df: DataFrame, col: str = "url") -> DataFrame:
-    return urls.on_columns(_named(df, col), urls.SCORING, *_RULE_INTERNALS)
+    return hold(urls.on_columns(_named(df, col), urls.SCORING, *_RULE_INTERNALS), "rule_score")
 
 
 def url_checks(df: DataFrame, col: str = "url") -> DataFrame:
@@ -65,8 +67,12 @@ def url_heuristic_score(df: DataFrame, col: str = "url") -> DataFrame:
 
 
 def full_url_score(df: DataFrame, col: str = "url") -> DataFrame:
-    steps = [*urls.SCORING, urls.heuristic_score, urls.checks]
-    return urls.on_columns(_named(df, col), steps, *_RULE_INTERNALS)
+    steps = [*urls.SCORING, urls.heuristic_score]
+    scored = hold(
+        urls.on_columns(_named(df, col), steps),
+        "rule_score", "ml_score", "ml_probability", "host", "error",
+    )
+    return urls.on_columns(scored, [urls.checks], *_RULE_INTERNALS)
 
 
 def registrable_domain(df: DataFrame, col: str, suffixes=None) -> DataFrame:

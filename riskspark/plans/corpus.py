@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.staging import stage
+from riskspark.functions.staging import hold, stage
 from riskspark.functions.text import clean_text
 from riskspark.operators import corpus, sampling
 
@@ -14,7 +14,8 @@ def build_text_corpus(df: DataFrame, order: list[str], max_per_class=30_000, see
     `df`: text, label and the `order` columns of the input. The deduplicated table is
     written once, because the cap reads it in several passes.
     """
-    cleaned = df.dropna(subset=["text", "label"]).withColumn("text", clean_text(F.col("text")))
+    given = df.dropna(subset=["text", "label"])
+    cleaned = hold(given.withColumn("text", clean_text(F.col("text"))), "text")
     unique = corpus.dedupe_first(
         corpus.drop_empty(cleaned).select("text", "label", *order), "text", order
     ).select("text", "label")

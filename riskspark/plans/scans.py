@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.functions.staging import hold
 from riskspark.operators import answers as llm_answers
 from riskspark.operators import mail, scans, sms, trees, urls
 
@@ -34,8 +35,8 @@ def score_mail(df: DataFrame, probs: DataFrame | None = None, llm=None) -> DataF
     df = mail.mail_features(df)
     if probs is not None:
         df = df.join(probs.select("id", "p_second", "p_nb"), "id", "left")
-    df = mail.mail_checks(mail.hybrid_score(mail.mail_rule_score(df)))
-    df = mail.mail_extras(df)
+    df = hold(mail.hybrid_score(mail.mail_rule_score(df)), "rule_score", "ml_score")
+    df = mail.mail_extras(mail.mail_checks(df))
     if llm is not None:
         df = llm_answers.attach_llm(df, llm)
     return scans.to_scan(
@@ -47,7 +48,8 @@ def score_mail(df: DataFrame, probs: DataFrame | None = None, llm=None) -> DataF
 def score_sms(df: DataFrame, llm=None) -> DataFrame:
     """Scan records for (id, message, sender) rows; empty messages are rejected."""
     df = sms.sms_flags(sms.valid_sms(df))
-    df = sms.sms_extras(sms.sms_checks(sms.sms_heuristic_score(sms.sms_rule_score(df))))
+    df = hold(sms.sms_heuristic_score(sms.sms_rule_score(df)), "rule_score", "ml_score")
+    df = sms.sms_extras(sms.sms_checks(df))
     if llm is not None:
         df = llm_answers.attach_llm(df, llm)
     return scans.to_scan(

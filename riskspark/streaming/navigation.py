@@ -127,10 +127,15 @@ def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour"
     )
 
 
-def score_distinct(nav: DataFrame, **options) -> DataFrame:
-    """Score each url of a table once, whatever its number of navigations."""
+def score_batch(nav: DataFrame, **options) -> DataFrame:
+    """Score each url of one batch once and give the result to all its navigations.
+
+    The navigations of a hot url join the single scored row; adaptive execution splits
+    such a join partition.
+    """
     urls = nav.select("url").distinct().withColumn("id", F.xxhash64("url"))
-    return score_urls(urls, **options).drop("id")
+    scored = score_urls(urls, **options).select("url", "risk_score", "verdict")
+    return nav.join(scored, "url", "left")
 
 
 def score_stream(nav: DataFrame, auto_scan: bool = True, **options) -> DataFrame:
@@ -165,15 +170,14 @@ def _scored(nav: DataFrame, **options) -> DataFrame:
 
 
 def sink_scans(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the scan of each url to the history: one scan per distinct url and batch.
+    """Append scans to the history.
 
     Batch files go to one folder per batch number, so a batch that is run again after a
     lost executor or driver replaces its own output instead of doubling it.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        scans = batch.dropDuplicates(["url"]).withColumn("scan_type", F.lit("url"))
-        scans = scans.withColumn("created_at", F.col("ts"))
+        scans = batch.withColumns({"scan_type": F.lit("url"), "created_at": F.col("ts")})
         stored_scans(scans).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
@@ -184,6 +188,23 @@ def sink_scans(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
+def sink_counts(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table of scans per verdict up to date."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        scored.groupBy("verdict")
+        .agg(F.count("*").alias("n"))
+        .writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def scan_stream(nav: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
     """Cache, score and store a navigation stream."""
     due = first_per_window(scannable(nav)).withColumn("id", F.xxhash64("url", "ts"))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from suite import urls  # noqa: F401
+from suite import messages, storage, training, urls  # noqa: F401
 from suite.registry import ORACLES, QUERIES  # noqa: F401

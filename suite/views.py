@@ -175,7 +175,7 @@ FROM {pages} WHERE page_id % 5 <> 0
 VIEWS["v_probs"] = """
 SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label,
   CAST((o_orderkey * 7919) % 10007 AS DOUBLE) / 10007 AS p_nb,
-  CAST(o_totalprice AS BIGINT) % 1000 / 1000.0 * 0.5 + CASE WHEN o_orderstatus = 'F' THEN 0.4 ELSE 0.0 END AS p_second
+  CAST(CAST(floor(o_totalprice) AS BIGINT) % 1000 AS DOUBLE) / 2000 + CASE WHEN o_orderstatus = 'F' THEN 0.4 ELSE 0.0 END AS p_second
 FROM {orders}
 """
 
