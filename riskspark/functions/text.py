@@ -112,37 +112,34 @@ def _accent_pairs() -> tuple[str, str]:
 
 def strip_accents(col: Column) -> Column:
     source, target = _accent_pairs()
-    return F.regexp_replace(F.translate(col, source, target), r"\p{Mn}+", "")
+    plain = F.regexp_replace(F.translate(col, source, target), r"\p{Mn}+", "")
+    return F.when(col.rlike(r"[^\x00-\x7F]"), plain).otherwise(col)
 
 
-def tokens(col: Column, stop_words=None, ngram_range=(1, 2)) -> Column:
-    """Words of two or more word characters without stop words, joined into n-grams.
-
-    N-grams run over the words that remain, so they bridge removed stop words.
-    """
+def words(col: Column, stop_words=None) -> Column:
+    """Words of two or more word characters, lower-case, without accents or stop words."""
     stop_words = lexicon.STOP_WORDS if stop_words is None else list(stop_words)
     text = strip_accents(F.lower(F.coalesce(col, F.lit(""))))
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    if stop_words:
-        words = F.filter(words, lambda w: ~w.isin(stop_words))
-    low, high = ngram_range
-    grams = []
-    for n in range(low, high + 1):
-        if n == 1:
-            grams.append(words)
-            continue
-        grams.append(_ngrams(words, n))
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(stop_words)) if stop_words else found
+
+
+def ngrams(tokens: Column, low: int, high: int) -> Column:
+    """All n-grams of the remaining words, shorter first; they bridge removed words."""
+    grams = [_of_length(tokens, n) for n in range(low, high + 1)]
     return grams[0] if len(grams) == 1 else F.concat(*grams)
 
 
-def _ngrams(words: Column, n: int) -> Column:
+def _of_length(tokens: Column, n: int) -> Column:
+    if n == 1:
+        return tokens
     # Zip the word list with itself shifted by one place per position: linear in the text.
-    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
-    joined = F.slice(words, F.lit(1), count)
+    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    joined = F.slice(tokens, F.lit(1), count)
     for shift in range(1, n):
         joined = F.zip_with(
             joined,
-            F.slice(words, F.lit(1 + shift), count),
+            F.slice(tokens, F.lit(1 + shift), count),
             lambda left, right: F.concat(left, F.lit(" "), right),
         )
     return joined

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.functions.staging import stage
-from riskspark.functions.text import tokens
+from riskspark.functions.text import ngrams, words
 
 BANDS_PER_DOUBLING = 8
 
@@ -48,7 +48,9 @@ class NbModel:
 
 
 def tokenize(df: DataFrame, col="text", ngram_range=(1, 2), stop_words=None) -> DataFrame:
-    return df.withColumn("tokens", tokens(F.col(col), stop_words, ngram_range))
+    """Add `tokens`. The word list is its own column, so that it is built only once."""
+    worded = df.withColumn("_words", words(F.col(col), stop_words))
+    return worded.withColumn("tokens", ngrams(F.col("_words"), *ngram_range)).drop("_words")
 
 
 def term_counts(tokenized: DataFrame) -> DataFrame:

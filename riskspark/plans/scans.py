@@ -10,11 +10,13 @@ from riskspark.operators import mail, scans, sms, trees, urls
 
 def score_urls(df: DataFrame, col="url", model=None, suffixes=None, llm=None) -> DataFrame:
     """Scan records for (id, url) rows. Rows that cannot be parsed get verdict ERROR."""
-    df = urls.full_url_score(df.withColumn("url", F.col(col)))
-    if model is not None:
-        df = trees.apply_url_model(df, model, suffixes)
+    df = df.withColumn("url", F.col(col))
     if llm is not None:
+        # Joined before scoring: the shuffle carries addresses, not checks.
         df = llm_answers.attach_llm(df, llm)
+    df = urls.full_url_score(df)
+    if model is not None:
+        df = trees.apply_url_model(df, model, suffixes)
     df = df.withColumn("scan_summary", F.coalesce(F.nullif("host", F.lit("")), F.substr("url", F.lit(1), F.lit(50))))
     out = scans.to_scan(df, "url", "url", "ml_probability", "error")
     failed = F.col("error").isNotNull()
@@ -32,11 +34,12 @@ def score_mail(df: DataFrame, probs: DataFrame | None = None, llm=None) -> DataF
     Columns: id, sender, subject, reply_to, body_text, body_html, links, attachments,
     spf_status, dkim_status; optional p_second and p_nb, or `probs` keyed by id.
     """
-    df = mail.mail_features(df)
+    df = mail.mail_extras(mail.mail_features(df))
     if probs is not None:
+        # The preview is cut already, so the join moves no message body.
         df = df.join(probs.select("id", "p_second", "p_nb"), "id", "left")
     df = hold(mail.hybrid_score(mail.mail_rule_score(df)), "rule_score", "ml_score")
-    df = mail.mail_extras(mail.mail_checks(df))
+    df = mail.mail_checks(df)
     if llm is not None:
         df = llm_answers.attach_llm(df, llm)
     return scans.to_scan(
