@@ -333,7 +333,7 @@ def _(t):
 
 
 CACHE = f"""WITH RECURSIVE {NAV}, {OPEN}, ev AS (SELECT DISTINCT url, ts FROM nav),
-due AS (SELECT url, ts, (SELECT min(b.ts) FROM ev b WHERE b.url = ev.url AND b.ts >= ev.ts + INTERVAL 10 MINUTE) AS nxt FROM ev),
+due AS (SELECT url, ts, min(ts) OVER (PARTITION BY url ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTE FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM ev),
 sc AS (SELECT url, min(ts) AS ts FROM ev GROUP BY url UNION ALL SELECT due.url, due.nxt FROM sc JOIN due ON due.url = sc.url AND due.ts = sc.ts WHERE due.nxt IS NOT NULL)"""
 
 

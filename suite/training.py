@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from riskspark import lexicon
 from riskspark.functions import scoring, text
 from riskspark.operators import corpus, ensemble, metrics, sampling, textmodel, trees, urls
+from riskspark.plans import training as plans
 from riskspark.plans.corpus import build_text_corpus
 from suite.registry import query
 from suite.views import VIEWS, cte, listed
@@ -191,26 +192,35 @@ def _(t):
 
 FEATURES, MIN_DF = 2_000, 2
 STOP = listed(lexicon.STOP_WORDS)
-TOKENS = f"""{cte("v_corpus")},
-w0 AS (SELECT id, label, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM v_corpus),
-w1 AS (SELECT id, label, [x FOR x IN w IF NOT list_contains({STOP}, x)] AS w FROM w0),
-tk AS (SELECT id, label, list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS tokens FROM w1)"""
-VOCAB = f"""{TOKENS},
-dt AS (SELECT id, label, term, count(*) AS tf FROM (SELECT id, label, unnest(tokens) AS term FROM tk) GROUP BY ALL),
-vc AS (SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM dt GROUP BY term HAVING count(*) >= {MIN_DF} ORDER BY cf DESC, term LIMIT {FEATURES}),
-nd AS (SELECT count(*) AS n FROM w0),
+
+
+def model_sql(train: str = "true") -> dict[str, str]:
+    """CTE chains of the text model, fitted on the rows for which `train` holds."""
+    tokens = f"""{cte("v_corpus")},
+r0 AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) AS rn, count(*) OVER () AS n FROM v_corpus),
+w0 AS (SELECT id, label, {train} AS tr, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w FROM r0),
+w1 AS (SELECT id, label, tr, [x FOR x IN w IF NOT list_contains({STOP}, x)] AS w FROM w0),
+tk AS (SELECT id, label, tr, list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS tokens FROM w1)"""
+    vocab = f"""{tokens},
+dt AS (SELECT id, label, tr, term, count(*) AS tf FROM (SELECT id, label, tr, unnest(tokens) AS term FROM tk) GROUP BY ALL),
+vc AS (SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM dt WHERE tr GROUP BY term HAVING count(*) >= {MIN_DF} ORDER BY cf DESC, term LIMIT {FEATURES}),
+nd AS (SELECT count(*) AS n FROM w0 WHERE tr),
 vi AS (SELECT term, cf, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM vc, nd)"""
-WEIGHTS = f"""{VOCAB},
-x0 AS (SELECT id, label, term, tf * idf AS x FROM dt JOIN vi USING (term)),
-x AS (SELECT id, label, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM x0)"""
-MODEL = f"""{WEIGHTS},
-sums AS (SELECT label, term, sum(weight) AS s FROM x GROUP BY ALL),
+    weights = f"""{vocab},
+x0 AS (SELECT id, label, tr, term, tf * idf AS x FROM dt JOIN vi USING (term)),
+x AS (SELECT id, label, tr, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS weight FROM x0)"""
+    model = f"""{weights},
+sums AS (SELECT label, term, sum(weight) AS s FROM x WHERE tr GROUP BY ALL),
 grid AS (SELECT c.label, vi.term, coalesce(s, 0) + 1 AS s FROM vi CROSS JOIN (VALUES (0), (1)) c(label) LEFT JOIN sums ON sums.label = c.label AND sums.term = vi.term),
 lp AS (SELECT label, term, ln(s) - ln(sum(s) OVER (PARTITION BY label)) AS l FROM grid),
 nb AS (SELECT term, max(l) FILTER (label = 0) AS logp0, max(l) FILTER (label = 1) AS logp1 FROM lp GROUP BY term),
-pri AS (SELECT ln(count(*) FILTER (label = 1)::DOUBLE / count(*)) - ln(count(*) FILTER (label = 0)::DOUBLE / count(*)) AS d FROM w0),
-mg AS (SELECT w0.id, w0.label, any_value(d) + coalesce(sum(weight * (logp1 - logp0)), 0) AS m FROM w0 CROSS JOIN pri LEFT JOIN x ON x.id = w0.id LEFT JOIN nb ON nb.term = x.term GROUP BY ALL),
+pri AS (SELECT ln(count(*) FILTER (label = 1)::DOUBLE / count(*)) - ln(count(*) FILTER (label = 0)::DOUBLE / count(*)) AS d FROM w0 WHERE tr),
+mg AS (SELECT w0.id, w0.label, any_value(d) + coalesce(sum(weight * (logp1 - logp0)), 0) AS m FROM w0 CROSS JOIN pri LEFT JOIN x ON x.id = w0.id LEFT JOIN nb ON nb.term = x.term GROUP BY w0.id, w0.label),
 pr AS (SELECT id, label, 1 / (1 + exp(-m)) AS p FROM mg)"""
+    return {"tokens": tokens, "vocab": vocab, "weights": weights, "model": model}
+
+
+TOKENS, VOCAB, WEIGHTS, MODEL = model_sql().values()
 
 
 @query(
@@ -420,6 +430,27 @@ def _(t):
     return df.select("model", *[F.round(c, 6).alias(c) for c in df.columns if c != "model"])
 
 
+SPLIT_MODEL = model_sql("rn <= floor(0.7::DOUBLE * n)")["model"]
+VALIDATION = "rn > floor(0.7::DOUBLE * n) AND rn <= floor(0.7::DOUBLE * n) + floor(0.15::DOUBLE * n)"
+
+
+@query(
+    "train_text_evaluation",
+    f"""WITH {SPLIT_MODEL}, v AS (SELECT pr.* FROM pr JOIN r0 USING (id) WHERE {VALIDATION}),
+    rk AS (SELECT label, p, avg(rn) OVER (PARTITION BY p) AS r FROM (SELECT label, round(p, 12) AS p, row_number() OVER (ORDER BY round(p, 12)) AS rn FROM v)),
+    au AS (SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM rk),
+    c AS (SELECT (count(*) FILTER (label = 1 AND p >= 0.5))::DOUBLE AS tp, (count(*) FILTER (label = 0 AND p >= 0.5))::DOUBLE AS fp, (count(*) FILTER (label = 1 AND p < 0.5))::DOUBLE AS fn, count(*) AS n,
+      (count(*) FILTER ((p >= 0.5)::INT = label))::DOUBLE AS ok FROM v)
+    SELECT 'naive_bayes' AS model, round(ok / n, 6)::DOUBLE AS accuracy, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6)::DOUBLE AS precision,
+      round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6)::DOUBLE AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6)::DOUBLE AS f1,
+      round(auc, 6)::DOUBLE AS roc_auc FROM c, au""",
+)
+def _(t):
+    corpus_rows = t.view("v_corpus")
+    _, df = plans.train_text_model(corpus_rows, max_features=FEATURES, min_df=MIN_DF)
+    return df.select("model", *[F.round(c, 6).alias(c) for c in df.columns if c != "model"])
+
+
 # -- trees (no SQL equivalent) ----------------------------------------------------
 
 
@@ -480,3 +511,12 @@ def _(t):
     return score_urls(t.view("v_urls"), model=model).select(
         "id", "risk_score", "verdict", F.round("ml_probability", 6).alias("ml_probability")
     )
+
+
+@query("train_url_models")
+def _(t):
+    _, forest = plans.train_url_forest(url_training(t), trees=20, depth=8)
+    _, boosting = plans.train_url_boosting(url_training(t), rounds=10, depth=4)
+    return forest.withColumn("job", F.lit("forest")).unionByName(
+        boosting.withColumn("job", F.lit("boosting"))
+    )
