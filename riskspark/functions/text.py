@@ -83,7 +83,9 @@ def checks_array(*items: tuple) -> Column:
     generated code far below the size limits that a struct per case would exceed.
     """
     conditions = F.array(*[F.coalesce(c, F.lit(False)) for c, *_ in items])
-    details = F.array(*[F.lit(d) if isinstance(d, str) else d for *_, d in items])
+    details = F.array(
+        *[F.lit(d) if isinstance(d, str) else F.when(c, d) for c, _, _, d in items]
+    )
     named = F.array(
         *[F.struct(F.lit(n).alias("name"), F.lit(s).alias("status")) for _, n, s, _ in items]
     )

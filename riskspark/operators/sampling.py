@@ -8,7 +8,7 @@ limits of a group become limit values of that hash in two light passes:
 2. rank only the rows under those few prefixes (about one row in 65,536 per limit) and
    read off the limit value.
 
-The final table is then a narrow comparison of each row's hash with its group's limits.
+The final table is then a narrow comparison of each row's hash with the limits.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,10 +22,10 @@ def hash_order(key: Column, seed) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _limits(keyed: DataFrame, ranks) -> DataFrame:
-    """Per group: the limit (hash, key) of each rank expression over the group size n.
+def _limits(keyed: DataFrame, ranks) -> dict:
+    """Per group: {rank number: (hash, key)} for each rank expression over the size n.
 
-    `keyed` has _group, _h and _key. A rank of zero has no limit (null).
+    `keyed` has _group, _h and _key. A rank of zero has no limit.
     """
     spark = keyed.sparkSession
     prefix = F.substr("_h", F.lit(1), F.lit(PREFIX))
@@ -68,20 +68,30 @@ def _limits(keyed: DataFrame, ranks) -> DataFrame:
     limits: dict = {}
     for row in found.collect():  # as many rows as `hits`
         limits.setdefault(row["_group"], {})[row["i"]] = (row["_h"], row["_key"])
-    key_type = keyed.schema["_key"].dataType.simpleString()
-    fields = ", ".join(f"_limit{i} struct<_h:string,_key:{key_type}>" for i in range(len(ranks)))
-    rows = [(g, *[at.get(i) for i in range(len(ranks))]) for g, at in limits.items()]
-    return spark.createDataFrame(rows, f"_g {group_type}, {fields}")
+    return limits
 
 
-def _with_limits(df, group: Column, key, seed, ranks):
+def _with_limits(df, group: Column | None, key, seed, ranks):
     """Rows with their own place `_at` and the limits of their group; names to drop later."""
     h = hash_order(F.col(key), seed)
-    limits = _limits(df.select(group.alias("_group"), h.alias("_h"), F.col(key).alias("_key")), ranks)
-    marked = df.withColumns(
-        {"_group": group, "_at": F.struct(h.alias("_h"), F.col(key).alias("_key"))}
-    )
-    joined = marked.join(F.broadcast(limits), F.col("_group").eqNullSafe(F.col("_g")), "left")
+    of = F.lit(0) if group is None else group
+    limits = _limits(df.select(of.alias("_group"), h.alias("_h"), F.col(key).alias("_key")), ranks)
+    marked = df.withColumn("_at", F.struct(h.alias("_h"), F.col(key).alias("_key")))
+    names = [f"_limit{i}" for i in range(len(ranks))]
+    limit_type = f"struct<_h:string,_key:{df.schema[key].dataType.simpleString()}>"
+    if group is None:
+        at = limits.get(0, {})
+        constants = {
+            n: F.struct(F.lit(at[i][0]), F.lit(at[i][1])) if i in at else F.lit(None)
+            for i, n in enumerate(names)
+        }
+        joined = marked.withColumns({n: c.cast(limit_type) for n, c in constants.items()})
+    else:
+        group_type = df.select(of.alias("g")).schema["g"].dataType.simpleString()
+        rows = [(g, *[at.get(i) for i in range(len(ranks))]) for g, at in limits.items()]
+        fields = ", ".join([f"_g {group_type}", *[f"{n} {limit_type}" for n in names]])
+        table = F.broadcast(df.sparkSession.createDataFrame(rows, fields))
+        joined = marked.join(table, of.eqNullSafe(F.col("_g")), "left")
     return joined, [c for c in joined.columns if c not in df.columns]
 
 
@@ -101,7 +111,7 @@ def assign_split(
     stratify=None,
 ) -> DataFrame:
     """Add `split`: the first floor(f*n) rows in hash order per fraction, then the rest."""
-    group = F.col(stratify) if stratify else F.lit(0)
+    group = F.col(stratify) if stratify else None
     ranks, total = [], F.lit(0).cast("long")
     for f in fractions:
         # Binary fractions such as 0.7 sit just below their decimal; the floor is exact.

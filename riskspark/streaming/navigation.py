@@ -31,11 +31,21 @@ def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 ho
     """(url, ts) of the navigations that need a scan: the first per url, then the first
     at or after `ttl` seconds from the scan before. A cached result does not slide.
 
-    `nav` is a stream with url and timestamp ts. Rows of one batch are put in time order
-    per url; rows later than `late` are judged by the watermark. A batch holds no more of
-    one url than the source's rate limit admits, and only its times are kept.
+    `nav` is a stream with url and timestamp ts. Before the shuffle, the navigations of one
+    url in an Arrow batch become one row of distinct times, so a hot url moves and holds
+    eight bytes per navigation. Per url, all times of a micro-batch are put in order; rows
+    later than `late` are judged by the watermark.
     """
 
+    def collapse(batches: Iterator):
+        import pandas as pd
+
+        for batch in batches:
+            grouped = batch.groupby("url")["at"].agg([lambda s: sorted(set(s)), "max"])
+            grouped.columns = ["times", "last"]
+            grouped["ts"] = pd.to_datetime(grouped["last"], unit="us", utc=True)
+            yield grouped.reset_index()[["url", "times", "ts"]]
+
     def step(key, batches: Iterator, state):
         import numpy as np
         import pandas as pd
@@ -43,9 +53,7 @@ def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 ho
         if state.hasTimedOut:
             state.remove()
             return
-        times = np.sort(
-            np.concatenate([b["at"].to_numpy("int64") for b in batches])
-        )
+        times = np.unique(np.concatenate([t for b in batches for t in b["times"]]))
         span = ttl * 1_000_000
         due = state.get[0] + span if state.exists else times[0]
         scans = []
@@ -61,8 +69,11 @@ def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 ho
         if scans:
             yield pd.DataFrame({"url": key[0], "at": scans})
 
+    collapsed = nav.select("url", F.unix_micros("ts").alias("at")).mapInPandas(
+        collapse, "url string, times array<long>, ts timestamp"
+    )
     return (
-        _timed(nav, "url", late=late)
+        collapsed.withWatermark("ts", late)
         .groupBy("url")
         .applyInPandasWithState(
             step, "url string, at long", "scanned long", "append", "EventTimeTimeout"
