@@ -15,10 +15,6 @@ from riskspark.functions.text import capped, checks_array, keyword_hits, shown
 
 Get = Callable[[str], Column]
 
-# Fixed value: the generic URI pattern of RFC 3986, appendix B.
-URI_PATTERN = (
-    r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
-)
 # Schemes whose last path segment may carry `;parameters`.
 PARAM_SCHEMES = [
     "", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "sip", "sips",
@@ -77,28 +73,48 @@ def as_given(get: Get) -> dict[str, Column]:
 
 def _absolute(text: Column) -> dict[str, Column]:
     text = F.translate(text, "\t\r\n", "")
-    return {"_abs": F.regexp_replace(text, r"^[\x00-\x20]+", "")}
+    return {"_abs": F.ltrim(text, F.lit("".join(chr(c) for c in range(0x21))))}
 
 
-def split_uri(get: Get) -> dict[str, Column]:
-    text = get("_abs")
+# The parts follow RFC 3986 with plain string functions: the first `#` starts the fragment,
+# the first `?` before it the query, and an authority sits between `//` and the next `/`.
+
+
+def split_query(get: Get) -> dict[str, Column]:
+    text = F.substring_index(get("_abs"), "#", 1)
+    front = F.substring_index(text, "?", 1)
+    return {"_front": front, "query": _after(text, front)}
+
+
+def split_scheme(get: Get) -> dict[str, Column]:
+    return {"_scheme": F.regexp_extract(get("_front"), r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)}
+
+
+def split_path(get: Get) -> dict[str, Column]:
+    front, scheme = get("_front"), get("_scheme")
+    rest = F.when(scheme == "", front).otherwise(_after(front, scheme))
+    slashes = rest.startswith("//")
+    authority = F.when(slashes, F.substring_index(F.substr(rest, F.lit(3)), "/", 1)).otherwise("")
     return {
-        "scheme": F.lower(F.regexp_extract(text, URI_PATTERN, 1)),
-        "_authority": F.regexp_extract(text, URI_PATTERN, 2),
-        "_path": F.regexp_extract(text, URI_PATTERN, 3),
-        "query": F.regexp_extract(text, URI_PATTERN, 4),
+        "scheme": F.lower(scheme),
+        "_authority": authority,
+        "_path": F.when(slashes, F.substr(rest, F.length(authority) + 3)).otherwise(rest),
     }
 
 
+def _after(text: Column, front: Column) -> Column:
+    """What follows `front` and one separator at the start of `text`."""
+    return F.substr(text, F.length(front) + 2)
+
+
 def split_authority(get: Get) -> dict[str, Column]:
     authority, path = get("_authority"), get("_path")
     hostport = F.substring_index(authority, "@", -1)
     bracketed = hostport.contains("[")
-    host = F.when(bracketed, F.regexp_extract(hostport, r"\[([^\]]*)", 1)).otherwise(
-        F.substring_index(hostport, ":", 1)
-    )
+    plain = F.substring_index(hostport, ":", 1)
+    host = F.when(bracketed, F.regexp_extract(hostport, r"\[([^\]]*)", 1)).otherwise(plain)
     port = F.when(bracketed, F.regexp_extract(hostport, r"\][^:]*:(.*)\z", 1)).otherwise(
-        F.regexp_extract(hostport, r"^[^:]*:(.*)\z", 1)
+        _after(hostport, plain)
     )
     bad_bracket = (authority.contains("[") != authority.contains("]")) | (
         bracketed
@@ -108,19 +124,18 @@ def split_authority(get: Get) -> dict[str, Column]:
     bad_port = (port != "") & (
         ~port.rlike(r"^[0-9]+\z") | number.isNull() | (number > 65535)
     )
+    parameters = path.contains(";") & get("scheme").isin(PARAM_SCHEMES)
     return {
         "host": F.lower(host),
         "port": F.when(bad_port, None).otherwise(number),
-        "path": F.when(
-            get("scheme").isin(PARAM_SCHEMES), F.regexp_replace(path, r";[^/]*\z", "")
-        ).otherwise(path),
+        "path": F.when(parameters, F.regexp_replace(path, r";[^/]*\z", "")).otherwise(path),
         "bad_bracket": bad_bracket,
         "error": F.when(bad_bracket, "Invalid URL").when(bad_port, "Invalid port"),
     }
 
 
-PARTS = [with_scheme, split_uri, split_authority]
-RAW_PARTS = [as_given, split_uri, split_authority]
+PARTS = [with_scheme, split_query, split_scheme, split_path, split_authority]
+RAW_PARTS = [as_given, *PARTS[1:]]
 
 
 # -- rule features ----------------------------------------------------------
@@ -313,11 +328,14 @@ def canonical(col: Column) -> Column:
 def netloc(get: Get) -> dict[str, Column]:
     """Lenient network location: scheme optional, user info and port removed."""
     url = get("_domain_of")
-    bare = F.regexp_replace(url, r"^(?:[A-Za-z0-9+.\-]+:)?//", "")
-    place = F.regexp_extract(bare, r"^[^/?#]*", 0)
-    place = F.substring_index(F.substring_index(place, "@", -1), ":", 1)
-    place = F.regexp_replace(F.trim(place), "[。．｡]", ".")
-    return {"_netloc": F.regexp_replace(place, r"\.+\z", "")}
+    scheme = r"^(?:[A-Za-z0-9+.\-]+:)?//"
+    place = F.when(url.contains("//"), F.regexp_replace(url, scheme, "")).otherwise(url)
+    for end in "/?#":
+        place = F.substring_index(place, end, 1)
+    place = F.trim(F.substring_index(F.substring_index(place, "@", -1), ":", 1))
+    for dot in "。．｡":
+        place = F.replace(place, F.lit(dot), F.lit("."))
+    return {"_netloc": F.rtrim(place, F.lit("."))}
 
 
 def domain_split(suffixes: list[str]):
@@ -350,24 +368,28 @@ def domain_split(suffixes: list[str]):
         for condition, size in reversed(rules):
             length = F.when(condition, size).otherwise(length)
         ip = place.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}\z") | place.startswith("[")
-        return {"_labels": n, "_suffix_labels": F.when(ip, None).otherwise(F.coalesce(length, F.lit(0))), "_ip": ip}
+        return {"_labels": n, "_suffix_labels": F.coalesce(length, F.lit(0)), "_ip": ip}
 
     return step
 
 
-def domain_parts(get: Get) -> dict[str, Column]:
+def split_suffix(get: Get) -> dict[str, Column]:
     place, n, k = get("_netloc"), get("_labels"), get("_suffix_labels")
-    labels = F.split(place, r"\.")
+    suffix = F.call_function("substring_index", place, F.lit("."), -k)
+    front = F.substr(place, F.lit(1), F.length(place) - F.length(suffix) - 1)
+    return {
+        "suffix": F.when(get("_ip") | (k == 0), "").otherwise(suffix),
+        "_rest": F.when(get("_ip") | (k == 0), place).when(n <= k, "").otherwise(front),
+    }
+
+
+def domain_parts(get: Get) -> dict[str, Column]:
+    rest = get("_rest")
+    last = F.substring_index(rest, ".", -1)
+    front = F.substr(rest, F.lit(1), F.greatest(F.length(rest) - F.length(last) - 1, F.lit(0)))
     return {
-        "subdomain": F.when(get("_ip") | (n - k < 2), "").otherwise(
-            F.array_join(F.slice(labels, F.lit(1), F.greatest(n - k - 1, F.lit(0))), ".")
-        ),
-        "domain": F.when(get("_ip"), place)
-        .when(n - k < 1, "")
-        .otherwise(F.coalesce(F.try_element_at(labels, (n - k).cast("int")), F.lit(""))),
-        "suffix": F.when(get("_ip") | (k == 0), "").otherwise(
-            F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
-        ),
+        "subdomain": F.when(get("_ip"), "").otherwise(front),
+        "domain": F.when(get("_ip"), rest).otherwise(last),
     }
 
 

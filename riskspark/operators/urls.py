@@ -13,7 +13,7 @@ RULE_FEATURES = [
     "hostname_entropy", "typosquatting", "suspicious_keywords", "hyphen_count",
     "unusual_port", "double_slash_path", "suspicious_params",
 ]
-_PART_INTERNALS = ["_abs", "_authority", "_path", "bad_bracket"]
+_PART_INTERNALS = ["_abs", "_front", "_scheme", "_authority", "_path", "bad_bracket"]
 _RULE_INTERNALS = [*_PART_INTERNALS, "_lower", "_query_lower", "entropy", "high_entropy", "tld"]
 
 
@@ -81,10 +81,11 @@ def registrable_domain(df: DataFrame, col: str, suffixes=None) -> DataFrame:
         lambda get: {"_domain_of": get(col)},
         urls.netloc,
         urls.domain_split(suffixes or lexicon.SUFFIXES),
+        urls.split_suffix,
         urls.domain_parts,
     ]
     return urls.on_columns(
-        df, steps, "_domain_of", "_netloc", "_labels", "_suffix_labels", "_ip"
+        df, steps, "_domain_of", "_netloc", "_labels", "_suffix_labels", "_ip", "_rest"
     )
 
 
