@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark import lexicon
-from riskspark.functions.text import capped, checks_array, keyword_hits, shown
+from riskspark.functions.text import capped, checks_array, keyword_hits, shown, strip_ws
 
 Get = Callable[[str], Column]
 
@@ -317,8 +317,6 @@ SCORING = [*RULES, rule_score]
 
 def canonical(col: Column) -> Column:
     """Lower-case URL without scheme and `www.`; each prefix is removed at most once."""
-    from riskspark.functions.text import strip_ws
-
     text = strip_ws(F.lower(F.coalesce(col, F.lit(""))))
     for prefix in ("http://", "https://", "www."):
         text = F.when(text.startswith(prefix), F.substr(text, F.lit(len(prefix) + 1))).otherwise(text)

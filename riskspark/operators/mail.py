@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from riskspark import lexicon
 from riskspark.functions import scoring
 from riskspark.functions.text import (
-    capped, checks_array, keyword_hits, pattern_hits, shown, strip_ws,
+    capped, checks_array, collapse_ws, keyword_hits, pattern_hits, shown, strip_html, strip_ws,
 )
 from riskspark.operators.links import extract_links, score_links
 
@@ -110,8 +110,6 @@ def render_mail_text(messages: DataFrame, parts: DataFrame, html_fallback=False)
 
     `html_fallback` uses the html parts, tags removed, where a message has no plain part.
     """
-    from riskspark.functions.text import collapse_ws, strip_html
-
     inline = F.coalesce("disposition", F.lit("")) != "attachment"
     kinds = ["text/plain", "text/html"] if html_fallback else ["text/plain"]
     wanted = parts.filter(inline & F.lower("content_type").isin(kinds)).select(

@@ -7,6 +7,8 @@ from riskspark.functions.staging import hold, stage
 from riskspark.functions.text import clean_text
 from riskspark.operators import corpus, sampling
 
+BLOCK = 10_000  # copies of one url that are numbered together
+
 
 def build_text_corpus(df: DataFrame, order: list[str], max_per_class=30_000, seed=42) -> DataFrame:
     """Clean, drop empty, keep the first of equal texts, cap per class: (text, label).
@@ -27,10 +29,20 @@ def build_text_corpus(df: DataFrame, order: list[str], max_per_class=30_000, see
 def build_url_corpus(sources: list[DataFrame], max_per_class=100_000, seed=42) -> DataFrame:
     """Sources of (url, label) in one table, at most `max_per_class` rows of each class.
 
-    A url may occur many times; its copies are numbered by label and counted per url so
-    that every row has its own place in the hash order.
+    Copies of a url are kept, as rows of their own. They are counted first and numbered
+    from the count, in blocks, so that neither a hot url nor the file layout matters.
     """
     rows = corpus.union_all(sources).dropna(subset=["url"])
-    numbered = rows.withColumn("row", F.concat_ws("#", "url", F.monotonically_increasing_id()))
+    counted = rows.groupBy("url", "label").agg(F.count("*").alias("n"))
+    last = F.col("n") - 1
+    blocks = counted.select(
+        "url", "label", "n", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(BLOCK))).alias("at")
+    )
+    copies = F.sequence(F.col("at"), F.least(F.col("at") + (BLOCK - 1), last))
+    numbered = (
+        blocks.repartition(F.col("url"), F.col("label"), F.col("at"))
+        .select("url", "label", F.explode(copies).alias("copy"))
+        .select("url", "label", F.concat_ws("#", "url", "copy").alias("row"))
+    )
     capped = sampling.cap_per_class(stage(numbered, "urls"), max_per_class, "label", "row", seed)
     return capped.drop("row")

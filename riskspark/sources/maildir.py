@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskspark.functions.staging import hold
+from riskspark.functions.text import collapse_ws, strip_ws
 from riskspark.operators import mail
 
 PARSED = (
@@ -120,23 +122,20 @@ def mail_rows(parsed: DataFrame) -> DataFrame:
 def corpus_text(parsed: DataFrame) -> DataFrame:
     """Training text of parsed messages: headers, blank line, plain parts (no shuffle)."""
     plain = F.filter("parts", lambda p: ~p["attached"] & (F.lower(p["content_type"]) == "text/plain"))
-    body = mail.strip_ws(F.array_join(F.transform(plain, lambda p: p["decoded"]), "\n"))
+    body = strip_ws(F.array_join(F.transform(plain, lambda p: p["decoded"]), "\n"))
     return parsed.withColumn("text", mail.corpus_body(body))
 
 
 def read_mail_corpus(spark: SparkSession, safe_dir: str, phishing_dir: str) -> DataFrame:
     """(path, src_ord, text, label) of two directories; safe mail comes first."""
-    from riskspark.functions.text import collapse_ws
-
     tables = []
     for place, (folder, label) in enumerate(((safe_dir, 0), (phishing_dir, 1))):
         rows = corpus_text(parse_mail(read_mail_files(spark, folder)))
-        tables.append(
-            rows.select(
-                "path",
-                F.lit(place).alias("src_ord"),
-                collapse_ws(F.col("text")).alias("text"),
-                F.lit(label).alias("label"),
-            )
+        cleaned = rows.select(
+            "path",
+            F.lit(place).alias("src_ord"),
+            collapse_ws(F.col("text")).alias("text"),
+            F.lit(label).alias("label"),
         )
+        tables.append(hold(cleaned, "text"))
     return tables[0].unionByName(tables[1]).filter(F.col("text") != "")

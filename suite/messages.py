@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from riskspark import lexicon
-from riskspark.functions import scoring
 from riskspark.operators import answers, links, mail, scans, sms
 from riskspark.plans.scans import score_mail, score_sms, score_urls
 from suite.registry import query
-from suite.urls import from_urls, hits, url_ctes
+from suite.urls import hits, url_ctes
 from suite.views import cte, listed, quoted
 
 

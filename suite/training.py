@@ -6,9 +6,10 @@ from riskspark import lexicon
 from riskspark.functions import scoring, text
 from riskspark.operators import corpus, ensemble, metrics, sampling, textmodel, trees, urls
 from riskspark.plans import training as plans
-from riskspark.plans.corpus import build_text_corpus
+from riskspark.plans.corpus import build_text_corpus, build_url_corpus
+from riskspark.plans.scans import score_urls
 from suite.registry import query
-from suite.views import VIEWS, cte, listed
+from suite.views import cte, listed
 
 # -- corpus -----------------------------------------------------------------
 
@@ -188,6 +189,19 @@ def _(t):
     return build_text_corpus(t.view("v_corpus"), ["src_ord", "id"], max_per_class=60)
 
 
+# A third of the rows are one url; every copy is a row of its own.
+COPIED = "SELECT CASE WHEN event_id % 3 = 0 THEN 'http://hot.example.com/' ELSE 'http://' || event_type || '.example.com/' || event_id % 500 END AS url, user_id % 2 AS label FROM {events}"
+
+
+@query(
+    "corpus_build_urls",
+    f"""WITH r AS (SELECT url, label, url || '#' || (row_number() OVER (PARTITION BY url, label) - 1) AS row FROM ({COPIED.replace('{events}', 'events')}))
+    SELECT url, label FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row), row) <= 3000""",
+)
+def _(t):
+    return build_url_corpus([t.spark.sql(COPIED, events=t.table("events"))], max_per_class=3000)
+
+
 # -- text model ---------------------------------------------------------------
 
 FEATURES, MIN_DF = 2_000, 2
@@ -505,8 +519,6 @@ def _(t):
 
 @query("url_model_score")
 def _(t):
-    from riskspark.plans.scans import score_urls
-
     _, model = boosted(t)
     return score_urls(t.view("v_urls"), model=model).select(
         "id", "risk_score", "verdict", F.round("ml_probability", 6).alias("ml_probability")
