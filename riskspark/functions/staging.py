@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only where none is set."""
+    """The shared folder named by the cluster; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         root = tempfile.mkdtemp(prefix="riskspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -27,24 +27,39 @@ def scannable(df: DataFrame, col: str = "url", service: str = SERVICE) -> DataFr
     return df.filter(url.isNotNull() & web & ~local)
 
 
-def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 hour") -> DataFrame:
-    """(url, ts) of the navigations that need a scan: the first per url, then the first
-    at or after `ttl` seconds from the scan before. A cached result does not slide.
+def packed(stream: DataFrame, types: dict[str, str], late: str) -> DataFrame:
+    """One watermarked row per url and Arrow batch, with an array per named column.
 
-    `nav` is a stream with url and timestamp ts. Before the shuffle, the navigations of one
-    url in an Arrow batch become one row of distinct times, so a hot url moves and holds
-    eight bytes per navigation. Per url, all times of a micro-batch are put in order; rows
-    later than `late` are judged by the watermark.
+    `at`, the time in microseconds, is free of time zones. Packing before the shuffle lets
+    a hot url move as a few compact rows instead of one row per navigation.
     """
+    names = list(types)
 
-    def collapse(batches: Iterator):
+    def pack(batches: Iterator):
         import pandas as pd
 
         for batch in batches:
-            grouped = batch.groupby("url")["at"].agg([lambda s: sorted(set(s)), "max"])
-            grouped.columns = ["times", "last"]
-            grouped["ts"] = pd.to_datetime(grouped["last"], unit="us", utc=True)
-            yield grouped.reset_index()[["url", "times", "ts"]]
+            groups = batch.groupby("url", dropna=False)
+            rows = groups.agg({n: list for n in names})
+            rows["ts"] = pd.to_datetime(groups["at"].max(), unit="us", utc=True)
+            yield rows.reset_index()[["url", *names, "ts"]]
+
+    fields = ", ".join(f"{n} array<{t}>" for n, t in types.items())
+    others = [n for n in names if n != "at"]
+    return (
+        stream.select("url", *others, F.unix_micros("ts").alias("at"))
+        .mapInPandas(pack, f"url string, {fields}, ts timestamp")
+        .withWatermark("ts", late)
+    )
+
+
+def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 hour") -> DataFrame:
+    """(url, ts) of the navigations that need a scan: the first per url, then the first
+    at or after `ttl` seconds from the scan before. A cached result does not slide.
+
+    `nav` is a stream with url and timestamp ts. Per url, all times of a micro-batch are put
+    in order; rows later than `late` are judged by the watermark.
+    """
 
     def step(key, batches: Iterator, state):
         import numpy as np
@@ -53,7 +68,7 @@ def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 ho
         if state.hasTimedOut:
             state.remove()
             return
-        times = np.unique(np.concatenate([t for b in batches for t in b["times"]]))
+        times = np.unique(np.concatenate([t for b in batches for t in b["at"]]))
         span = ttl * 1_000_000
         due = state.get[0] + span if state.exists else times[0]
         scans = []
@@ -69,11 +84,8 @@ def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 ho
         if scans:
             yield pd.DataFrame({"url": key[0], "at": scans})
 
-    collapsed = nav.select("url", F.unix_micros("ts").alias("at")).mapInPandas(
-        collapse, "url string, times array<long>, ts timestamp"
-    )
     return (
-        collapsed.withWatermark("ts", late)
+        packed(nav, {"at": "long"}, late)
         .groupBy("url")
         .applyInPandasWithState(
             step, "url string, at long", "scanned long", "append", "EventTimeTimeout"
@@ -82,11 +94,6 @@ def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 ho
     )
 
 
-def _timed(stream: DataFrame, *columns: str, late: str) -> DataFrame:
-    """Watermarked rows with the time also as microseconds `at`, free of time zones."""
-    return stream.select(*columns, "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", late)
-
-
 def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour") -> DataFrame:
     """(id, url, ts, allowed) for each navigation in a stream of `nav` and `allow` events.
 
@@ -101,7 +108,8 @@ def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour"
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["at", "kind", "id"])
+        rows = pd.concat([b[["id", "kind", "at"]].explode(["id", "kind", "at"]) for b in batches])
+        rows = rows.astype({"id": "int64", "at": "int64"}).sort_values(["at", "kind", "id"])
         span = ttl * 1_000_000
         is_open, timers = (state.get[0], list(state.get[1])) if state.exists else (False, [])
         allowed = []
@@ -125,7 +133,7 @@ def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour"
         yield out[out["kind"] == "nav"][["id", "url", "at", "allowed"]]
 
     return (
-        _timed(events, "id", "url", "kind", late=late)
+        packed(events, {"id": "long", "kind": "string", "at": "long"}, late)
         .groupBy("url")
         .applyInPandasWithState(
             step,
