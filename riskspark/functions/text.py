@@ -1,5 +1,6 @@
 """Column functions for text: whitespace, cleaning, labels, keywords, tokens."""
 
+import json
 import sys
 import unicodedata
 
@@ -55,9 +56,14 @@ def coerce_label(col: Column) -> Column:
     )
 
 
+def constant_words(words: list[str]) -> Column:
+    """A word list as one constant: the optimizer folds the split away."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def keyword_hits(haystack: Column, words: list[str]) -> Column:
     """The words contained in `haystack`, in list order. Null text has no hits."""
-    found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(haystack, w))
+    found = F.filter(constant_words(words), lambda w: F.contains(haystack, w))
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
@@ -86,9 +92,8 @@ def checks_array(*items: tuple) -> Column:
     details = F.array(
         *[F.lit(d) if isinstance(d, str) else F.when(c, d) for c, _, _, d in items]
     )
-    named = F.array(
-        *[F.struct(F.lit(n).alias("name"), F.lit(s).alias("status")) for _, n, s, _ in items]
-    )
+    names = json.dumps([{"name": n, "status": s} for _, n, s, _ in items])
+    named = F.from_json(F.lit(names), "array<struct<name:string,status:string>>")
     pairs = F.arrays_zip(conditions.alias("holds"), named.alias("of"), details.alias("detail"))
     return F.transform(
         F.filter(pairs, lambda x: x["holds"]),

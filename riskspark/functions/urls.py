@@ -5,13 +5,16 @@ earlier value. The same steps therefore run over top-level columns (`on_columns`
 code-generated) and inside an array of links (`on_array`, no shuffle of the message).
 """
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark import lexicon
-from riskspark.functions.text import capped, checks_array, keyword_hits, shown, strip_ws
+from riskspark.functions.text import (
+    capped, checks_array, constant_words, keyword_hits, shown, strip_ws,
+)
 
 Get = Callable[[str], Column]
 
@@ -37,16 +40,17 @@ def on_array(urls: Column, steps, keep: list[str]) -> Column:
     fields = ["url"]
     rows = F.transform(urls, lambda u: F.struct(u.alias("url")))
     for step in steps:
-        rows = F.transform(rows, _extender(step, list(fields)))
-        fields += [f for f in step(F.col) if f not in fields]
+        rows = F.transform(rows, _extender(step, fields))
     return F.transform(rows, lambda row: F.struct(*[row[f].alias(f) for f in keep]))
 
 
 def _extender(step, fields: list[str]):
+    """Lambda that adds the values of a step to a row; `fields` grows by their names."""
+
     def extend(row: Column) -> Column:
         new = step(lambda name: row[name])
-        old = [row[f].alias(f) for f in fields if f not in new]
-        return F.struct(*old, *[c.alias(n) for n, c in new.items()])
+        fields.extend(n for n in new if n not in fields)
+        return F.struct(*[(new[f] if f in new else row[f]).alias(f) for f in fields])
 
     return extend
 
@@ -184,15 +188,14 @@ def rule_features(get: Get) -> dict[str, Column]:
 def typosquat_brand(host: Column) -> Column:
     """First brand, in list order, with a variant in the host and without its own name."""
     pairs = [(b, v) for b, variants in lexicon.BRAND_VARIANTS.items() for v in variants]
-    table = F.array(
-        *[F.struct(F.lit(b).alias("brand"), F.lit(v).alias("variant")) for b, v in pairs]
-    )
+    rows = json.dumps([{"brand": b, "variant": v} for b, v in pairs])
+    table = F.from_json(F.lit(rows), "array<struct<brand:string,variant:string>>")
     hits = F.filter(
         table,
         lambda t: F.contains(host, t["variant"]) & ~F.contains(host, t["brand"]),
     )
     # Most hosts hold no variant at all: the plain string test spares them the table.
-    some = F.exists(F.array(*[F.lit(v) for _, v in pairs]), lambda v: F.contains(host, v))
+    some = F.exists(constant_words([v for _, v in pairs]), lambda v: F.contains(host, v))
     return F.when(some, F.try_element_at(hits, F.lit(1))["brand"])
 
 
