@@ -7,15 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+OWN_ROOTS: dict[str, str] = {}  # by application, where the session names no folder
+
+
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only in local mode."""
+    """The shared folder that the session names; where it names none, a temporary one in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-        root = tempfile.mkdtemp(prefix="riskspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
+    name = spark.sparkContext.applicationId
+    if name not in OWN_ROOTS:
+        OWN_ROOTS[name] = tempfile.mkdtemp(prefix="riskspark-")
+    return OWN_ROOTS[name]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
