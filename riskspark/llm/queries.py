@@ -1,4 +1,4 @@
 """The operators' queries; importing the modules registers them."""
 
-from riskspark.llm import mixing, sharding  # noqa: F401
+from riskspark.llm import langid, mixing, quality, sharding  # noqa: F401
 from riskspark.llm.common import ORACLES, QUERIES  # noqa: F401
