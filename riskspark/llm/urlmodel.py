@@ -77,9 +77,16 @@ def fit(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def score_windows(distinct: DataFrame, grams: DataFrame, contexts: DataFrame) -> DataFrame:
     """window and `gain`, log(accepted / rejected) of its last character in millionths."""
+    # The empty context would be one key for a fifth of all rows: each character has a copy of its line.
+    facts = [f"{s}{part}" for s in SIDES for part in ("_all", "_kinds")]
+    none = contexts.filter("context = ''").first()
+    single = distinct.select(F.concat(F.lit("\u0000"), F.expr("right(window, 1)")).alias("context")).distinct()
+    single = single.withColumns({f: F.lit(none[f] if none else 0).cast("long") for f in facts})
+    contexts = contexts.filter("context <> ''").unionByName(single)
     orders = F.explode(F.sequence(F.lit(1), F.lit(ORDER + 1)))
     rows = distinct.withColumn("j", orders).withColumn("gram", F.expr(f"substring(window, {ORDER + 2} - j, j)"))
-    rows = rows.withColumn("context", F.expr("left(gram, j - 1)"))
+    shorter = F.when(F.col("j") == 1, F.concat(F.lit("\u0000"), "gram")).otherwise(F.expr("left(gram, j - 1)"))
+    rows = rows.withColumn("context", shorter)
     rows = rows.join(grams, "gram", "left").join(contexts, "context", "left")
     facts = [f"{s}{part}" for s in SIDES for part in ("", "_all", "_kinds")]
     gathered = rows.groupBy("window").agg(
