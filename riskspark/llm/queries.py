@@ -1,4 +1,4 @@
 """The operators' queries; importing the modules registers them."""
 
-from riskspark.llm import bpe, langid, mixing, pii, quality, sharding, simhash, topk, urlmodel  # noqa: F401
+from riskspark.llm import bpe, langid, linededup, mixing, pii, quality, sharding, simhash, topk, urlmodel  # noqa: F401
 from riskspark.llm.common import ORACLES, QUERIES  # noqa: F401
