@@ -33,7 +33,7 @@ from riskspark.llm.common import register, table, write_shared
 
 EDITS = 2
 MIN_CHARS = 20
-HOT = 32
+HOT = 16
 WORD_BITS = 16
 PLACE = ("doc_id", "text_hash", "line_no")
 
@@ -85,16 +85,23 @@ def segment_keys(distinct: DataFrame, indexed: bool) -> DataFrame:
     return sized.select(F.xxhash64("line").alias("id"), F.explode(F.array(*rows)).alias("x")).select("id", "x.key", "x.role")
 
 
+def let(fields: dict[str, Column], then) -> Column:
+    """`then` over a struct of values, each computed once a row however often it is used."""
+    return F.transform(F.array(F.struct(*[c.alias(k) for k, c in fields.items()])), then)[0]
+
+
 def longest_common(a: Column, b: Column) -> Column:
     """Length of the common prefix, found by doubling steps from large to small."""
     steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
-    most = F.least(F.length(a), F.length(b))
 
-    def grow(done: Column, step: Column) -> Column:
-        same = F.substring(a, done + 1, step) == F.substring(b, done + 1, step)
-        return F.when((done + step <= most) & same, done + step).otherwise(done)
+    def search(s: Column) -> Column:
+        def grow(done: Column, step: Column) -> Column:
+            same = F.substring(s["a"], done + 1, step) == F.substring(s["b"], done + 1, step)
+            return F.when(done + step > s["most"], done).when(same, done + step).otherwise(done)
 
-    return F.aggregate(steps, F.lit(0), grow)
+        return F.aggregate(steps, F.lit(0), grow)
+
+    return let({"a": a, "b": b, "most": F.least(F.length(a), F.length(b))}, search)
 
 
 def banded(pattern: Column, text: Column, edits: int = EDITS) -> Column:
@@ -116,7 +123,7 @@ def banded(pattern: Column, text: Column, edits: int = EDITS) -> Column:
         vp, vn = state["vp"], state["vn"]
         d0 = (match.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(match).bitwiseOR(vn).bitwiseAND(F.lit(full))
         made = F.transform(F.array(F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), state["d"].alias("d"))), after(j))
-        return F.when(state["d"] > 3 * edits, state).otherwise(made[0])
+        return F.when(state["d"] > 2 * edits, state).otherwise(made[0])
 
     def after(j: Column):
         def build(s: Column) -> Column:
@@ -140,10 +147,6 @@ def banded(pattern: Column, text: Column, edits: int = EDITS) -> Column:
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether two lines, both longer than `edits`, are within `edits` edits; as few as needed is read."""
 
-    def let(fields: dict[str, Column], then):
-        """Names for intermediate values, computed once a row."""
-        return F.transform(F.array(F.struct(*[c.alias(k) for k, c in fields.items()])), then)[0]
-
     def trimmed(s: Column) -> Column:
         tail = longest_common(
             F.reverse(F.substring(s["x"], s["p"] + 1, F.length(s["x"]))),
@@ -200,7 +203,7 @@ def near_links(docs: DataFrame) -> DataFrame:
     both = write_shared(both, "candidates")
     pairs, hot = both.filter("key is null").select("a", "b").distinct(), both.filter("key is not null").select("key", "role", "n", F.col("a").alias("id"))
 
-    needed = both.select(F.explode(F.array("a", "b")).alias("id")).filter("id is not null").distinct()
+    needed = both.select(F.col("a").alias("id")).union(both.select("b").filter("b is not null")).distinct()
     texts = only(hashed(lines(docs).select("line")), needed, "k1").distinct()
     texts = write_shared(texts, "candidate-lines")
 
