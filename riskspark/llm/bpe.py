@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -147,7 +148,8 @@ def encode_with(data: bytes, known: dict[int, tuple[int, list[int]]], tool: Code
     return ids
 
 
-def summary(ids: list[int], tool: Codec) -> tuple[int, str, str]:
+def summary(ids: np.ndarray, tool: Codec) -> tuple[int, str, str]:
+    ids = ids.tolist()
     listed = ",".join(map(tool.names.__getitem__, ids)).encode()
     return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(tool.decode(ids)).hexdigest()
 
@@ -218,52 +220,60 @@ def encode_shared(docs: DataFrame, shared: DataFrame, bitmap, name: str) -> Data
     return once.mapInArrow(run, "chunk binary, ids binary")
 
 
-def encode_documents(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """RESULT for every row of `docs` (doc_id, text)."""
+def batch_of(rows: list[tuple], with_ids: bool, more: list[pa.Array] = [], names: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """Rows (doc_id, ids or None) as RESULT, with `ids` itself on request, and further columns."""
+    tool = codec()
+    found = [(None, None, None) if ids is None else summary(ids, tool) for _, ids in rows]
+    n, digests, decoded = zip(*found) if found else ((), (), ())
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(n, pa.int64())]
+    columns += [pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+    if with_ids:
+        packed = [None if ids is None else np.array(ids, np.int32) for _, ids in rows]
+        columns.append(pa.array(packed, pa.list_(pa.int32())))
+    fields = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *names]
+    return pa.RecordBatch.from_arrays(columns + more, names=fields)
+
+
+def encode_documents(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """RESULT for every row of `docs` (doc_id, text), and the token ids themselves on request."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = write_shared(find_chunks(docs), "chunks")
     shared = write_shared(found.groupBy("chunk").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     bitmap = docs.sparkSession.sparkContext.broadcast(shared_filter(shared))
     coded = write_shared(encode_shared(docs, shared, bitmap, name), "coded")
     pieces = found.join(coded, "chunk").groupBy("key").agg(F.collect_list(F.struct("start", "size", "ids")).alias("pieces"))
+    shape = RESULT + ", ids array<int>" * with_ids
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, pack = codec(name), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            keys, packed, done = [], [], []
+            rows, keys, packed = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
                 waits = any(listed(bitmap.value, xxhash.xxh3_128_digest(data[s:e])) for s, e in chunks(data))
                 keys.append(row_key(doc_id, text))
                 packed.append(pack.compress(data) if waits else None)
-                done.append((None, None, None) if waits else summary(tool.encode(text or ""), tool))
-            n, ids, decoded = zip(*done) if done else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-                + [pa.array(keys, pa.binary()), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "key", "packed"],
-            )
+                rows.append((doc_id, None if waits else np.array(tool.encode(text or ""), np.int32)))
+            more = [pa.array(keys, pa.binary()), pa.array(packed, pa.binary())]
+            yield batch_of(rows, with_ids, more, ("key", "packed"))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, unpack = codec(name), zstandard.ZstdDecompressor()
         for batch in batches:
+            ready = pa.Table.from_batches([batch]).select([f for f in batch.schema.names if f not in ("packed", "pieces")])
+            waits = batch.column("packed").is_valid()
+            yield from ready.filter(pa.compute.invert(waits)).to_batches()
             rows = []
-            for row in batch.to_pylist():
-                if row["packed"] is None:
-                    rows.append((row["doc_id"], row["n_tokens"], row["ids_sha256"], row["decoded_sha256"]))
-                    continue
+            for row in batch.select(["doc_id", "packed", "pieces"]).filter(waits).to_pylist():
                 known = {
                     p["start"]: (p["start"] + p["size"], np.frombuffer(p["ids"], np.uint16).tolist())
                     for p in row["pieces"] or ()
                 }
-                ids = encode_with(unpack.decompress(row["packed"]), known, tool)
-                rows.append((row["doc_id"], *summary(ids, tool)))
-            columns = zip(*rows) if rows else ((), (), (), ())
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((row["doc_id"], np.array(encode_with(unpack.decompress(row["packed"]), known, tool), np.int32)))
+            yield batch_of(rows, with_ids)
 
-    read = docs.mapInArrow(first, f"{RESULT}, key binary, packed binary")
-    return read.join(pieces, "key", "left").drop("key").mapInArrow(second, RESULT)
+    read = docs.mapInArrow(first, f"{shape}, key binary, packed binary")
+    return read.join(pieces, "key", "left").drop("key").mapInArrow(second, shape)
 
 
 @register("op1_bpe")

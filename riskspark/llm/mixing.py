@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from riskspark.llm.common import WORD, register, table, write_shared
@@ -80,9 +82,9 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return got
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size"), *keep)
 
 
 def source_table(rows: DataFrame, block: int) -> pd.DataFrame:
@@ -105,13 +107,14 @@ def source_table(rows: DataFrame, block: int) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and where the line begins and is cut.
+    """doc_id, source, size, source_size, target, taken, the `keep` columns, and a document's place.
 
-    `start` and `line_words` place a document in its line; `whole` is the words taken in all.
+    `start` and `line_words` place it in its line, `whole` is the words the line gives in all, and
+    `round0`, `round1` are the words that the document gives in each round.
     """
     spark = docs.sparkSession
     # A pair of 64-bit hashes orders the line; the first also picks the shard.
-    ordered = sized(docs).withColumns(
+    ordered = sized(docs, keep).withColumns(
         {"h": F.xxhash64(F.lit(seed), "doc_id", "source"), "g": F.xxhash64(F.lit(seed + 1), "doc_id", "size")}
     )
     rows = write_shared(ordered, "sized")
@@ -152,6 +155,34 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, keep: tuple[str,
     return placed.withColumns(named).withColumn("taken", sum((F.col(c) for c in named), F.lit(0)).cast("long"))
 
 
+def first_words(text: pd.Series, n: pd.Series) -> pd.Series:
+    """The beginning of a text up to its n-th word; null for a null text."""
+
+    def cut(t, k):
+        ends = [m.end() for _, m in zip(range(int(k)), re.finditer(WORD, t))]
+        return t[: ends[-1]] if ends else ""
+
+    return pd.Series([None if t is None else cut(t, k) for t, k in zip(text, n)], dtype=object)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The mix as documents: a row for each round that takes words of a document, cut to those words."""
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    marked = write_shared(docs.select(packed, F.monotonically_increasing_id().alias("uid")), "marked")
+    plain = marked.select("uid", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")])
+    rounds = F.array(*[F.col(f"round{k}") for k in range(MOST)])
+    given = mix(plain, keep=("uid",)).select("uid", "size", F.explode(rounds).alias("words")).filter("words > 0")
+    joined = marked.join(given, "uid")
+    whole = F.col("words") == F.col("size")
+    part = F.pandas_udf(first_words, T.StringType())(F.when(~whole, F.col("row.text")), "words")
+    joined = joined.withColumn("given", F.when(whole, F.col("row.text")).otherwise(part))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out["text"] = F.col("given")
+    if "n_chars" in out:
+        out["n_chars"] = F.length("given").cast("long")
+    return joined.select(*[column.alias(c) for c, column in out.items()])
+
+
 @register("op9_mixing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"))
