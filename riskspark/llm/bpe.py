@@ -38,7 +38,7 @@ from riskspark.llm.common import register, row_key, table, write_shared
 
 VOCABULARY = "byte_bpe_50k"
 CHUNK_BITS = 10  # chunks of about 2**10 bytes
-FILTER_BITS = 27  # 16 MB, whatever the size of the corpus
+FILTER_BITS = 25  # 4 MB, whatever the size of the corpus
 SPECIAL = "<|endoftext|>"
 EDGE = re.compile(rb"(?<=[\x21-\x7e])[ \n]")
 PLAIN = re.compile(r"[\x00-ɏ]*")
@@ -184,9 +184,9 @@ def shared_filter(shared: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(place >> 6), pa.array(bits)], names=["word", "bits"])
 
     words = shared.select("chunk").mapInArrow(run, "word long, bits long")
-    found = words.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    found = words.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()  # at most 2**(FILTER_BITS - 6) rows
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bitmap[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy()
     return bitmap
 
 
