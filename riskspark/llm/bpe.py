@@ -2,7 +2,7 @@
 
 1. A rolling hash over 16 bytes cuts every text into chunks of about `CHUNK` bytes, at places that
    depend on nearby bytes only, so a passage shared by documents falls into the same chunks.
-2. Chunks that occur twice or more are encoded once; their token ids travel to the documents. A
+2. Chunks that two or more documents hold are encoded once; their token ids travel to the documents. A
    bitmap of fixed size over the shared chunks tells which texts have one; a false alarm costs work,
    never a result. Texts without a shared chunk are encoded where they are read.
 3. Joins are repaired. A white-space character after a visible ASCII character starts a new piece of
@@ -238,7 +238,10 @@ def encode_documents(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = F
     """RESULT for every row of `docs` (doc_id, text), and the token ids themselves on request."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = write_shared(find_chunks(docs), "chunks")
-    shared = write_shared(found.groupBy("chunk").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    # Shared means by different documents: a document that stands in several rows is one.
+    owner = F.xxhash64("key")
+    owners = found.groupBy("chunk").agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
+    shared = write_shared(owners.filter("low <> high").select("chunk"), "shared")
     bitmap = docs.sparkSession.sparkContext.broadcast(shared_filter(shared))
     coded = write_shared(encode_shared(docs, shared, bitmap, name), "coded")
     pieces = found.join(coded, "chunk").groupBy("key").agg(F.collect_list(F.struct("start", "size", "ids")).alias("pieces"))
