@@ -48,12 +48,3 @@ def hold(df: DataFrame, *names: str) -> DataFrame:
     others = [c for c in df.columns if c not in names]
     held = F.inline(F.array(F.struct(*names)))
     return df.select(*others, held).select(*df.columns)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy work on an input of very few splits.
-
-    A large input has more splits than cores and is returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df

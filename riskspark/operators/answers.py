@@ -84,29 +84,47 @@ def build_prompts(df: DataFrame, channel: str) -> DataFrame:
     return df.select("id", F.concat(*body).alias("prompt"))
 
 
-def parse_llm_answers(df: DataFrame, col: str = "answer") -> DataFrame:
-    """Read score, verdict and analysis out of the answer text."""
+def parse_llm_answers(df: DataFrame, col: str = "answer", failed: str | None = None) -> DataFrame:
+    """Read score, verdict and analysis out of the answer text.
+
+    A null answer, or one whose `failed` column is true, is no success and has score 0.
+    """
     answer = F.col(col)
+    success = answer.isNotNull()
+    if failed:
+        success = success & ~F.coalesce(F.col(failed), F.lit(False))
     digits = F.regexp_extract(answer, r"(?i)SCORE:\s*(\d+)", 1)
     word = F.upper(F.regexp_extract(answer, r"(?i)VERDICT:\s*(SAFE|SUSPICIOUS|PHISHING)", 1))
     has_analysis = answer.rlike(r"(?i)ANALYSIS:")
     analysis = strip_ws(F.regexp_extract(answer, r"(?is)ANALYSIS:\s*(.*)", 1))
+    # More digits than a number can hold still mean "above 100".
+    number = F.least(F.coalesce(digits.try_cast("double"), F.lit(100.0)), F.lit(100.0)).cast("int")
     return df.withColumns(
         {
             "llm_available": F.lit(True),
-            "llm_success": F.lit(True),
-            "llm_score": F.when(digits == "", 0).otherwise(
-                F.least(F.coalesce(digits.try_cast("double"), F.lit(100.0)), F.lit(100.0)).cast("int")
-            ),
-            "llm_verdict": F.when(word == "", "UNKNOWN").otherwise(word),
-            "llm_analysis": F.when(has_analysis, analysis).otherwise(answer),
+            "llm_success": success,
+            "llm_score": F.when(success & (digits != ""), number).otherwise(0),
+            "llm_verdict": F.when(success & (word != ""), word).otherwise("UNKNOWN"),
+            "llm_analysis": F.when(~success, "Not available").when(has_analysis, analysis).otherwise(answer),
         }
     )
 
 
-def attach_llm(df: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
-    """Left-join parsed answers, one per record; records without one keep score 0."""
-    parsed = parse_llm_answers(answers).select(
+def one_answer(answers: DataFrame, key: str = "id", col: str = "answer", at: str = "at") -> DataFrame:
+    """One answer per record: the latest by the `at` column if there is one, then the greatest text."""
+    others = [c for c in answers.columns if c not in (key, col, at)]
+    order = [F.col(at)] if at in answers.columns else []
+    best = F.max(F.struct(F.col(col).isNotNull().alias("given"), *order, F.col(col), *others)).alias("best")
+    kept = [c for c in answers.columns if c != key]
+    return answers.groupBy(key).agg(best).select(key, *[F.col("best").getField(c).alias(c) for c in kept])
+
+
+def attach_llm(df: DataFrame, answers: DataFrame, key: str = "id", failed: str | None = None) -> DataFrame:
+    """Left-join parsed answers; records without a usable one keep score 0.
+
+    Several answers to one record are reduced by `one_answer`, so no record is multiplied.
+    """
+    parsed = parse_llm_answers(one_answer(answers, key), failed=failed).select(
         key, "llm_available", "llm_success", "llm_score", "llm_verdict", "llm_analysis"
     )
     joined = df.join(parsed, key, "left")

@@ -54,15 +54,17 @@ def drop_empty(df: DataFrame) -> DataFrame:
 def dedupe_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row per key: the first in the given order.
 
-    Copies collapse in the map-side aggregation, so a text that makes up a third of the
-    table reaches the shuffle as one row per task.
+    Copies collapse in the map-side aggregation, so a text that makes up a third of the table
+    reaches the shuffle as one row per task. Rows are grouped by a 256-bit digest, and the key's
+    text is carried once per group, so what is sorted and compared is short.
     """
     rest = [c for c in df.columns if c != key and c not in order]
     first = F.min(F.struct(*order, *rest)).alias("_first")
+    digest = F.sha2(F.col(key).cast("string"), 256)
     return (
-        df.groupBy(key)
-        .agg(first)
-        .select(*[F.col(c) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
+        df.groupBy(digest.alias("_digest"))
+        .agg(first, F.first(key).alias("_key"))
+        .select(*[F.col("_key").alias(c) if c == key else F.col(f"_first.{c}").alias(c) for c in df.columns])
     )
 
 

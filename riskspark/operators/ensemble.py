@@ -16,11 +16,10 @@ def combine_tables(a: DataFrame, b: DataFrame, key="id", mode="weighted", weight
     """Ensemble of two probability tables (key, p); raises when their keys differ."""
     left, right = a.select(key, F.col("p").alias("pa")), b.select(key, F.col("p").alias("pb"))
     combined = scoring.combine_probs(F.col("pa"), F.col("pb"), mode, weights)
-    joined = left.join(right, key, "full")
-    missing = joined.filter(F.col("pa").isNull() | F.col("pb").isNull())
-    if not missing.isEmpty():
-        raise ValueError("Shape mismatch: the tables do not cover the same rows.")
-    return left.join(right, key).select(key, combined.alias("p"))
+    uneven = F.col("pa").isNull() | F.col("pb").isNull()
+    message = F.raise_error(F.lit("Shape mismatch: the tables do not cover the same rows."))
+    checked = F.when(uneven, message.cast("double")).otherwise(combined)
+    return left.join(right, key, "full").select(key, checked.alias("p"))
 
 
 def label_binary(df: DataFrame, p="p") -> DataFrame:

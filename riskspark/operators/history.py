@@ -1,10 +1,8 @@
 """Queries over the stored scans."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 10_000  # a page this close to the top needs no narrowing
-
 
 def stats(scans: DataFrame) -> DataFrame:
     v = F.col("verdict")
@@ -17,38 +15,36 @@ def stats(scans: DataFrame) -> DataFrame:
 
 
 def newest(scans: DataFrame) -> DataFrame:
-    return scans.orderBy(F.desc("created_at"), F.desc("id"))
+    """Newest first; scans without a time come last."""
+    return scans.orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
 
 
 def history_page(scans: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
-    """One page, newest first. A page past the end is empty.
+    """One page, newest first, scans without a time last. A page past the end is empty.
 
-    A deep page first finds, from counts per day and then per second, the short stretch
-    of time that holds it; only that stretch is ordered.
+    Every page is found the same way: a running sum over counts per second tells which seconds
+    overlap the page, and only their scans are ordered. The table is not sorted.
     """
     skip = (page - 1) * per_page
-    if skip + per_page > DIRECT_ROWS:
-        for unit in ("day", "second"):
-            scans, skip = _narrow(scans, unit, skip, per_page)
-    return newest(scans).offset(skip).limit(per_page)
-
-
-def _narrow(scans: DataFrame, unit: str, skip: int, size: int):
-    """Keep the time slots that overlap ranks [skip, skip+size); return the new offset."""
-    at = F.col("created_at")
-    counts = scans.groupBy(F.date_trunc(unit, at).alias("slot")).agg(F.count("*").alias("n"))
-    passed, low, high, offset = 0, None, None, 0
-    for row in counts.orderBy(F.desc("slot")).toLocalIterator():
-        if high is None and passed + row["n"] > skip:
-            high, offset = row["slot"], skip - passed
-        passed += row["n"]
-        low = row["slot"]
-        if passed >= skip + size:
-            break
-    if high is None:
-        return scans.limit(0), 0
-    # A plain range on the column reaches the file statistics.
-    return scans.filter((at >= F.lit(low)) & (at < F.lit(high) + F.expr(f"INTERVAL 1 {unit}"))), offset
+    second = F.date_trunc("second", "created_at")
+    counts = scans.groupBy(second.alias("slot")).agg(F.count("*").alias("n"))
+    # Days first: their sums are few, so no window holds more than the seconds of one day.
+    day = F.date_trunc("day", "slot")
+    days = counts.groupBy(day.alias("day")).agg(F.sum("n").alias("day_n"))
+    before = Window.orderBy(F.desc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("day_before", F.coalesce(F.sum("day_n").over(before), F.lit(0)))
+    days = days.filter((F.col("day_before") < skip + per_page) & (F.col("day_before") + F.col("day_n") > skip))
+    inside = Window.partitionBy("day").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = counts.join(days, day.eqNullSafe(F.col("day")))
+    start = F.col("day_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    slots = slots.withColumn("start", start).filter(
+        (F.col("start") < skip + per_page) & (F.col("start") + F.col("n") > skip)
+    )
+    near = scans.join(slots.select("slot", "start"), second.eqNullSafe(F.col("slot")))
+    within = Window.partitionBy("slot").orderBy(F.desc_nulls_last("created_at"), F.desc("id"))
+    place = F.col("start") + F.row_number().over(within)
+    wanted = near.withColumn("place", place).filter((F.col("place") > skip) & (F.col("place") <= skip + per_page))
+    return newest(wanted.select(*scans.columns))
 
 
 def page_info(scans: DataFrame, per_page: int = 20) -> DataFrame:

@@ -1,6 +1,5 @@
 """Evaluation of binary predictions: one conditional-aggregate pass, and exact AUC."""
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,31 +79,32 @@ def class_report(df: DataFrame, label="label", pred="pred") -> DataFrame:
 def roc_auc(df: DataFrame, label="label", score="p", by=(), buckets=256) -> DataFrame:
     """Exact area under the ROC curve with ties; NaN when only one class is present.
 
-    Equal scores collapse first. Quantile cut points then spread the distinct scores over
-    buckets that are ranked independently; only bucket totals are summed in order.
+    Rows whose label is null, or whose score is null or NaN, have no place in the order and take no
+    part. Equal scores collapse first. Distinct scores are ranked within slots of their log-odds,
+    `buckets` to the unit, and only slot totals are summed in order.
     """
     by = list(by)
-    data = df.select(*by, F.col(label).alias("y"), F.col(score).cast("double").alias("s"))
-    quantiles = [i / buckets for i in range(1, buckets)]
-    found = data.agg(F.percentile_approx("s", quantiles, 10 * buckets)).head()[0] or []
-    splits = [float("-inf"), *sorted(set(found)), float("inf")]
+    value = F.col(score).cast("double")
+    data = df.select(*by, F.col(label).alias("y"), value.alias("s"))
+    data = data.filter(F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
     tied = data.groupBy(*by, "s").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
     )
-    if len(splits) > 2:
-        cut = Bucketizer(splits=splits, inputCol="s", outputCol="bucket", handleInvalid="keep")
-        tied = cut.transform(tied)
-    else:
-        tied = tied.withColumn("bucket", F.lit(0.0))
-    inside = Window.partitionBy(*by, "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    # Slots follow the score itself, so each model has its own; logits spread those near 0 and 1.
+    inner = (F.col("s") > 0) & (F.col("s") < 1)
+    spread = F.when(inner, F.floor(F.log(F.col("s") / (1 - F.col("s"))) * buckets))
+    tied = tied.withColumns(
+        {"low": F.when(F.col("s") <= 0, 0).when(inner, 1).otherwise(2), "bucket": F.coalesce(spread, F.lit(0))}
+    )
+    inside = Window.partitionBy(*by, "low", "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
     per_bucket = (
         tied.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-        .groupBy(*by, "bucket")
+        .groupBy(*by, "low", "bucket")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
     )
     group = by or [F.lit(0)]
-    earlier = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("low", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("neg").over(earlier), F.lit(0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return (

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from riskspark import lexicon
 from riskspark.operators.corpus import guess_columns, label_as_int, union_all
 
-MAX_HEADER = 10_000  # attribute lines and suffix rules are held by the driver
-
 
 def _csv(spark, path, **options) -> DataFrame:
     return spark.read.options(header=True, escape='"', **options).csv(path)
@@ -27,19 +25,24 @@ def read_phish_urls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_top_sites(spark: SparkSession, path: str) -> DataFrame:
-    """(url, label 0) from a headerless CSV of rank and site; bad lines are skipped."""
-    raw = spark.read.schema("rank int, url string").option("mode", "DROPMALFORMED").csv(path)
-    # Asking for the rank keeps the parser from pruning the column that marks a bad line.
-    return raw.filter(F.col("rank").isNotNull()).select("url", F.lit(0).alias("label"))
+    """(url, label 0) from a headerless CSV of rank and site.
+
+    The rank is not read as a number: blank and worded ranks are as good as others. Only lines with
+    more fields than two are skipped; a line of one field has no site.
+    """
+    raw = spark.read.schema("rank string, url string, extra string").csv(path)
+    good = F.col("extra").isNull() & F.col("url").isNotNull()
+    return raw.filter(good).select("url", F.lit(0).alias("label"))
 
 
 def read_arff(spark: SparkSession, path: str, label: str = "Result") -> DataFrame:
-    """Attribute-relation file: columns from `@attribute` lines, label -1 becomes 1, else 0."""
+    """Attribute-relation file: columns from `@attribute` lines, label -1 becomes 1, else 0.
+
+    The header, one line per column, is read up to `@data`; the driver holds as many names as the
+    table has columns.
+    """
     lines = spark.read.text(path).withColumn("line", F.trim("value"))
-    heads = lines.filter(F.lower("line").startswith("@attribute")).select("line")
-    rows = heads.limit(MAX_HEADER + 1).collect()
-    if len(rows) > MAX_HEADER:
-        raise ValueError("Too many attributes.")
+    rows = lines.filter(F.lower("line").startswith("@attribute")).select("line").collect()
     columns = [_attribute(r["line"]) for r in rows]
     columns = list(dict.fromkeys(columns))
     body = lines.filter(~F.substr("line", F.lit(1), F.lit(1)).isin("@", "%") & (F.col("line") != ""))
@@ -106,8 +109,11 @@ def read_sms_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_suffix_list(spark: SparkSession, path: str) -> list[str]:
-    """Public-suffix rules from the published list file, private section left out."""
-    lines = [r["value"].strip() for r in spark.read.text(path, wholetext=False).limit(50_000).collect()]
-    if "// ===BEGIN PRIVATE DOMAINS===" in lines:
-        lines = lines[: lines.index("// ===BEGIN PRIVATE DOMAINS===")]
+    """Public-suffix rules from the published list file, private section left out.
+
+    The list is one file; it is read as one value, so the order of its lines is the file's.
+    """
+    (content,) = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
+    public = content.partition("// ===BEGIN PRIVATE DOMAINS===")[0]
+    lines = [line.strip() for line in public.splitlines()]
     return [line.split()[0] for line in lines if line and not line.startswith("//")]
