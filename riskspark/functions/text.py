@@ -3,6 +3,7 @@
 import json
 import sys
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,19 +21,46 @@ def collapse_ws(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)\s+", " "))
 
 
+#: A character reference with its semicolon: decimal, hexadecimal or named.
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
 def strip_html(col: Column) -> Column:
-    """Drop comments, declarations and tags, then decode the common entities.
+    """Drop comments, declarations and tags, then decode character references.
 
     Script and style bodies stay, as a plain text extraction of the tree keeps them.
     """
-    out = F.regexp_replace(col, r"(?s)<!--.*?-->|<[!?][^>]*>|</?[A-Za-z][^>]*>", " ")
-    # Entity names and the characters they stand for; `&amp;` last.
-    for name, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-        ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return decode_entities(F.regexp_replace(col, r"(?s)<!--.*?-->|<[!?][^>]*>|</?[A-Za-z][^>]*>", " "))
+
+
+def decode_entities(col: Column) -> Column:
+    """Decode numeric references and the named ones of HTML, in one pass; unknown names stay.
+
+    Numbers that are no character give the replacement character.
+    """
+    names = [n for n in html5 if n.endswith(";")]
+    named = F.map_from_arrays(_listed(names), _listed([html5[n] for n in names]))
+    found = F.regexp_extract_all(col, F.lit(ENTITY), F.lit(0))
+    chars = F.transform(found, lambda e: _decoded(e, named))
+    between = F.split(col, ENTITY, -1)
+    joined = F.array_join(F.zip_with(between, chars, lambda t, c: F.concat(t, F.coalesce(c, F.lit("")))), "")
+    return F.when(col.rlike(ENTITY), joined).otherwise(col)
+
+
+def _listed(items: list[str]) -> Column:
+    """A list of strings as one constant, which the optimizer folds."""
+    return F.split(F.lit("\x1f".join(items)), "\x1f")
+
+
+def _decoded(entity: Column, named: Column) -> Column:
+    hexadecimal = F.substr(entity, F.lit(3), F.lit(1)).isin("x", "X")
+    digits = F.regexp_replace(entity, "^&#[xX]?|;$", "")
+    code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("int")
+    valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+    wide = F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")
+    number = F.decode(F.unhex(wide), "UTF-32")
+    name = F.try_element_at(named, F.substr(entity, F.lit(2)))
+    return F.when(entity.startswith("&#"), number).otherwise(F.coalesce(name, entity))
 
 
 def clean_text(col: Column) -> Column:

@@ -8,67 +8,55 @@ limits of a group become limit values of that hash in two light passes:
 2. rank only the rows under those few prefixes (about one row in 65,536 per limit) and
    read off the limit value.
 
-The final table is then a narrow comparison of each row's hash with the limits.
+The final table is then a comparison of each row's hash with the limits of its group. Limits
+stay tables: they are broadcast if they have few rows, and joined otherwise, with the same result.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskspark.functions.staging import stage
+
 PREFIX = 4  # hex digits of the hash prefix
-MAX_LIMITS = 10_000  # limit rows that may be held by the driver and broadcast
+BROADCAST_ROWS = 10_000  # limit rows that are broadcast
 
 
 def hash_order(key: Column, seed) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
-def _limits(keyed: DataFrame, ranks) -> dict:
-    """Per group: {rank number: (hash, key)} for each rank expression over the size n.
+def _few(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most `bound` rows."""
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+def _limits(keyed: DataFrame, ranks) -> DataFrame:
+    """(_g, _limit0, _limit1, ...): per group the (hash, key) of each rank over the size n.
 
     `keyed` has _group, _h and _key. A rank of zero has no limit.
     """
-    spark = keyed.sparkSession
-    prefix = F.substr("_h", F.lit(1), F.lit(PREFIX))
-    keyed = keyed.withColumn("_prefix", prefix)
+    keyed = keyed.withColumn("_prefix", F.substr("_h", F.lit(1), F.lit(PREFIX)))
     counts = keyed.groupBy("_group", "_prefix").agg(F.count("*").alias("c"))
     whole = Window.partitionBy("_group")
     ordered = whole.orderBy("_prefix")
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.array(
-        *[F.struct(F.lit(i).alias("i"), r.cast("long").alias("rank")) for i, r in enumerate(ranks)]
-    )
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), r.cast("long").alias("rank")) for i, r in enumerate(ranks)])
     before = F.col("upto") - F.col("c")
     targets = (
         counts.withColumns({"n": F.sum("c").over(whole), "upto": F.sum("c").over(so_far)})
         .withColumn("w", F.explode(wanted))
         .filter((F.col("w.rank") > before) & (F.col("w.rank") <= F.col("upto")))
-        .select("_group", "_prefix", "w.i", (F.col("w.rank") - before).alias("place"))
-    )
-    # Classes x thresholds rows: read once, checked, so that later passes can broadcast them.
-    hits = targets.limit(MAX_LIMITS + 1).collect()
-    if len(hits) > MAX_LIMITS:
-        raise ValueError("Too many groups: sampling needs a class column of few values.")
-    group_type = keyed.schema["_group"].dataType.simpleString()
-    hit_schema = f"g {group_type}, p string, i int, place long"
-    small = spark.createDataFrame([tuple(h) for h in hits], hit_schema)
-    prefixes = spark.createDataFrame(sorted({(h[0], h[1]) for h in hits}, key=str), f"g {group_type}, p string")
-    near = keyed.join(
-        F.broadcast(prefixes),
-        F.col("_group").eqNullSafe(F.col("g")) & (F.col("_prefix") == F.col("p")),
-        "left_semi",
+        .select(F.col("_group").alias("g"), F.col("_prefix").alias("p"), "w.i", (F.col("w.rank") - before).alias("place"))
     )
+    targets = stage(targets, "ranks")
+    same = F.col("_group").eqNullSafe(F.col("g")) & (F.col("_prefix") == F.col("p"))
+    near = keyed.join(_few(targets), same, "left_semi")
     by_prefix = Window.partitionBy("_group", "_prefix").orderBy("_h", "_key")
     ranked = near.withColumn("_place", F.row_number().over(by_prefix))
-    found = ranked.join(
-        F.broadcast(small),
-        F.col("_group").eqNullSafe(F.col("g"))
-        & (F.col("_prefix") == F.col("p"))
-        & (F.col("_place") == F.col("place")),
-    ).select("_group", "i", "_h", "_key")
-    limits: dict = {}
-    for row in found.collect():  # as many rows as `hits`
-        limits.setdefault(row["_group"], {})[row["i"]] = (row["_h"], row["_key"])
-    return limits
+    found = ranked.join(_few(targets), same & (F.col("_place") == F.col("place")))
+    at = F.struct("_h", "_key")
+    limits = [F.max(F.when(F.col("i") == i, at)).alias(f"_limit{i}") for i in range(len(ranks))]
+    return stage(found.groupBy(F.col("_group").alias("_g")).agg(*limits), "limits")
 
 
 def _with_limits(df, group: Column | None, key, seed, ranks):
@@ -77,21 +65,16 @@ def _with_limits(df, group: Column | None, key, seed, ranks):
     of = F.lit(0) if group is None else group
     limits = _limits(df.select(of.alias("_group"), h.alias("_h"), F.col(key).alias("_key")), ranks)
     marked = df.withColumn("_at", F.struct(h.alias("_h"), F.col(key).alias("_key")))
-    names = [f"_limit{i}" for i in range(len(ranks))]
-    limit_type = f"struct<_h:string,_key:{df.schema[key].dataType.simpleString()}>"
-    if group is None:
-        at = limits.get(0, {})
-        constants = {
-            n: F.struct(F.lit(at[i][0]), F.lit(at[i][1])) if i in at else F.lit(None)
-            for i, n in enumerate(names)
-        }
-        joined = marked.withColumns({n: c.cast(limit_type) for n, c in constants.items()})
+    if group is None:  # one row of limits
+        only = limits.head()
+        constants = {}
+        for name, kind in limits.dtypes[1:]:
+            at = only and only[name]
+            value = F.struct(F.lit(at["_h"]), F.lit(at["_key"])) if at else F.lit(None)
+            constants[name] = value.cast(kind)
+        joined = marked.withColumns(constants)
     else:
-        group_type = df.select(of.alias("g")).schema["g"].dataType.simpleString()
-        rows = [(g, *[at.get(i) for i in range(len(ranks))]) for g, at in limits.items()]
-        fields = ", ".join([f"_g {group_type}", *[f"{n} {limit_type}" for n in names]])
-        table = F.broadcast(df.sparkSession.createDataFrame(rows, fields))
-        joined = marked.join(table, of.eqNullSafe(F.col("_g")), "left")
+        joined = marked.join(_few(limits), of.eqNullSafe(F.col("_g")), "left")
     return joined, [c for c in joined.columns if c not in df.columns]
 
 

@@ -54,18 +54,23 @@ def tokenize(df: DataFrame, col="text", ngram_range=(1, 2), stop_words=None) ->
 
 
 def term_counts(tokenized: DataFrame) -> DataFrame:
-    """(term, cf, df): occurrences and documents per term, in one exploded pass."""
-    t = F.col("tokens")
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    seen = F.transform(t, lambda x: F.struct(x.alias("term"), one.alias("cf"), none.alias("df")))
-    first = F.transform(
-        F.array_distinct(t),
-        lambda x: F.struct(x.alias("term"), none.alias("cf"), one.alias("df")),
+    """(term, cf, df): occurrences and documents per term.
+
+    Tokens are sorted within their document, so that each distinct term leaves it as one row
+    with its count: the distance between the starts of two neighbouring runs.
+    """
+    ordered = tokenized.select(F.array_sort("tokens").alias("s"))
+    starts = F.filter(
+        F.transform("s", lambda x, i: F.when((i == 0) | (F.get("s", i - 1) != x), i)), lambda i: i.isNotNull()
     )
+    ends = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.size("s")))
+    runs = F.zip_with("at", ends, lambda i, j: F.struct(F.get("s", i).alias("term"), (j - i).cast("long").alias("cf")))
     return (
-        tokenized.select(F.explode(F.concat(seen, first)).alias("t"))
-        .groupBy(F.col("t.term").alias("term"))
-        .agg(F.sum("t.cf").alias("cf"), F.sum("t.df").alias("df"))
+        ordered.filter(F.size("s") > 0)
+        .withColumn("at", starts)
+        .select(F.inline(runs))
+        .groupBy("term")
+        .agg(F.sum("cf").alias("cf"), F.count("*").alias("df"))
     )
 
 

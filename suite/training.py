@@ -41,8 +41,9 @@ def _(t):
 
 
 def clean_sql(col: str) -> str:
+    # The references that the tables hold, and a few more, written out.
     html = f"regexp_replace({col}, '(?s)<!--.*?-->|<[!?][^>]*>|</?[A-Za-z][^>]*>', ' ', 'g')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         html = f"replace({html}, '{name}', '{char}')"
     out = f"lower(CASE WHEN contains({col}, '<') AND contains({col}, '>') THEN {html} ELSE {col} END)"
     out = f"regexp_replace({out}, '\\s+', ' ', 'g')"
@@ -204,7 +205,7 @@ def _(t):
 
 # -- text model ---------------------------------------------------------------
 
-FEATURES, MIN_DF = 2_000, 2
+FEATURES, MIN_DF = 50_000, 2
 STOP = listed(lexicon.STOP_WORDS)
 
 

@@ -16,9 +16,18 @@ def values(spark, func, items, kind="string"):
 
 def test_clean_text(spark):
     given = ["<html><body><p>Hello <b>world</b></p></body></html>", "  hello    world   ", "HELLO World", None,
-             "a < b", "café   x", "Tom &amp; <i>J</i>"]
+             "a < b", "café   x", "Tom &amp; <i>J</i>",
+             "<p>a&#8217;b &#x41; &mdash; c</p>", "<p>&#65;&#x42;&lbrace;&amp;lt; &nosuch; &#0;&#xD800;z &quot;q&quot;&#39;</p>"]
     assert values(spark, text.clean_text, given) == [
         "hello world", "hello world", "hello world", "", "a b", "caf x", "tom & j",
+        "a b a c", "ab{&lt; &nosuch; z \"q\"'",
+    ]
+
+
+def test_entities(spark):
+    given = ["a&#8217;b", "&#x1F600;", "&mdash;&eacute;", "&amp;amp;", "&lt;&gt;&vert;", "x & y; &; &#;", "", None, "&copy; 2024 &NotEqualTilde;&Tab;z"]
+    assert values(spark, text.decode_entities, given) == [
+        "a\u2019b", "\U0001F600", "\u2014\u00e9", "&amp;", "<>|", "x & y; &; &#;", "", None, "\u00a9 2024 \u2242\u0338\tz",
     ]
 
 
@@ -64,6 +73,16 @@ def test_cap_keeps_small_classes_whole(spark):
     assert {r.label: r["count"] for r in got} == {0: 100, 1: 20}
 
 
+def test_limits_joined_or_broadcast_give_the_same_rows(spark, monkeypatch):
+    df = spark.range(3000).withColumn("label", F.when(F.col("id") % 3 > 0, F.col("id") % 500))
+    expected = {tuple(r) for r in sampling.cap_per_class(df, 2).collect()}
+    split = {tuple(r) for r in sampling.assign_split(df, (0.8,), ("train", "test"), stratify="label").collect()}
+    monkeypatch.setattr(sampling._few, "__defaults__", (0,))
+    assert {tuple(r) for r in sampling.cap_per_class(df, 2).collect()} == expected
+    assert {tuple(r) for r in sampling.assign_split(df, (0.8,), ("train", "test"), stratify="label").collect()} == split
+    assert sampling.assign_split(df.limit(0)).count() == 0
+
+
 def test_dedupe_keeps_the_first_label(spark):
     df = spark.createDataFrame([("a", 1, 1, 0), ("a", 0, 0, 5), ("b", 1, 0, 1)], "text string, label int, src int, row int")
     once = corpus.dedupe_first(df, "text", ["src", "row"])
