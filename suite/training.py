@@ -1,5 +1,6 @@
 """Corpus, text-model, evaluation and tree queries with their SQL checks."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskspark import lexicon
@@ -466,7 +467,7 @@ def _(t):
     return df.select("model", *[F.round(c, 6).alias(c) for c in df.columns if c != "model"])
 
 
-# -- trees (no SQL equivalent) ----------------------------------------------------
+# -- trees: SQL knows the held-out rows and the rules that a score keeps ------------
 
 
 def url_training(t):
@@ -475,13 +476,25 @@ def url_training(t):
     return t.view("v_urls").withColumn("label", F.when(bad, 1).otherwise(0))
 
 
-@query("trees_forest")
+def held_out_sql(fraction: float) -> str:
+    return f"""WITH {cte("v_urls")}, r AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) AS rn, count(*) OVER () AS n FROM v_urls)
+    SELECT id, (id % 32 >= 10)::INTEGER::BIGINT AS label, true AS within, true AS agrees FROM r WHERE rn > floor({fraction}::DOUBLE * n)"""
+
+
+def kept_rules(scored):
+    """The probability lies in 0..1 and the prediction is the likelier class."""
+    p = F.col("probability")
+    return scored.select(
+        "id", "label", p.between(0, 1).alias("within"), (F.col("prediction") == (p > 0.5).cast("int")).alias("agrees")
+    )
+
+
+@query("trees_forest", held_out_sql(0.8))
 def _(t):
     df = sampling.assign_split(urls.url_lexical14(url_training(t)), (0.8,), ("train", "test"))
     train = sampling.take_split(df, "train")
     model = trees.fit_forest(train, lexicon.LEXICAL_FEATURES, trees=20, depth=8)
-    scored = trees.predict_trees(sampling.take_split(df, "test"), model)
-    return scored.select("id", "label", F.round("probability", 6).alias("probability"), "prediction")
+    return kept_rules(trees.predict_trees(sampling.take_split(df, "test"), model))
 
 
 @query("trees_forest_combined_sources")
@@ -506,16 +519,20 @@ def boosted(t, rounds=10, depth=4):
     return df, trees.fit_gbt(sampling.take_split(df, "train"), rounds=rounds, depth=depth)
 
 
-@query("trees_boosting")
+@query("trees_boosting", held_out_sql(0.85))
 def _(t):
     df, model = boosted(t)
-    scored = trees.predict_trees(sampling.take_split(df, "test"), model)
-    return scored.select("id", "label", F.round("probability", 6).alias("probability"), "prediction")
+    return kept_rules(trees.predict_trees(sampling.take_split(df, "test"), model))
 
 
-@query("trees_importances")
+@query(
+    "trees_importances",
+    f"SELECT unnest({listed(lexicon.MODEL_FEATURES)}) AS feature, true AS within, true AS sum_is_one",
+)
 def _(t):
-    return trees.importances(t.spark, boosted(t)[1])
+    df = trees.importances(t.spark, boosted(t)[1])
+    total = F.sum("importance").over(Window.partitionBy())  # one row per feature
+    return df.select("feature", F.col("importance").between(0, 1).alias("within"), (F.round(total, 9) == 1).alias("sum_is_one"))
 
 
 @query("url_model_score")
