@@ -15,6 +15,7 @@ CACHE_SECONDS = 10 * 60
 ALLOW_SECONDS = 5 * 60
 SERVICE = "http://localhost:5000"
 LOCAL_NAMES = ["localhost", "127.0.0.1"]
+ALLOWED_BADGE = "⚠"
 
 
 def scannable(df: DataFrame, col: str = "url", service: str = SERVICE) -> DataFrame:
@@ -94,6 +95,23 @@ def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 ho
     )
 
 
+def replay_permissions(rows, is_open: bool, timers: list[int], span: int) -> tuple[list[bool], bool]:
+    """Whether each of one url's events, in order, is an allowed navigation, and if it is open after.
+
+    `timers`, when the permissions end, is brought up to date in place.
+    """
+    allowed = []
+    for at, kind in zip(rows["at"].tolist(), rows["kind"]):
+        while timers and timers[0] <= at:
+            timers.pop(0)
+            is_open = False
+        allowed.append(kind == "nav" and is_open)
+        is_open = kind == "allow"
+        if is_open:
+            timers.append(at + span)
+    return allowed, is_open
+
+
 def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour") -> DataFrame:
     """(id, url, ts, allowed) for each navigation in a stream of `nav` and `allow` events.
 
@@ -112,18 +130,7 @@ def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour"
         rows = rows.astype({"id": "int64", "at": "int64"}).sort_values(["at", "kind", "id"])
         span = ttl * 1_000_000
         is_open, timers = (state.get[0], list(state.get[1])) if state.exists else (False, [])
-        allowed = []
-        for at, kind in zip(rows["at"].tolist(), rows["kind"]):
-            while timers and timers[0] <= at:
-                timers.pop(0)
-                is_open = False
-            if kind == "allow":
-                is_open = True
-                timers.append(at + span)
-                allowed.append(False)
-            else:
-                allowed.append(is_open)
-                is_open = False
+        allowed, is_open = replay_permissions(rows, is_open, timers, span)
         if timers:
             state.update((is_open, timers))
             state.setTimeoutTimestamp(max(timers[-1] // 1000, state.getCurrentWatermarkMs() + 1))
@@ -146,6 +153,55 @@ def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour"
     )
 
 
+def decisions(events: DataFrame, auto_scan: bool = True, late: str = "1 hour") -> DataFrame:
+    """(id, url, ts, source) for each navigation in a stream of `nav` and `allow` events.
+
+    `source` tells what decides, in this order: `allowed` by a permission, which it uses up; `off`
+    without automatic scanning; `cached` while the url's last scan lives; else `scan`. Of
+    navigations at one time the smallest id scans. Late rows are judged as in `first_per_window`.
+    """
+    allow_span, cache_span = ALLOW_SECONDS * 1_000_000, CACHE_SECONDS * 1_000_000
+
+    def step(key, batches: Iterator, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([b[["id", "kind", "at"]].explode(["id", "kind", "at"]) for b in batches])
+        rows = rows.astype({"id": "int64", "at": "int64"}).sort_values(["at", "kind", "id"])
+        is_open, timers, due = (state.get[0], list(state.get[1]), state.get[2]) if state.exists else (False, [], None)
+        allowed, is_open = replay_permissions(rows, is_open, timers, allow_span)
+        out = rows.assign(url=key[0], source="allowed")[["id", "url", "at", "source"]]
+        nav = rows["kind"].to_numpy() == "nav"
+        sources = out["source"].tolist()
+        for i, at in enumerate(out["at"].tolist()):
+            if nav[i] and not allowed[i]:
+                scans = auto_scan and (due is None or at >= due)
+                sources[i] = "scan" if scans else "cached" if auto_scan else "off"
+                due = at + cache_span if scans else due
+        ends = [*timers[-1:], *([] if due is None else [due])]
+        if ends:
+            state.update((is_open, timers, due))
+            state.setTimeoutTimestamp(max(max(ends) // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield out.assign(source=sources)[nav]
+
+    return (
+        packed(events, {"id": "long", "kind": "string", "at": "long"}, late)
+        .groupBy("url")
+        .applyInPandasWithState(
+            step,
+            "id long, url string, at long, source string",
+            "open boolean, timers array<long>, due long",
+            "append",
+            "EventTimeTimeout",
+        )
+        .select("id", "url", F.timestamp_micros("at").alias("ts"), "source")
+    )
+
+
 def score_batch(nav: DataFrame, **options) -> DataFrame:
     """Score each url of one batch once and give the result to all its navigations.
 
@@ -172,7 +228,12 @@ def score_stream(nav: DataFrame, auto_scan: bool = True, **options) -> DataFrame
                 "badge": F.lit(""),
             }
         )
-    scored = scan_ops.action_policy(_scored(nav, **options))
+    return with_action(_scored(nav, **options))
+
+
+def with_action(scored: DataFrame) -> DataFrame:
+    """Add action and badge; a url that cannot be scored is allowed with the badge `!`."""
+    scored = scan_ops.action_policy(scored)
     failed = F.col("verdict") == "ERROR"
     return scored.withColumn("action", F.when(failed, "allow").otherwise(F.col("action"))).withColumn(
         "badge", F.when(failed, "!").otherwise(F.col("risk_score").cast("string"))
@@ -228,3 +289,53 @@ def scan_stream(nav: DataFrame, path: str, checkpoint: str, **options) -> Stream
     """Cache, score and store a navigation stream."""
     due = first_per_window(scannable(nav)).withColumn("id", F.xxhash64("url", "ts"))
     return sink_scans(score_stream(due, **options), path, checkpoint)
+
+
+def navigation_job(
+    events: DataFrame, path: str, checkpoint: str, auto_scan: bool = True, **options
+) -> StreamingQuery:
+    """Everything a navigation needs, from a stream (id, url, ts, kind) of `nav` and `allow` events.
+
+    Scannable pages only; then permission, switch, cache, scan, action. Below `path`, with a folder
+    per batch number that a repeated batch replaces: `decided` (what decides each navigation),
+    `scored` (each url of the batch once), `actions` (id, url, ts, source, risk_score, verdict,
+    action, badge) and `history` (the scans made, as stored).
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            target = f"{path}/{name}/batch={number}"
+            df.write.mode("overwrite").parquet(target)
+            return spark.read.schema(df.schema).parquet(target)
+
+        # The state's output is written before it is used twice.
+        decided = kept(batch, "decided")
+        asked = decided.filter(F.col("source").isin("scan", "cached")).select("url").distinct()
+        scored = score_urls(asked.withColumn("id", F.xxhash64("url")), **options)
+        scored = kept(scored.select("url", "risk_score", "verdict", "scan_summary", "details"), "scored")
+        by_source = F.when(F.col("source") == "allowed", ALLOWED_BADGE).when(F.col("source") == "off", "")
+        judged = F.col("source").isin("scan", "cached")
+        acted = with_action(decided.join(scored.select("url", "risk_score", "verdict"), "url", "left"))
+        acted = acted.withColumns(
+            {
+                "action": F.when(judged, F.col("action")).otherwise("allow"),
+                "badge": F.when(judged, F.col("badge")).otherwise(by_source),
+                **{c: F.when(judged, F.col(c)) for c in ("risk_score", "verdict")},
+            }
+        )
+        kept(acted.select("id", "url", "ts", "source", "risk_score", "verdict", "action", "badge"), "actions")
+        scans = decided.filter("source = 'scan'").drop("id").join(scored, "url")
+        scans = scans.withColumns(
+            {"id": F.xxhash64("url", "ts"), "scan_type": F.lit("url"), "created_at": F.col("ts")}
+        )
+        kept(stored_scans(scans), "history")
+
+    return (
+        decisions(scannable(events), auto_scan)
+        .writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

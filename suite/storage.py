@@ -410,3 +410,34 @@ def _(t):
     table = t.spark.read.parquet(out)
     last = table.agg(F.max("batch")).head()[0]
     return table.filter(F.col("batch") == last).drop("batch")
+
+
+JOB = CACHE[: CACHE.index("ev AS")].rstrip() + """ o AS (SELECT *, lag(kind) OVER w AS before, lag(ts) OVER w AS allowed_at FROM nav WINDOW w AS (PARTITION BY url ORDER BY ts, kind, id)),
+    al AS (SELECT DISTINCT url, ts FROM nav WHERE kind = 'allow'),
+    tm AS (SELECT o.id, min(al.ts) AS first_timer FROM o JOIN al ON al.url = o.url AND al.ts <= o.allowed_at AND al.ts > o.allowed_at - INTERVAL 5 MINUTE
+      WHERE o.kind = 'nav' AND o.before = 'allow' GROUP BY o.id),
+    dn AS (SELECT o.id, o.url, o.ts, coalesce(first_timer + INTERVAL 5 MINUTE > o.ts, false) AS allowed FROM o LEFT JOIN tm ON tm.id = o.id WHERE o.kind = 'nav'),
+    ev AS (SELECT DISTINCT url, ts FROM dn WHERE NOT allowed),
+""" + CACHE[CACHE.index("due AS") :]
+
+
+@query(
+    "nav_job",
+    f"""{JOB}, {SCORED}, pick AS (SELECT dn.id, dn.url, CASE WHEN allowed THEN 'allowed'
+      WHEN sc.url IS NOT NULL AND row_number() OVER (PARTITION BY dn.url, dn.ts, allowed ORDER BY dn.id) = 1 THEN 'scan' ELSE 'cached' END AS source
+      FROM dn LEFT JOIN sc ON sc.url = dn.url AND sc.ts = dn.ts)
+    SELECT id, source, CASE WHEN source = 'allowed' OR error IS NOT NULL THEN 'allow' WHEN risk >= 70 THEN 'block' WHEN risk >= 31 THEN 'warn' ELSE 'allow' END AS action,
+      CASE WHEN source = 'allowed' THEN '⚠' WHEN error IS NOT NULL THEN '!' ELSE risk::VARCHAR END AS badge,
+      CASE WHEN source = 'scan' THEN CASE WHEN error IS NULL THEN risk ELSE 0 END END::DOUBLE AS stored_score,
+      CASE WHEN source = 'scan' THEN CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN risk >= 66 THEN 'PHISHING' WHEN risk >= 31 THEN 'SUSPICIOUS' ELSE 'SAFE' END END AS stored_verdict
+    FROM pick JOIN z USING (url)""",
+)
+def _(t):
+    out, state = staging_path(t.spark, "job"), staging_path(t.spark, "job-state")
+    navigation.navigation_job(nav_stream(t), out, state).awaitTermination()
+    stored = t.spark.read.parquet(f"{out}/history").select(
+        F.col("id").alias("scan"), F.col("risk_score").alias("stored_score"), F.col("verdict").alias("stored_verdict")
+    )
+    acted = t.spark.read.parquet(f"{out}/actions")
+    acted = acted.withColumn("scan", F.when(F.col("source") == "scan", F.xxhash64("url", "ts")))
+    return acted.join(stored, "scan", "left").select("id", "source", "action", "badge", "stored_score", "stored_verdict")
