@@ -24,8 +24,11 @@ def _class_scores(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, C
     return _ratio(tp, tp + fp), _ratio(tp, tp + fn), _ratio(2 * tp, 2 * tp + fp + fn)
 
 
-def binary_metrics(df: DataFrame, label="label", pred="pred", by=()) -> DataFrame:
-    """Accuracy, precision, recall and F1 of class 1; zero where undefined."""
+def binary_metrics(df: DataFrame, label="label", pred="pred", by=(), counts=False) -> DataFrame:
+    """Accuracy, precision, recall and F1 of class 1; zero where undefined. Null labels take no part.
+
+    `counts` adds the confusion matrix as tp, fp, fn, tn.
+    """
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     precision, recall, f1 = _class_scores(tp, fp, fn)
     return df.groupBy(*by).agg(*_counts(label, pred)).select(
@@ -34,6 +37,7 @@ def binary_metrics(df: DataFrame, label="label", pred="pred", by=()) -> DataFram
         precision.alias("precision"),
         recall.alias("recall"),
         f1.alias("f1"),
+        *([tp, fp, fn, tn] if counts else []),
     )
 
 
@@ -114,9 +118,11 @@ def roc_auc(df: DataFrame, label="label", score="p", by=(), buckets=256) -> Data
     )
 
 
-def compare_models(df: DataFrame, models: dict[str, str], label="label", threshold=0.5):
-    """Metrics of several probability columns of one table, one row per model."""
+def compare_models(df: DataFrame, models: dict[str, str], label="label", threshold=0.5, by=(), counts=False):
+    """Metrics of several probability columns of one table, one row per model and `by` group."""
+    by = list(by)
     stacked = df.select(
+        *by,
         F.col(label).alias("label"),
         F.explode(
             F.array(
@@ -126,8 +132,15 @@ def compare_models(df: DataFrame, models: dict[str, str], label="label", thresho
                 ]
             )
         ).alias("m"),
-    ).select("label", "m.model", "m.p")
+    ).select(*by, "label", "m.model", "m.p")
     judged = stacked.withColumn("pred", scoring.binary_label(F.col("p"), threshold))
-    return binary_metrics(judged, by=["model"]).join(
-        roc_auc(stacked, by=["model"]), "model"
-    )
+    keys = [*by, "model"]
+    areas = roc_auc(stacked, by=keys)
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"a.{k}")) for k in keys]
+    joined = binary_metrics(judged, by=keys, counts=counts).alias("m").join(areas.alias("a"), same, "left")
+    return joined.select("m.*", F.coalesce("a.roc_auc", F.lit(float("nan"))).alias("roc_auc"))
+
+
+def evaluate_splits(df: DataFrame, models: dict[str, str], split="split", label="label", threshold=0.5):
+    """The evaluation report: per split and model the five metrics and the confusion matrix."""
+    return compare_models(df, models, label, threshold, by=[split], counts=True)

@@ -2,17 +2,16 @@
 
 from pyspark.sql import functions as F
 
-from riskspark.functions.scoring import combine_probs
 from riskspark.functions.staging import staging_path
 from riskspark.functions.text import clean_text, collapse_ws
-from riskspark.operators import history, metrics, sampling, textmodel, trees
+from riskspark.operators import history, sampling, textmodel, trees
 from riskspark.operators.ensemble import predict_batch
 from riskspark.plans.scans import score_urls
 from riskspark.sources import maildir, readers, writers
 from riskspark.streaming import navigation
 from suite import training
 from suite.registry import query
-from suite.training import MODEL, MODELS, clean_sql
+from suite.training import MODEL, clean_sql
 from suite.urls import url_ctes
 from suite.views import cte
 
@@ -283,17 +282,12 @@ def _(t):
     return scored.select("id", F.round("probability", 6).alias("probability"))
 
 
-@query(
-    "sink_metrics",
-    f"WITH {training.COUNTS} SELECT round((tp + tn) / (tp + tn + fp + fn), 6)::DOUBLE AS accuracy, 'second' AS model FROM k",
-)
+@query("sink_metrics", training.BY_SPLIT)
 def _(t):
-    blend = combine_probs(F.col("p_second"), F.col("p_nb"))
-    compared = metrics.compare_models(t.view("v_probs").withColumn("p_hybrid", blend), MODELS)
+    report = training.by_split(t)
     path = staging_path(t.spark, "metrics")
-    writers.write_metrics(compared, path)
-    back = t.spark.read.schema(compared.schema).json(path).filter("model = 'second'")
-    return back.select(F.round("accuracy", 6).alias("accuracy"), "model")
+    writers.write_metrics(report, path)
+    return training.rounded(t.spark.read.schema(report.schema).json(path))
 
 
 # -- streams ----------------------------------------------------------------------

@@ -446,6 +446,32 @@ def _(t):
     return df.select("model", *[F.round(c, 6).alias(c) for c in df.columns if c != "model"])
 
 
+SPLIT = "CASE id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
+BY_SPLIT = f"""WITH {PROBS}, st AS (SELECT {SPLIT} AS split, label, m.model, m.p FROM
+    (SELECT *, unnest([{{'model': 'naive_bayes', 'p': p_nb}}, {{'model': 'second', 'p': p_second}}, {{'model': 'hybrid', 'p': 0.7 * p_second + 0.3 * p_nb}}]) AS m FROM v_probs)),
+  rk AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY split, model, p) - 1) / 2.0 AS r FROM st WINDOW w AS (PARTITION BY split, model ORDER BY p)),
+  k AS (SELECT split, model, count(*) FILTER (label = 1 AND p >= 0.5) AS tp, count(*) FILTER (label = 0 AND p >= 0.5) AS fp,
+    count(*) FILTER (label = 1 AND p < 0.5) AS fn, count(*) FILTER (label = 0 AND p < 0.5) AS tn, sum(r) FILTER (label = 1) AS rs FROM rk GROUP BY ALL)
+SELECT split, model, tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6)::DOUBLE AS accuracy, round(tp / (tp + fp), 6)::DOUBLE AS precision,
+  round(tp / (tp + fn), 6)::DOUBLE AS recall, round(2 * tp / (2 * tp + fp + fn), 6)::DOUBLE AS f1,
+  round((rs - (tp + fn) * (tp + fn + 1) / 2.0) / ((tp + fn)::DOUBLE * (fp + tn)), 6)::DOUBLE AS roc_auc FROM k"""
+
+
+def by_split(t):
+    blend = scoring.combine_probs(F.col("p_second"), F.col("p_nb"))
+    rows = t.view("v_probs").withColumns({"p_hybrid": blend, "split": F.expr(SPLIT)})
+    return metrics.evaluate_splits(rows, MODELS)
+
+
+def rounded(df):
+    return df.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in df.dtypes])
+
+
+@query("metrics_by_split", BY_SPLIT)
+def _(t):
+    return rounded(by_split(t))
+
+
 SPLIT_MODEL = model_sql("rn <= floor(0.7::DOUBLE * n)")["model"]
 VALIDATION = "rn > floor(0.7::DOUBLE * n) AND rn <= floor(0.7::DOUBLE * n) + floor(0.15::DOUBLE * n)"
 
