@@ -54,8 +54,13 @@ def page_info(scans: DataFrame, per_page: int = 20) -> DataFrame:
 
 
 def history_after(scans: DataFrame, created_at, last_id: int, n: int = 20) -> DataFrame:
-    """The next `n` scans after a known row: the keyset form for walking deep history."""
+    """The next `n` scans after a known row: the keyset form for walking deep history.
+
+    Where scans are stored by `created_date`, later days are not read.
+    """
     at = F.lit(created_at)
+    if "created_date" in scans.columns:
+        scans = scans.filter(F.col("created_date") <= F.to_date(at.cast("timestamp")))
     older = (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < last_id))
     return newest(scans.filter(older)).limit(n)
 
@@ -68,6 +73,13 @@ def verdict_share(scans: DataFrame) -> DataFrame:
     return scans.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def since(scans: DataFrame, day: str) -> DataFrame:
+    """Scans from a day (yyyy-MM-dd) on; where they are stored by `created_date`, earlier days are not read."""
+    if "created_date" in scans.columns:
+        return scans.filter(F.col("created_date") >= F.lit(day).cast("date"))
+    return scans.filter(F.to_date("created_at") >= F.lit(day).cast("date"))
+
+
 def weekly_activity(scans: DataFrame) -> DataFrame:
     """Scans per calendar week, starting on Monday."""
     week = F.date_trunc("week", F.col("created_at")).alias("week_start")

@@ -1,5 +1,7 @@
 """Sinks: scan history, corpora, reports, models, metrics."""
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,28 @@ def stored_scans(df: DataFrame) -> DataFrame:
     )
 
 
+HISTORY = (
+    "id long, scan_summary string, risk_score double, verdict string, details_json string, created_at timestamp, "
+    "run string, scan_type string, created_date date"
+)
+
+
+def write_history(df: DataFrame, path: str, run: str) -> None:
+    """The stored scans of one run, below run=/scan_type=/created_date= of the history.
+
+    A run that is repeated after a lost executor or driver replaces its own output.
+    """
+    stored = stored_scans(df).withColumns({"id": F.col("id").cast("long"), "created_date": F.to_date("created_at")})
+    stored.write.mode("overwrite").partitionBy("scan_type", "created_date").parquet(f"{path}/run={run}")
+
+
 def append_scans(df: DataFrame, path: str) -> None:
-    stored_scans(df).write.mode("append").partitionBy("scan_type").parquet(path)
+    write_history(df, path, f"job-{uuid.uuid4().hex}")
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The whole history of batch jobs and streams; filters on type and date skip folders."""
+    return spark.read.schema(HISTORY).parquet(path)
 
 
 def write_splits(df: DataFrame, path: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskspark.operators import scans as scan_ops
 from riskspark.plans.scans import score_urls
-from riskspark.sources.writers import stored_scans
+from riskspark.sources.writers import write_history
 
 # Lifetimes of a cached result and of a permission, and own addresses.
 CACHE_SECONDS = 10 * 60
@@ -250,15 +250,11 @@ def _scored(nav: DataFrame, **options) -> DataFrame:
 
 
 def sink_scans(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append scans to the history.
-
-    Batch files go to one folder per batch number, so a batch that is run again after a
-    lost executor or driver replaces its own output instead of doubling it.
-    """
+    """Append scans to the history, as one run per batch number."""
 
     def write(batch: DataFrame, number: int) -> None:
         scans = batch.withColumns({"scan_type": F.lit("url"), "created_at": F.col("ts")})
-        stored_scans(scans).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        write_history(scans, path, f"batch-{number}")
 
     return (
         scored.writeStream.foreachBatch(write)
@@ -299,7 +295,7 @@ def navigation_job(
     Scannable pages only; then permission, switch, cache, scan, action. Below `path`, with a folder
     per batch number that a repeated batch replaces: `decided` (what decides each navigation),
     `scored` (each url of the batch once), `actions` (id, url, ts, source, risk_score, verdict,
-    action, badge) and `history` (the scans made, as stored).
+    action, badge); `history` holds the scans made, as one run per batch number.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -330,7 +326,7 @@ def navigation_job(
         scans = scans.withColumns(
             {"id": F.xxhash64("url", "ts"), "scan_type": F.lit("url"), "created_at": F.col("ts")}
         )
-        kept(stored_scans(scans), "history")
+        write_history(scans, f"{path}/history", f"batch-{number}")
 
     return (
         decisions(scannable(events), auto_scan)

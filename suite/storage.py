@@ -383,13 +383,16 @@ def _(t):
 
 @query(
     "nav_history",
-    f"""{CACHE}, {SCORED} SELECT CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN risk >= 66 THEN 'PHISHING' WHEN risk >= 31 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict, count(*) AS n
-    FROM sc JOIN z USING (url) GROUP BY 1""",
+    f"""{CACHE}, {SCORED} SELECT 'url' AS scan_type, strftime(ts, '%Y-%m-%d') AS created_date, {STAMP} AS created_at, CASE WHEN error IS NULL THEN risk ELSE 0 END AS risk_score,
+    CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN risk >= 66 THEN 'PHISHING' WHEN risk >= 31 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict FROM sc JOIN z USING (url)""",
 )
 def _(t):
     out, state = staging_path(t.spark, "scans"), staging_path(t.spark, "scans-state")
     navigation.scan_stream(nav_stream(t), out, state).awaitTermination()
-    return history.verdict_share(t.spark.read.parquet(out))
+    return writers.read_history(t.spark, out).select(
+        "scan_type", F.date_format("created_date", "yyyy-MM-dd").alias("created_date"),
+        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), "risk_score", "verdict",
+    )
 
 
 @query(
@@ -429,7 +432,7 @@ JOB = CACHE[: CACHE.index("ev AS")].rstrip() + """ o AS (SELECT *, lag(kind) OVE
 def _(t):
     out, state = staging_path(t.spark, "job"), staging_path(t.spark, "job-state")
     navigation.navigation_job(nav_stream(t), out, state).awaitTermination()
-    stored = t.spark.read.parquet(f"{out}/history").select(
+    stored = writers.read_history(t.spark, f"{out}/history").select(
         F.col("id").alias("scan"), F.col("risk_score").alias("stored_score"), F.col("verdict").alias("stored_verdict")
     )
     acted = t.spark.read.parquet(f"{out}/actions")

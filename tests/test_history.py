@@ -93,6 +93,50 @@ def test_permission_is_used_once_and_expires(spark, tmp_path, batches):
     assert got == {1: False, 3: True, 4: False, 7: False, 9: False}
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_navigation_job(spark, tmp_path, batches):
+    events = [
+        (1, "http://a.com/", "nav", 0), (2, "http://a.com/", "nav", 5), (3, "http://a.com/", "allow", 6),
+        (4, "http://a.com/", "nav", 7), (5, "http://a.com/", "nav", 11), (6, "http://h:abc/", "nav", 12),
+        (7, "ftp://a.com/", "nav", 13), (8, "http://a.com/", "nav", 21),
+    ]
+    rows = [(i, u, k, minute(m)) for i, u, k, m in events]
+    stream = stream_of(spark, tmp_path, rows, "id long, url string, kind string, ts timestamp", batches)
+    out = str(tmp_path / "job")
+    navigation.navigation_job(stream, out, str(tmp_path / "job-state")).awaitTermination()
+    got = {r.id: (r.source, r.action, r.badge) for r in spark.read.parquet(f"{out}/actions").collect()}
+    assert {i: s for i, (s, _, _) in got.items()} == {1: "scan", 2: "cached", 4: "allowed", 5: "scan", 6: "scan", 8: "scan"}
+    assert got[4] == ("allowed", "allow", "⚠") and got[6] == ("scan", "allow", "!") and got[2][1:] == got[1][1:]
+    stored = writers.read_history(spark, f"{out}/history")
+    assert stored.count() == 4 and stored.filter("verdict = 'ERROR'").count() == 1
+
+
+def test_navigation_job_without_scanning(spark, tmp_path):
+    rows = [(1, "http://a.com/", "nav", minute(0)), (2, "http://a.com/", "nav", minute(1))]
+    stream = stream_of(spark, tmp_path, rows, "id long, url string, kind string, ts timestamp", 2)
+    out = str(tmp_path / "job")
+    navigation.navigation_job(stream, out, str(tmp_path / "job-state"), auto_scan=False).awaitTermination()
+    got = spark.read.parquet(f"{out}/actions").collect()
+    assert {(r.source, r.action, r.badge) for r in got} == {("off", "allow", "")} and len(got) == 2
+    assert writers.read_history(spark, f"{out}/history").count() == 0
+
+
+def test_history_skips_other_days(spark, tmp_path):
+    path = str(tmp_path / "h")
+    urls = spark.createDataFrame([(i, f"http://a{i}.com/", minute(i * 1440)) for i in range(5)], "id long, url string, ts timestamp")
+    scans = score_urls(urls.select("id", "url")).join(urls.select("id", F.col("ts").alias("created_at")), "id")
+    writers.append_scans(scans, path)
+    stored = writers.read_history(spark, path)
+    at = stored.filter("id = 2").head().created_at
+    older = history.history_after(stored, at, 2)
+    assert [r.id for r in older.collect()] == [1, 0]
+    later = history.since(stored, at.strftime("%Y-%m-%d"))
+    assert sorted(r.id for r in later.collect()) == [2, 3, 4]
+    for df in (older, later):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_scannable_and_switch(spark):
     urls = ["http://a.com", "https://a.com", "ftp://a.com", "http://localhost:5000/x", "http://x/?127.0.0.1", None]
     nav = spark.createDataFrame(list(enumerate(urls)), "id int, url string")
