@@ -35,6 +35,7 @@ EDITS = 2
 MIN_CHARS = 20
 HOT = 16
 WORD_BITS = 16
+WORDY = r"[\p{L}\p{N}]"
 PLACE = ("doc_id", "text_hash", "line_no")
 
 
@@ -257,8 +258,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The documents without their dropped lines; those left without a judged line go. Same columns."""
+def dedup_documents(docs: DataFrame, short: bool = False) -> DataFrame:
+    """The documents without their dropped lines. Same columns.
+
+    Of the documents that lose lines, those left without a line of MIN_CHARS characters go; with
+    `short`, only those left without any line that holds a letter or digit.
+    """
     gone = dropped_lines(docs).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("h"))
     same = (F.col("h") == F.col("gone_hash")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id"))
@@ -266,7 +271,7 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     parts = F.split("row.text", "\n")
     left = F.filter(parts, lambda line, i: ~F.array_contains(F.coalesce("dropped", F.array().cast("array<int>")), i))
     joined = joined.withColumn("left", left)
-    bare = F.col("dropped").isNotNull() & ~F.exists("left", lambda line: F.length(line) >= MIN_CHARS)
+    bare = F.col("dropped").isNotNull() & ~F.exists("left", lambda line: line.rlike(WORDY) if short else F.length(line) >= MIN_CHARS)
     text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n"))
     joined = joined.filter(~bare).withColumn("kept_text", text)
     out = []
