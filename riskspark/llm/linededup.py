@@ -2,7 +2,7 @@
 
 A line of at least `MIN_CHARS` characters goes if an earlier line of the corpus equals it or is within
 `EDITS` edits of it; the first one stays. Lines stand in the order of doc_id, text hash and line
-number. Shorter lines ("The.") are left alone.
+number. With `short`, shorter lines ("Home") go if an earlier line equals them; blank ones never do.
 
 The join, over distinct lines: a line is cut into EDITS + 1 segments, so a line within EDITS edits
 holds at least one of them unchanged, at a place that the two lengths allow. Segments are
@@ -39,14 +39,15 @@ WORDY = r"[\p{L}\p{N}]"
 PLACE = ("doc_id", "text_hash", "line_no")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, line_no (from 0), line: every line long enough to be judged."""
+def lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, text_hash, line_no (from 0), line: every line long enough to be judged, or all but blank ones."""
     cut = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_hash"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    return cut.filter(F.length("line") >= MIN_CHARS)
+    judged = F.length("line") >= MIN_CHARS
+    return cut.filter(judged | F.col("line").rlike(r"[^\s]") if short else judged)
 
 
 def hashed(found: DataFrame) -> DataFrame:
@@ -228,10 +229,13 @@ def near_links(docs: DataFrame) -> DataFrame:
     return cool.unionByName(warm).select(*[c.alias(k) for k, c in names.items()]).distinct()
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and, for each document with lines to drop, `dropped` (numbers) and `near`."""
+def dropped_lines(docs: DataFrame, short: bool = False) -> DataFrame:
+    """doc_id, text_hash and, for each document with lines to drop, `dropped` (numbers) and `near`.
+
+    With `short`, lines below MIN_CHARS are judged too, by equality; the edit join keeps to the others.
+    """
     docs = docs.select("doc_id", "text")
-    seen = write_shared(hashed(lines(docs)).drop("line"), "lines")
+    seen = write_shared(hashed(lines(docs, short)).drop("line"), "lines")
     links = write_shared(near_links(docs), "links")
     place = F.struct(*PLACE)
 
@@ -262,9 +266,9 @@ def dedup_documents(docs: DataFrame, short: bool = False) -> DataFrame:
     """The documents without their dropped lines. Same columns.
 
     Of the documents that lose lines, those left without a line of MIN_CHARS characters go; with
-    `short`, only those left without any line that holds a letter or digit.
+    `short`, short lines are judged too, and only documents without a letter or digit left go.
     """
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
+    gone = dropped_lines(docs, short).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("h"))
     same = (F.col("h") == F.col("gone_hash")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id"))
     joined = packed.join(gone, same, "left")
@@ -291,7 +295,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"))
-    gone = dropped_lines(docs).withColumnRenamed("doc_id", "gone_id")
+    gone = dropped_lines(docs, short=True).withColumnRenamed("doc_id", "gone_id")
     same = (counted["text_hash"] == gone["text_hash"]) & counted["doc_id"].eqNullSafe(gone["gone_id"])
     joined = counted.join(gone, same, "left")
     return joined.select(
