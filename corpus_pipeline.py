@@ -2,6 +2,11 @@
 
 Every stage is (spark, docs, folder) -> DataFrame over all rows that the stage before it kept, and
 is written and read again. All but the last return the columns of `documents`.
+
+Defined cases: a null or blank text fails the quality rules and goes there; an empty table passes every
+stage as an empty table; equal rows and rows without an id are judged like others, one of each group of
+copies stays; of ties in the near-dedup the smallest id stays. Columns beyond those of `documents` are
+carried along, whatever their names. Texts of any length are processed whole.
 """
 
 from __future__ import annotations
@@ -12,8 +17,8 @@ from riskspark.llm.bpe import encode_documents
 from riskspark.llm.common import table, write_shared
 from riskspark.llm.linededup import dedup_documents
 from riskspark.llm.mixing import mixed_documents
-from riskspark.llm.neardup import drop_near_copies
 from riskspark.llm.quality import clean_documents
+from riskspark.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -27,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of every group of near copies (five-word shingles, Jaccard of 0.8 or more) stays."""
-    return drop_near_copies(docs)
+    """One document of every group of near copies stays: SimHash of three-word shingles, at most 3 bits apart."""
+    return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -49,7 +54,7 @@ STAGES = [
     ("bpe encoding", encoding),
 ]
 
-#: The edit join, the shingle sets and the vocabulary are beyond SQL; tests compare with brute force.
+#: The edit join, the fingerprints and the vocabulary are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
