@@ -139,7 +139,7 @@ def parts(marked: DataFrame) -> DataFrame:
     placed = placed.withColumn("start", F.col("end") - F.col("len")).filter(F.col("kind").isNotNull() | (F.col("pattern") == BREAKS))
     base = F.col("kind").isin("assign", "access", "hex")
     upto = Window.partitionBy("key").orderBy("start")
-    later = upto.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    later = Window.partitionBy("key").orderBy(F.desc("start"))  # a running minimum from the end
     return (
         placed.withColumn("base", F.coalesce(base, F.lit(False)))
         .withColumn("scope", F.sum((F.col("pattern") == BREAKS).cast("long")).over(upto))
