@@ -38,6 +38,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Staged tables of one piece of work, deleted together when its results are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(staging_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
 def hold(df: DataFrame, *names: str) -> DataFrame:
     """Compute the named columns once, at this point of the plan.
 

@@ -1,14 +1,20 @@
-"""Navigation stream: filter, allow-list, result cache, scoring, history sink."""
+"""Navigation stream: filter, allow-list, result cache, scoring, history sink.
 
-from collections.abc import Iterator
+Permissions and the cache are worked out per micro-batch with joins and windows over slots of time,
+with what they need from earlier batches in a small table. All steps are DataFrame functions, and a url
+that holds a third of the stream spreads over tasks by its times.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskspark.functions.staging import Scratch, remove
 from riskspark.operators import scans as scan_ops
 from riskspark.plans.scans import score_urls
 from riskspark.sources.writers import write_history
+from riskspark.streaming.slots import SLOTS, chained, first_from, with_previous
+from riskspark.streaming.state import StateTable
 
 # Lifetimes of a cached result and of a permission, and own addresses.
 CACHE_SECONDS = 10 * 60
@@ -16,6 +22,8 @@ ALLOW_SECONDS = 5 * 60
 SERVICE = "http://localhost:5000"
 LOCAL_NAMES = ["localhost", "127.0.0.1"]
 ALLOWED_BADGE = "⚠"
+#: State outlives its lifetime by so much event time, for events that come late.
+LATE_SECONDS = 60 * 60
 
 
 def scannable(df: DataFrame, col: str = "url", service: str = SERVICE) -> DataFrame:
@@ -28,178 +36,150 @@ def scannable(df: DataFrame, col: str = "url", service: str = SERVICE) -> DataFr
     return df.filter(url.isNotNull() & web & ~local)
 
 
-def packed(stream: DataFrame, types: dict[str, str], late: str) -> DataFrame:
-    """One watermarked row per url and Arrow batch, with an array per named column.
+def first_per_window(nav: DataFrame, state: StateTable, scratch: Scratch, ttl: int = CACHE_SECONDS) -> DataFrame:
+    """(url, at) of the navigations (url, at) of one batch that need a scan: the first per url, then the
+    first at or after `ttl` seconds from the scan before, in this or an earlier batch. A cached result
+    does not slide.
 
-    `at`, the time in microseconds, is free of time zones. Packing before the shuffle lets
-    a hot url move as a few compact rows instead of one row per navigation.
+    The batch's times are put in order, of whatever url and slot; what arrives after a later scan is cached.
     """
-    names = list(types)
+    return chained(nav.filter("url IS NOT NULL"), state.due(), ttl * 1_000_000, scratch)
 
-    def pack(batches: Iterator):
-        import pandas as pd
 
-        for batch in batches:
-            groups = batch.groupby("url", dropna=False)
-            rows = groups.agg({n: list for n in names})
-            rows["ts"] = pd.to_datetime(groups["at"].max(), unit="us", utc=True)
-            yield rows.reset_index()[["url", *names, "ts"]]
+def allow_once(events: DataFrame, state: StateTable, scratch: Scratch, ttl: int = ALLOW_SECONDS) -> DataFrame:
+    """(url, at, first, navs, last_open, allowed) per url and time of one batch of `nav` and `allow` events
+    (id, url, at, kind): the smallest navigation id, the number of navigations, whether a permission is the
+    time's last event, and whether its first navigation is allowed. No other navigation of one time can be.
 
-    fields = ", ".join(f"{n} array<{t}>" for n, t in types.items())
-    others = [n for n in names if n != "at"]
+    Allowing a url opens it for `ttl` seconds or until its next navigation, which uses the permission up.
+    Every allowance starts a timer that closes the url when it fires, even if it was allowed anew
+    meanwhile. At one time permissions come first, then navigations by id.
+    """
+    span = ttl * 1_000_000
+    length = max(span // SLOTS, 1)
+    is_nav = F.col("kind") == "nav"
+    # One row per url and time, summed map-side: a hot url moves as its distinct times.
+    per = events.filter("url IS NOT NULL").groupBy("url", "at").agg(
+        F.min(F.when(is_nav, F.col("id"))).alias("first"), F.count(F.when(is_nav, 1)).alias("navs"),
+        F.max(F.col("kind") == "allow").alias("allows"),
+    )
+    per = scratch.stage(per.withColumn("last_open", F.col("navs") == 0), "events")
+    known = state.last().select("url", F.struct("at", F.col("open").alias("last_open")).alias("known"))
+    told = with_previous(per, "last_open", length).join(known, "url", "left")
+    before = F.coalesce("before", "known")
+    told = told.withColumn("opened", F.when(F.col("allows"), F.col("at")).when(before["last_open"], before["at"]))
+    told = scratch.stage(told.drop("before", "known"), "opened")
+    # The earliest timer that is still running when the permission is given closes the url.
+    allows = scratch.stage(per.filter("allows").select("url", "at").union(state.timers()).distinct(), "allows")
+    asked = told.filter("navs > 0 AND opened IS NOT NULL").select("url", (F.col("opened") - (span - 1)).alias("x"))
+    running = first_from(asked.distinct(), allows, length)
+    running = running.select("url", (F.col("x") + (span - 1)).alias("opened"), F.col("found").alias("timer"))
+    open_still = (F.col("timer") <= F.col("opened")) & (F.col("timer") + span > F.col("at")) & (F.col("navs") > 0)
+    judged = told.join(running, ["url", "opened"], "left").withColumn("allowed", F.coalesce(open_still, F.lit(False)))
+    return judged.select("url", "at", "first", "navs", "last_open", "allowed")
+
+
+def decisions(
+    events: DataFrame, state: StateTable, scratch: Scratch, auto_scan: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(decided, changed): what decides each navigation of one batch of `nav` and `allow` events
+    (id, url, at, kind), as (id, url, at, source), and the rows of state that it changes.
+
+    `source` is, in this order: `allowed` by a permission, which it uses up; `off` without automatic
+    scanning; `cached` while the url's last scan lives; else `scan`. Of navigations at one time the
+    smallest id scans.
+    """
+    per = scratch.stage(allow_once(events, state, scratch), "permitted")
+    nav = events.filter("kind = 'nav' AND url IS NOT NULL").select("id", "url", "at")
+    left_over = per.filter(F.col("navs") > F.col("allowed").cast("int"))
+    scans = first_per_window(left_over.select("url", "at"), state, scratch) if auto_scan else left_over.limit(0).select("url", "at")
+    scans = scratch.stage(scans, "scans")
+    told = per.join(scans.withColumn("scans", F.lit(True)), ["url", "at"], "left")
+    told = told.select("url", "at", "first", "allowed", F.coalesce("scans", F.lit(False)).alias("scans"))
+    # Where the first navigation of a time is allowed, the second one scans.
+    both = told.filter("allowed AND scans").select("url", "at", "first")
+    second = nav.join(both, ["url", "at"]).filter("id > first").groupBy("url", "at").agg(F.min("id").alias("second"))
+    told = told.join(second, ["url", "at"], "left")
+    scanner = F.when(F.col("scans"), F.when(F.col("allowed"), F.col("second")).otherwise(F.col("first")))
+    source = (
+        F.when(F.col("allowed") & (F.col("id") == F.col("first")), "allowed")
+        .when(F.lit(not auto_scan), "off")
+        .when(F.col("id") == scanner, "scan")
+        .otherwise("cached")
+    )
+    decided = nav.join(told, ["url", "at"]).select("id", "url", "at", source.alias("source"))
+    return decided, changes(events, per, scans)
+
+
+def changes(events: DataFrame, per: DataFrame | None, scans: DataFrame | None) -> DataFrame:
+    """The rows of state that a batch changes, from its judged times and its scans."""
+    none = F.lit(None).cast("boolean")
+    clock = events.agg(F.max("at").alias("at")).filter("at IS NOT NULL")
+    out = clock.select(F.lit(None).cast("string").alias("url"), F.lit("clock").alias("what"), "at", none.alias("open"))
+    if scans is not None:
+        due = scans.groupBy("url").agg(F.max("at").alias("at"))
+        out = out.union(due.select("url", F.lit("due"), F.col("at") + CACHE_SECONDS * 1_000_000, none))
+    if per is not None:
+        last = per.groupBy("url").agg(F.max(F.struct("at", "last_open")).alias("s"))
+        out = out.union(last.select("url", F.lit("last"), "s.at", "s.last_open"))
+        timers = events.filter("kind = 'allow' AND url IS NOT NULL").select("url", "at").distinct()
+        out = out.union(timers.select("url", F.lit("timer"), "at", none))
+    return out
+
+
+def each_batch(stream: DataFrame, checkpoint: str, write) -> StreamingQuery:
+    """Run `write(batch, number)` on all that is there."""
     return (
-        stream.select("url", *others, F.unix_micros("ts").alias("at"))
-        .mapInPandas(pack, f"url string, {fields}, ts timestamp")
-        .withWatermark("ts", late)
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def first_per_window(nav: DataFrame, ttl: int = CACHE_SECONDS, late: str = "1 hour") -> DataFrame:
-    """(url, ts) of the navigations that need a scan: the first per url, then the first
-    at or after `ttl` seconds from the scan before. A cached result does not slide.
+def _timed(batch: DataFrame) -> DataFrame:
+    """With `at`, the time in microseconds, which is free of time zones."""
+    return batch.withColumn("at", F.unix_micros("ts")).drop("ts")
 
-    `nav` is a stream with url and timestamp ts. Per url, all times of a micro-batch are put
-    in order; rows later than `late` are judged by the watermark.
-    """
 
-    def step(key, batches: Iterator, state):
-        import numpy as np
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = np.unique(np.concatenate([t for b in batches for t in b["at"]]))
-        span = ttl * 1_000_000
-        due = state.get[0] + span if state.exists else times[0]
-        scans = []
-        at = int(np.searchsorted(times, due))
-        while at < len(times):
-            scans.append(int(times[at]))
-            at = int(np.searchsorted(times, times[at] + span))
-        if scans:
-            state.update((scans[-1],))
-        if state.exists:
-            expires = (state.get[0] + span) // 1000
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        if scans:
-            yield pd.DataFrame({"url": key[0], "at": scans})
+def _kept(df: DataFrame, path: str, number: int) -> DataFrame:
+    """`df` written to the folder of its batch, which a repeated batch replaces."""
+    target = f"{path}/batch={number}"
+    df.write.mode("overwrite").parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)
 
-    return (
-        packed(nav, {"at": "long"}, late)
-        .groupBy("url")
-        .applyInPandasWithState(
-            step, "url string, at long", "scanned long", "append", "EventTimeTimeout"
-        )
-        .select("url", F.timestamp_micros("at").alias("ts"))
-    )
 
+def cache_stream(nav: DataFrame, path: str, checkpoint: str, late: int = LATE_SECONDS, then=None) -> StreamingQuery:
+    """Write (url, ts) of the navigations of a stream (url, ts) that need a scan below `path`/due.
 
-def replay_permissions(rows, is_open: bool, timers: list[int], span: int) -> tuple[list[bool], bool]:
-    """Whether each of one url's events, in order, is an allowed navigation, and if it is open after.
-
-    `timers`, when the permissions end, is brought up to date in place.
-    """
-    allowed = []
-    for at, kind in zip(rows["at"].tolist(), rows["kind"]):
-        while timers and timers[0] <= at:
-            timers.pop(0)
-            is_open = False
-        allowed.append(kind == "nav" and is_open)
-        is_open = kind == "allow"
-        if is_open:
-            timers.append(at + span)
-    return allowed, is_open
-
-
-def allow_once(events: DataFrame, ttl: int = ALLOW_SECONDS, late: str = "1 hour") -> DataFrame:
-    """(id, url, ts, allowed) for each navigation in a stream of `nav` and `allow` events.
-
-    Allowing a url opens it for `ttl` seconds or until its next navigation, which uses the
-    permission up. Every allowance starts a timer that closes the url when it fires, even
-    if it was allowed anew meanwhile.
+    State is below `path`/state. `then(due, number)` gets the written scans of each batch.
     """
 
-    def step(key, batches: Iterator, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([b[["id", "kind", "at"]].explode(["id", "kind", "at"]) for b in batches])
-        rows = rows.astype({"id": "int64", "at": "int64"}).sort_values(["at", "kind", "id"])
-        span = ttl * 1_000_000
-        is_open, timers = (state.get[0], list(state.get[1])) if state.exists else (False, [])
-        allowed, is_open = replay_permissions(rows, is_open, timers, span)
-        if timers:
-            state.update((is_open, timers))
-            state.setTimeoutTimestamp(max(timers[-1] // 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        out = rows.assign(url=key[0], allowed=allowed)
-        yield out[out["kind"] == "nav"][["id", "url", "at", "allowed"]]
+    def write(batch: DataFrame, number: int) -> None:
+        state = StateTable(batch.sparkSession, f"{path}/state", number)
+        with Scratch(batch.sparkSession) as scratch:
+            events = scratch.stage(_timed(batch.select("url", "ts")).distinct(), "nav")
+            scans = scratch.stage(first_per_window(events, state, scratch), "scans")
+            due = _kept(scans.select("url", F.timestamp_micros("at").alias("ts")), f"{path}/due", number)
+            if then:
+                then(due, number)
+            state.write(changes(events, None, scans), 0, late * 1_000_000)
 
-    return (
-        packed(events, {"id": "long", "kind": "string", "at": "long"}, late)
-        .groupBy("url")
-        .applyInPandasWithState(
-            step,
-            "id long, url string, at long, allowed boolean",
-            "open boolean, timers array<long>",
-            "append",
-            "EventTimeTimeout",
-        )
-        .select("id", "url", F.timestamp_micros("at").alias("ts"), "allowed")
-    )
+    return each_batch(nav, checkpoint, write)
 
 
-def decisions(events: DataFrame, auto_scan: bool = True, late: str = "1 hour") -> DataFrame:
-    """(id, url, ts, source) for each navigation in a stream of `nav` and `allow` events.
+def permission_stream(events: DataFrame, path: str, checkpoint: str, late: int = LATE_SECONDS) -> StreamingQuery:
+    """Write (id, url, ts, allowed) of each navigation of a stream of `nav` and `allow` events below
+    `path`/allowed; state is below `path`/state. Navigations without a url are not allowed."""
 
-    `source` tells what decides, in this order: `allowed` by a permission, which it uses up; `off`
-    without automatic scanning; `cached` while the url's last scan lives; else `scan`. Of
-    navigations at one time the smallest id scans. Late rows are judged as in `first_per_window`.
-    """
-    allow_span, cache_span = ALLOW_SECONDS * 1_000_000, CACHE_SECONDS * 1_000_000
-
-    def step(key, batches: Iterator, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([b[["id", "kind", "at"]].explode(["id", "kind", "at"]) for b in batches])
-        rows = rows.astype({"id": "int64", "at": "int64"}).sort_values(["at", "kind", "id"])
-        is_open, timers, due = (state.get[0], list(state.get[1]), state.get[2]) if state.exists else (False, [], None)
-        allowed, is_open = replay_permissions(rows, is_open, timers, allow_span)
-        out = rows.assign(url=key[0], source="allowed")[["id", "url", "at", "source"]]
-        nav = rows["kind"].to_numpy() == "nav"
-        sources = out["source"].tolist()
-        for i, at in enumerate(out["at"].tolist()):
-            if nav[i] and not allowed[i]:
-                scans = auto_scan and (due is None or at >= due)
-                sources[i] = "scan" if scans else "cached" if auto_scan else "off"
-                due = at + cache_span if scans else due
-        ends = [*timers[-1:], *([] if due is None else [due])]
-        if ends:
-            state.update((is_open, timers, due))
-            state.setTimeoutTimestamp(max(max(ends) // 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield out.assign(source=sources)[nav]
+    def write(batch: DataFrame, number: int) -> None:
+        state = StateTable(batch.sparkSession, f"{path}/state", number)
+        with Scratch(batch.sparkSession) as scratch:
+            rows = scratch.stage(_timed(batch.select("id", "url", "kind", "ts")), "events")
+            per = scratch.stage(allow_once(rows, state, scratch), "permitted")
+            told = rows.filter("kind = 'nav'").join(per.select("url", "at", "first", "allowed"), ["url", "at"], "left")
+            allowed = F.coalesce(F.col("allowed") & (F.col("id") == F.col("first")), F.lit(False))
+            _kept(told.select("id", "url", F.timestamp_micros("at").alias("ts"), allowed.alias("allowed")), f"{path}/allowed", number)
+            state.write(changes(rows, per, None), ALLOW_SECONDS * 1_000_000, late * 1_000_000)
 
-    return (
-        packed(events, {"id": "long", "kind": "string", "at": "long"}, late)
-        .groupBy("url")
-        .applyInPandasWithState(
-            step,
-            "id long, url string, at long, source string",
-            "open boolean, timers array<long>, due long",
-            "append",
-            "EventTimeTimeout",
-        )
-        .select("id", "url", F.timestamp_micros("at").alias("ts"), "source")
-    )
+    return each_batch(events, checkpoint, write)
 
 
 def score_batch(nav: DataFrame, **options) -> DataFrame:
@@ -249,68 +229,59 @@ def _scored(nav: DataFrame, **options) -> DataFrame:
     )
 
 
-def sink_scans(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append scans to the history, as one run per batch number."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        scans = batch.withColumns({"scan_type": F.lit("url"), "created_at": F.col("ts")})
-        write_history(scans, path, f"batch-{number}")
-
-    return (
-        scored.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def sink_counts(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of scans per verdict up to date."""
+    """Keep a table of scans per verdict up to date: `path`/batch=N after batch N, the one before is removed."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _kept(batch, path, number)
+        # The one before stays until this one is whole.
+        remove(batch.sparkSession, f"{path}/batch={number - 1}")
 
+    counts = scored.groupBy("verdict").agg(F.count("*").alias("n"))
     return (
-        scored.groupBy("verdict")
-        .agg(F.count("*").alias("n"))
-        .writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+        counts.writeStream.outputMode("complete").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
 
 
 def scan_stream(nav: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Cache, score and store a navigation stream."""
-    due = first_per_window(scannable(nav)).withColumn("id", F.xxhash64("url", "ts"))
-    return sink_scans(score_stream(due, **options), path, checkpoint)
+    """Cache, score and store a navigation stream: `path`/history holds the scans, as one run per batch."""
+
+    def score(due: DataFrame, number: int) -> None:
+        scored = _scored(due.withColumn("id", F.xxhash64("url", "ts")), **options)
+        scans = scored.withColumns({"scan_type": F.lit("url"), "created_at": F.col("ts")})
+        write_history(scans, f"{path}/history", f"batch-{number}")
+
+    return cache_stream(scannable(nav), path, checkpoint, then=score)
 
 
 def navigation_job(
-    events: DataFrame, path: str, checkpoint: str, auto_scan: bool = True, **options
+    events: DataFrame, path: str, checkpoint: str, auto_scan: bool = True, late: int = LATE_SECONDS, **options
 ) -> StreamingQuery:
     """Everything a navigation needs, from a stream (id, url, ts, kind) of `nav` and `allow` events.
 
     Scannable pages only; then permission, switch, cache, scan, action. Below `path`, with a folder
     per batch number that a repeated batch replaces: `decided` (what decides each navigation),
     `scored` (each url of the batch once), `actions` (id, url, ts, source, risk_score, verdict,
-    action, badge); `history` holds the scans made, as one run per batch number.
+    action, badge); `history` holds the scans made, as one run per batch number; `state` is kept
+    from batch to batch.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-
-        def kept(df: DataFrame, name: str) -> DataFrame:
-            target = f"{path}/{name}/batch={number}"
-            df.write.mode("overwrite").parquet(target)
-            return spark.read.schema(df.schema).parquet(target)
-
-        # The state's output is written before it is used twice.
-        decided = kept(batch, "decided")
+        state = StateTable(spark, f"{path}/state", number)
+        with Scratch(spark) as scratch:
+            rows = scratch.stage(_timed(batch.select("id", "url", "kind", "ts")), "events")
+            decided, changed = decisions(rows, state, scratch, auto_scan)
+            decided = decided.select("id", "url", F.timestamp_micros("at").alias("ts"), "source")
+            decided = _kept(decided, f"{path}/decided", number)
+            act(decided, number)
+            state.write(changed, ALLOW_SECONDS * 1_000_000, late * 1_000_000)
+
+    def act(decided: DataFrame, number: int) -> None:
         asked = decided.filter(F.col("source").isin("scan", "cached")).select("url").distinct()
         scored = score_urls(asked.withColumn("id", F.xxhash64("url")), **options)
-        scored = kept(scored.select("url", "risk_score", "verdict", "scan_summary", "details"), "scored")
+        scored = _kept(scored.select("url", "risk_score", "verdict", "scan_summary", "details"), f"{path}/scored", number)
         by_source = F.when(F.col("source") == "allowed", ALLOWED_BADGE).when(F.col("source") == "off", "")
         judged = F.col("source").isin("scan", "cached")
         acted = with_action(decided.join(scored.select("url", "risk_score", "verdict"), "url", "left"))
@@ -321,17 +292,11 @@ def navigation_job(
                 **{c: F.when(judged, F.col(c)) for c in ("risk_score", "verdict")},
             }
         )
-        kept(acted.select("id", "url", "ts", "source", "risk_score", "verdict", "action", "badge"), "actions")
+        _kept(acted.select("id", "url", "ts", "source", "risk_score", "verdict", "action", "badge"), f"{path}/actions", number)
         scans = decided.filter("source = 'scan'").drop("id").join(scored, "url")
         scans = scans.withColumns(
             {"id": F.xxhash64("url", "ts"), "scan_type": F.lit("url"), "created_at": F.col("ts")}
         )
         write_history(scans, f"{path}/history", f"batch-{number}")
 
-    return (
-        decisions(scannable(events), auto_scan)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return each_batch(scannable(events), checkpoint, write)

@@ -331,8 +331,9 @@ sc AS (SELECT url, min(ts) AS ts FROM ev GROUP BY url UNION ALL SELECT due.url,
 
 @query("nav_result_cache", f"{CACHE} SELECT url, {STAMP} AS ts FROM sc")
 def _(t):
-    due = navigation.first_per_window(navigation.scannable(nav_stream(t)))
-    df = drained(t, due, "cache")
+    out, state = staging_path(t.spark, "cache"), staging_path(t.spark, "cache-state")
+    navigation.cache_stream(navigation.scannable(nav_stream(t)), out, state).awaitTermination()
+    df = t.spark.read.schema("url string, ts timestamp").parquet(f"{out}/due").drop("batch")
     return df.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
@@ -367,7 +368,9 @@ def _(t):
     SELECT o.id, o.url, strftime(o.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, coalesce(first_timer + INTERVAL 5 MINUTE > o.ts, false) AS allowed FROM o LEFT JOIN tm ON tm.id = o.id WHERE o.kind = 'nav'""",
 )
 def _(t):
-    df = drained(t, navigation.allow_once(nav_stream(t)), "allowed")
+    out, state = staging_path(t.spark, "allowed"), staging_path(t.spark, "allowed-state")
+    navigation.permission_stream(nav_stream(t), out, state).awaitTermination()
+    df = t.spark.read.schema("id long, url string, ts timestamp, allowed boolean").parquet(f"{out}/allowed").drop("batch")
     return df.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
@@ -389,7 +392,7 @@ def _(t):
 def _(t):
     out, state = staging_path(t.spark, "scans"), staging_path(t.spark, "scans-state")
     navigation.scan_stream(nav_stream(t), out, state).awaitTermination()
-    return writers.read_history(t.spark, out).select(
+    return writers.read_history(t.spark, f"{out}/history").select(
         "scan_type", F.date_format("created_date", "yyyy-MM-dd").alias("created_date"),
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), "risk_score", "verdict",
     )
@@ -404,9 +407,7 @@ def _(t):
     out, state = staging_path(t.spark, "counts"), staging_path(t.spark, "counts-state")
     scored = navigation.score_stream(navigation.scannable(nav_stream(t)))
     navigation.sink_counts(scored, out, state).awaitTermination()
-    table = t.spark.read.parquet(out)
-    last = table.agg(F.max("batch")).head()[0]
-    return table.filter(F.col("batch") == last).drop("batch")
+    return t.spark.read.parquet(out).drop("batch")
 
 
 JOB = CACHE[: CACHE.index("ev AS")].rstrip() + """ o AS (SELECT *, lag(kind) OVER w AS before, lag(ts) OVER w AS allowed_at FROM nav WINDOW w AS (PARTITION BY url ORDER BY ts, kind, id)),

@@ -151,7 +151,8 @@ SELECT e.event_id AS id, e.user_id AS tab, e.ts,
     WHEN 5 THEN 'http://g00gle-account.tk/verify?redirect=1'
     WHEN 6 THEN 'http://10.0.0.1/login/verify?session=1&next=/a@b'
     ELSE p.url END AS url
-FROM {events} e JOIN {pages} p ON p.page_id = CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE e.user_id % 50 END
+FROM {events} e CROSS JOIN (SELECT max(page_id) + 1 AS n FROM {pages}) c
+JOIN {pages} p ON p.page_id = CASE WHEN e.event_id % 3 = 0 THEN 0 ELSE e.event_id % c.n END
 """
 
 VIEWS["v_corpus"] = """

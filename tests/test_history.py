@@ -61,13 +61,6 @@ def stream_of(spark, tmp_path, rows, schema, batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def drain(spark, stream, tmp_path):
-    out = str(tmp_path / "out")
-    run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out)
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out).collect()
-
-
 def minute(m):
     return dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m)
 
@@ -76,7 +69,9 @@ def minute(m):
 def test_result_cache_does_not_slide(spark, tmp_path, batches):
     rows = [("u", minute(m)) for m in (0, 12, 19, 25, 33, 47)]
     stream = stream_of(spark, tmp_path, rows, "url string, ts timestamp", batches)
-    got = drain(spark, navigation.first_per_window(stream), tmp_path)
+    out = str(tmp_path / "out")
+    navigation.cache_stream(stream, out, str(tmp_path / "state")).awaitTermination()
+    got = spark.read.parquet(f"{out}/due").collect()
     assert sorted(r.ts.minute for r in got) == [0, 12, 25, 47]
 
 
@@ -89,7 +84,9 @@ def test_permission_is_used_once_and_expires(spark, tmp_path, batches):
     ]
     rows = [(i, u, k, minute(m)) for i, u, k, m in events]
     stream = stream_of(spark, tmp_path, rows, "id long, url string, kind string, ts timestamp", batches)
-    got = {r.id: r.allowed for r in drain(spark, navigation.allow_once(stream), tmp_path)}
+    out = str(tmp_path / "out")
+    navigation.permission_stream(stream, out, str(tmp_path / "state")).awaitTermination()
+    got = {r.id: r.allowed for r in spark.read.parquet(f"{out}/allowed").collect()}
     assert got == {1: False, 3: True, 4: False, 7: False, 9: False}
 
 
