@@ -38,6 +38,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(written: DataFrame, key: str) -> DataFrame:
+    """A written table in at least as many parts as there are cores: a table of a few row groups would be
+    worked off by as many tasks. With more parts than cores nothing moves."""
+    cores = written.sparkSession.sparkContext.defaultParallelism
+    return written.repartition(cores, key) if written.rdd.getNumPartitions() < cores else written
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store; one that is not there is no error."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.operators.scans import SUMMARY_LIMIT
-from riskspark.operators.textmodel import NbModel, Vocabulary, nb_prior, nb_terms
+from riskspark.operators.textmodel import NbModel, nb_prior, nb_terms
 
 
 def stored_scans(df: DataFrame) -> DataFrame:
@@ -66,29 +66,26 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 def save_nb(spark: SparkSession, model: NbModel, path: str) -> None:
     """The model as two tables; settings ride along as columns of the prior table."""
-    v = model.vocabulary
     nb_terms(spark, model).write.parquet(f"{path}/terms")
     settings = {
-        "ngram_low": F.lit(v.ngram_range[0]),
-        "ngram_high": F.lit(v.ngram_range[1]),
-        "stop_words": F.lit(None if v.stop_words is None else " ".join(v.stop_words)).cast("string"),
+        "ngram_low": F.lit(model.ngram_range[0]),
+        "ngram_high": F.lit(model.ngram_range[1]),
+        "stop_words": F.lit(None if model.stop_words is None else " ".join(model.stop_words)).cast("string"),
     }
     nb_prior(spark, model).withColumns(settings).write.parquet(f"{path}/prior")
 
 
 def load_nb(spark: SparkSession, path: str) -> NbModel:
-    terms = sorted(tuple(r) for r in spark.read.parquet(f"{path}/terms").collect())
+    """The terms stay a table; only the two rows of the classes are read here."""
     prior = {r["class"]: r for r in spark.read.parquet(f"{path}/prior").collect()}
-    words = prior[0]["stop_words"]
-    vocab = Vocabulary(
-        [t[0] for t in terms],
-        [t[1] for t in terms],
-        prior[0]["n"],
-        (prior[0]["ngram_low"], prior[0]["ngram_high"]),
+    first, words = prior[0], prior[0]["stop_words"]
+    return NbModel(
+        spark.read.parquet(f"{path}/terms"),
+        (prior[0]["log_prior"], prior[1]["log_prior"]),
+        first["n"],
+        (first["ngram_low"], first["ngram_high"]),
         None if words is None else words.split(),
     )
-    logs = prior[0]["log_prior"], prior[1]["log_prior"]
-    return NbModel(vocab, logs, [t[3] for t in terms], [t[4] for t in terms])
 
 
 def save_trees(model: PipelineModel, path: str) -> None:

@@ -250,7 +250,7 @@ def _(t):
 
 @query("text_vocabulary", f"WITH {VOCAB} SELECT term, cf, df FROM vc")
 def _(t):
-    return textmodel.vocabulary(textmodel.tokenize(t.view("v_corpus")), FEATURES, MIN_DF)
+    return textmodel.corpus_vocabulary(t.view("v_corpus"), max_features=FEATURES, min_df=MIN_DF)
 
 
 @query("text_tfidf", f"WITH {WEIGHTS} SELECT id, term, round(weight, 6)::DOUBLE AS weight FROM x")

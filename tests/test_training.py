@@ -110,11 +110,31 @@ def nb(spark):
 
 
 def test_nb_golden_model(nb):
-    v = nb.vocabulary
-    assert v.terms == ["account", "meeting", "now", "team", "verify"]
-    assert v.idf == pytest.approx([1.405465, 1.405465, 1.693147, 1.693147, 1.693147], abs=1e-6)
-    assert nb.logp0 == pytest.approx([-1.721554, -1.208326, -1.780233, -1.389562, -2.256354], abs=1e-6)
-    assert nb.logp1 == pytest.approx([-1.332953, -2.096053, -1.619931, -2.096053, -1.229261], abs=1e-6)
+    rows = nb.terms.orderBy("term").collect()
+    assert [r.term for r in rows] == ["account", "meeting", "now", "team", "verify"]
+    assert [r.idf for r in rows] == pytest.approx([1.405465, 1.405465, 1.693147, 1.693147, 1.693147], abs=1e-6)
+    assert [r.logp0 for r in rows] == pytest.approx([-1.721554, -1.208326, -1.780233, -1.389562, -2.256354], abs=1e-6)
+    assert [r.logp1 for r in rows] == pytest.approx([-1.332953, -2.096053, -1.619931, -2.096053, -1.229261], abs=1e-6)
+
+
+def test_nb_model_of_many_terms_joins_by_term(spark, nb, monkeypatch):
+    df = spark.createDataFrame([(1, "verify account"), (2, "team meeting"), (3, None)], "id int, text string")
+    near = [r.p_nb for r in textmodel.predict_nb(nb, df).orderBy("id").collect()]
+    monkeypatch.setattr(textmodel, "BROADCAST_TERMS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        far = textmodel.predict_nb(nb, df)
+        assert "SortMergeJoin" in far._jdf.queryExecution().executedPlan().toString()
+        assert [r.p_nb for r in far.orderBy("id").collect()] == pytest.approx(near)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_are_tokenized_once_per_plan(spark):
+    """No filter repeats the tokenizer below the projection that holds its result."""
+    counted = textmodel.with_counts(textmodel.tokenize(spark.range(3).selectExpr("id", "'a b ' || id AS text")))
+    plan = textmodel.term_counts(counted).filter("df > 1")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("array_sort") == 1
 
 
 def test_nb_golden_probabilities_survive_saving(spark, nb, tmp_path):
