@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark import lexicon
+from riskspark.functions.staging import staging_root
 from riskspark.operators import urls
 
 # Fixed value: probability ceiling for well-known domains.
 WELL_KNOWN_CAP = 0.05
 
 
-def _fit(df, features, classifier, fill) -> PipelineModel:
-    numbers = df.select("label", *[F.col(c).cast("double").alias(c) for c in features])
+def _fit(df, features, classifier, fill, others=()) -> PipelineModel:
+    numbers = df.select("label", *others, *[F.col(c).cast("double").alias(c) for c in features])
     stages = [VectorAssembler(inputCols=list(features), outputCol="features"), classifier]
     if fill == "median":
         names = [f"{c}_filled" for c in features]
@@ -27,15 +28,37 @@ def _fit(df, features, classifier, fill) -> PipelineModel:
 
 
 def fit_forest(df: DataFrame, features, trees=100, depth=20, seed=42, fill=None) -> PipelineModel:
-    """Random forest on numeric columns. `fill`: a constant or 'median' for absent values."""
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label")
+    """Random forest on numeric columns. `fill`: a constant or 'median' for absent values.
+
+    Fitting passes over its input once per level: hand in written features.
+    """
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", **_resumable(df))
     return _fit(df, features, forest, fill)
 
 
-def fit_gbt(df: DataFrame, features=None, rounds=300, rate=0.1, depth=15, seed=42) -> PipelineModel:
+def fit_gbt(df: DataFrame, features=None, rounds=300, rate=0.1, depth=15, seed=42, held_back=None) -> PipelineModel:
+    """Gradient boosting. All `rounds` are made, unless `held_back` names a boolean column: its rows are
+    left out of fitting, and rounds end when the error on them no longer falls."""
     features = features or lexicon.MODEL_FEATURES
-    boosted = GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, labelCol="label")
-    return _fit(df, features, boosted, None)
+    boosted = GBTClassifier(
+        maxIter=rounds, stepSize=rate, maxDepth=depth, seed=seed, labelCol="label", **_resumable(df)
+    )
+    if held_back:
+        boosted.setValidationIndicatorCol(held_back)
+    return _fit(df, features, boosted, None, [held_back] if held_back else [])
+
+
+def _resumable(df: DataFrame) -> dict:
+    """Each row's node is kept from level to level, and saved every ten trees against lost executors."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(staging_root(df.sparkSession))
+    return {"cacheNodeIds": True, "checkpointInterval": 10}
+
+
+def hold_back(df: DataFrame, key="id", share=0.1, out="held_back") -> DataFrame:
+    """Mark about `share` of the rows by a hash of `key`."""
+    return df.withColumn(out, F.pmod(F.xxhash64(F.lit("held back"), F.col(key)), F.lit(1000)) < int(1000 * share))
 
 
 def feature_names(model: PipelineModel) -> list[str]:

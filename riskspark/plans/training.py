@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 
 from riskspark import lexicon
 from riskspark.functions.staging import stage
-from riskspark.operators import metrics, sampling, textmodel, trees, urls
+from riskspark.operators import corpus, metrics, sampling, textmodel, trees, urls
 
 
 def train_text_model(corpus: DataFrame, key="id", seed=42, threshold=0.5, **options):
@@ -30,11 +30,33 @@ def train_url_forest(rows: DataFrame, key="id", seed=42, suffixes=None, **option
     return _train(featured, names, 0.80, key, seed, lambda df: trees.fit_forest(df, names, seed=seed, **options))
 
 
-def train_url_boosting(rows: DataFrame, key="id", seed=42, suffixes=None, **options):
-    """Gradient boosting on the 20 model features, 85/15; (model, metrics of the test rows)."""
+def train_url_boosting(rows: DataFrame, key="id", seed=42, suffixes=None, early_stop=False, **options):
+    """Gradient boosting on the 20 model features, 85/15; (model, metrics of the test rows).
+
+    With `early_stop`, a tenth of the train rows decides after which round to end.
+    """
     featured = urls.url_model_features(rows, "url", suffixes)
     names = lexicon.MODEL_FEATURES
-    return _train(featured, names, 0.85, key, seed, lambda df: trees.fit_gbt(df, names, seed=seed, **options))
+
+    def fit(df: DataFrame) -> PipelineModel:
+        held = {"held_back": "held_back"} if early_stop else {}
+        return trees.fit_gbt(trees.hold_back(df, key) if early_stop else df, names, seed=seed, **held, **options)
+
+    return _train(featured, names, 0.85, key, seed, fit)
+
+
+def train_combined_forest(sources: list[DataFrame], key="id", seed=42, absent=-1, trees_=200, depth=25):
+    """Random forest over tables of different numeric columns with a label, 80/20 by class.
+
+    Columns that a source lacks are `absent`. (model, metrics of the test rows, report per class).
+    """
+    both = corpus.union_all(sources, allow_missing=True)
+    names = [c for c in both.columns if c not in (key, "label")]
+    table = stage(both.select(key, "label", *names), "features")
+    df = sampling.assign_split(table, (0.80,), ("train", "test"), key, seed, stratify="label")
+    model = trees.fit_forest(sampling.take_split(df, "train"), names, trees_, depth, seed, fill=absent)
+    scored = stage(trees.predict_trees(sampling.take_split(df, "test"), model, fill=absent), "scored")
+    return model, _report(scored, "trees", "probability", 0.5), metrics.class_report(scored, "label", "prediction")
 
 
 def _train(featured, names, fraction, key, seed, fit) -> tuple[PipelineModel, DataFrame]:

@@ -275,7 +275,7 @@ def _(t):
 
 @query("sink_tree_model")
 def _(t):
-    df, model = training.boosted(t, rounds=5, depth=3)
+    df, model = training.boosted(t)
     path = staging_path(t.spark, "trees")
     writers.save_trees(model, path)
     scored = trees.predict_trees(df, writers.load_trees(path))
