@@ -22,6 +22,16 @@ def combine_tables(a: DataFrame, b: DataFrame, key="id", mode="weighted", weight
     return left.join(right, key, "full").select(key, checked.alias("p"))
 
 
+def one_probability(probs: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row per key of a table of probabilities: complete rows first, then the greatest values."""
+    given = [F.col(c).isNotNull() for c in columns]
+    whole = given[0]
+    for g in given[1:]:
+        whole = whole & g
+    best = F.max(F.struct(whole.alias("_whole"), *columns)).alias("_best")
+    return probs.groupBy(key).agg(best).select(key, *[F.col("_best").getField(c).alias(c) for c in columns])
+
+
 def label_binary(df: DataFrame, p="p") -> DataFrame:
     return df.withColumn("prediction", scoring.binary_name(F.col(p)))
 
@@ -29,11 +39,12 @@ def label_binary(df: DataFrame, p="p") -> DataFrame:
 def with_second_model(df: DataFrame, probs: DataFrame | None = None, scorer=None, key="id", text="text"):
     """Add p_second from a table (key, p), or from a batch scoring function of the text.
 
+    Several rows of the table for one key are reduced, so no record is multiplied.
     `scorer` is a loader for `predict_batch_udf`: called once per worker, it returns a
     function from a batch of texts to an array of probabilities.
     """
     if probs is not None:
-        return df.join(probs.select(key, F.col("p").alias("p_second")), key, "left")
+        return df.join(one_probability(probs, key, "p").withColumnRenamed("p", "p_second"), key, "left")
     score = predict_batch_udf(scorer, return_type=DoubleType(), batch_size=BATCH)
     return df.withColumn("p_second", score(F.col(text)))
 

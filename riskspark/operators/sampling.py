@@ -8,8 +8,9 @@ limits of a group become limit values of that hash in two light passes:
 2. rank only the rows under those few prefixes (about one row in 65,536 per limit) and
    read off the limit value.
 
-The final table is then a comparison of each row's hash with the limits of its group. Limits
-stay tables: they are broadcast if they have few rows, and joined otherwise, with the same result.
+The final table is then a comparison of each row's hash with the limits of its group. The input is
+computed once: it is written with its hashes, and both passes read the hashes alone. Limits stay
+tables: they are broadcast if they have few rows, and joined otherwise, with the same result.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,11 +61,14 @@ def _limits(keyed: DataFrame, ranks) -> DataFrame:
 
 
 def _with_limits(df, group: Column | None, key, seed, ranks):
-    """Rows with their own place `_at` and the limits of their group; names to drop later."""
-    h = hash_order(F.col(key), seed)
+    """Rows with their own place `_at` and the limits of their group; names to drop later.
+
+    The input is computed once and written with its places; the passes for the limits read those only.
+    """
     of = F.lit(0) if group is None else group
-    limits = _limits(df.select(of.alias("_group"), h.alias("_h"), F.col(key).alias("_key")), ranks)
-    marked = df.withColumn("_at", F.struct(h.alias("_h"), F.col(key).alias("_key")))
+    at = F.struct(hash_order(F.col(key), seed).alias("_h"), F.col(key).alias("_key"))
+    marked = stage(df.withColumns({"_group": of, "_at": at}), "placed")
+    limits = _limits(marked.select("_group", "_at._h", "_at._key"), ranks)
     if group is None:  # one row of limits
         only = limits.head()
         constants = {}
@@ -74,7 +78,7 @@ def _with_limits(df, group: Column | None, key, seed, ranks):
             constants[name] = value.cast(kind)
         joined = marked.withColumns(constants)
     else:
-        joined = marked.join(_few(limits), of.eqNullSafe(F.col("_g")), "left")
+        joined = marked.join(_few(limits), F.col("_group").eqNullSafe(F.col("_g")), "left")
     return joined, [c for c in joined.columns if c not in df.columns]
 
 

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.staging import hold, stage
-from riskspark.functions.text import clean_text
+from riskspark.functions.staging import hold
+from riskspark.functions.text import clean_text, collapse_ws
 from riskspark.operators import corpus, sampling
 
 BLOCK = 10_000  # copies of one url that are numbered together
@@ -13,8 +13,7 @@ BLOCK = 10_000  # copies of one url that are numbered together
 def build_text_corpus(df: DataFrame, order: list[str], max_per_class=30_000, seed=42) -> DataFrame:
     """Clean, drop empty, keep the first of equal texts, cap per class: (text, label).
 
-    `df`: text, label and the `order` columns of the input. The deduplicated table is
-    written once, because the cap reads it in several passes.
+    `df`: text, label and the `order` columns of the input.
     """
     given = df.dropna(subset=["text", "label"])
     cleaned = hold(given.withColumn("text", clean_text(F.col("text"))), "text")
@@ -23,7 +22,7 @@ def build_text_corpus(df: DataFrame, order: list[str], max_per_class=30_000, see
     ).select("text", "label")
     if max_per_class is None:
         return unique
-    return sampling.cap_per_class(stage(unique, "corpus"), max_per_class, "label", "text", seed)
+    return sampling.cap_per_class(unique, max_per_class, "label", "text", seed)
 
 
 def build_url_corpus(sources: list[DataFrame], max_per_class=100_000, seed=42) -> DataFrame:
@@ -44,5 +43,19 @@ def build_url_corpus(sources: list[DataFrame], max_per_class=100_000, seed=42) -
         .select("url", "label", F.explode(copies).alias("copy"))
         .select("url", "label", F.concat_ws("#", "url", "copy").alias("row"))
     )
-    capped = sampling.cap_per_class(stage(numbered, "urls"), max_per_class, "label", "row", seed)
+    capped = sampling.cap_per_class(numbered, max_per_class, "label", "row", seed)
     return capped.drop("row")
+
+
+def build_mail_corpus(mails: DataFrame, max_per_class=None, seed=42) -> DataFrame:
+    """Parsed mails (path, text, label) as (path, text, label, split) for training.
+
+    At most `max_per_class` mails of each class are taken, before anything is dropped; whitespace is
+    collapsed, empty texts go, and of equal texts the first stays, safe mail before phishing and then by
+    path. 70/15/15 is split over what is left. `writers.write_splits` stores it.
+    """
+    if max_per_class is not None:
+        mails = sampling.cap_per_class(mails, max_per_class, "label", "path", seed)
+    cleaned = hold(mails.select("path", collapse_ws(F.col("text")).alias("text"), "label"), "text")
+    unique = corpus.dedupe_first(corpus.drop_empty(cleaned), "text", ["label", "path"])
+    return sampling.assign_split(unique, key="path", seed=seed)

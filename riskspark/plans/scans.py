@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.staging import hold
 from riskspark.operators import answers as llm_answers
+from riskspark.operators.ensemble import one_probability
 from riskspark.operators import mail, scans, sms, trees, urls
 
 
@@ -32,12 +33,12 @@ def score_mail(df: DataFrame, probs: DataFrame | None = None, llm=None) -> DataF
     """Scan records for parsed messages.
 
     Columns: id, sender, subject, reply_to, body_text, body_html, links, attachments,
-    spf_status, dkim_status; optional p_second and p_nb, or `probs` keyed by id.
+    spf_status, dkim_status; optional p_second and p_nb, or `probs` keyed by id, of which one row per id counts.
     """
     df = mail.mail_extras(mail.mail_features(df))
     if probs is not None:
         # The preview is cut already, so the join moves no message body.
-        df = df.join(probs.select("id", "p_second", "p_nb"), "id", "left")
+        df = df.join(one_probability(probs, "id", "p_second", "p_nb"), "id", "left")
     df = hold(mail.hybrid_score(mail.mail_rule_score(df)), "rule_score", "ml_score")
     df = mail.mail_checks(df)
     if llm is not None:

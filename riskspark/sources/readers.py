@@ -42,7 +42,10 @@ def read_arff(spark: SparkSession, path: str, label: str = "Result") -> DataFram
     table has columns.
     """
     lines = spark.read.text(path).withColumn("line", F.trim("value"))
-    rows = lines.filter(F.lower("line").startswith("@attribute")).select("line").collect()
+    numbered = lines.withColumn("at", F.monotonically_increasing_id())
+    data = numbered.filter(F.lower("line").startswith("@data")).agg(F.min("at")).first()[0]
+    head = numbered.filter(F.lower("line").startswith("@attribute"))
+    rows = (head if data is None else head.filter(F.col("at") < data)).orderBy("at").select("line").collect()
     columns = [_attribute(r["line"]) for r in rows]
     columns = list(dict.fromkeys(columns))
     body = lines.filter(~F.substr("line", F.lit(1), F.lit(1)).isin("@", "%") & (F.col("line") != ""))
@@ -72,15 +75,15 @@ def _attribute(line: str) -> tuple[str, bool]:
 def read_text_corpus(spark: SparkSession, specs: list[dict]) -> DataFrame:
     """(text, label, src_ord, path, row_ord) from one CSV source per spec, in given order.
 
-    Spec keys: path; optional text_col, label_col, default_label and multi_line. Quoted
-    line breaks need multi_line, which reads a file in one task: keep such files small.
+    Spec keys: path; optional text_col, label_col, default_label and multi_line. Files
+    are split over tasks, unless multi_line is set: quoted line breaks need it, and it reads a file in one task.
     The last three columns give the input order that `dedupe_first` needs.
     """
     return union_all([_read_spec(spark, i, spec) for i, spec in enumerate(specs)])
 
 
 def _read_spec(spark: SparkSession, place: int, spec: dict) -> DataFrame:
-    raw = _csv(spark, spec["path"], multiLine=spec.get("multi_line", True))
+    raw = _csv(spark, spec["path"], multiLine=spec.get("multi_line", False))
     text, label = guess_columns(raw, spec.get("text_col"), spec.get("label_col"))
     default = spec.get("default_label")
     if label is None and default is None:

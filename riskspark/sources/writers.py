@@ -56,7 +56,8 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    df.write.options(header=True, escape='"').csv(path)
+    """All columns as CSV; blanks at the ends of a text stay."""
+    df.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_metrics(df: DataFrame, path: str) -> None:

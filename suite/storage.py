@@ -169,7 +169,7 @@ def _(t):
 def _(t):
     main = written(t, training.labeled(t).select("Body", "Class"), "main", header=True, escape='"')
     extra = written(t, t.table("conversations").select("text"), "extra", header=True, escape='"')
-    specs = [{"path": main}, {"path": extra, "default_label": 1}]
+    specs = [{"path": main, "multi_line": True}, {"path": extra, "default_label": 1, "multi_line": True}]
     return readers.read_text_corpus(t.spark, specs).select("src_ord", "text", "label")
 
 
@@ -251,8 +251,9 @@ def _(t):
 
 @query(
     "sink_report",
-    f"""WITH {MODEL}, r AS (SELECT pr.id, (pr.id % 83) / 83.0::DOUBLE AS second_proba, p AS naive_bayes_proba FROM pr)
-    SELECT id, round(0.7 * second_proba + 0.3 * naive_bayes_proba, 6)::DOUBLE AS final_proba,
+    f"""WITH {MODEL}, r AS (SELECT pr.id, (pr.id % 83) / 83.0::DOUBLE AS second_proba, p AS naive_bayes_proba, substr(v_corpus.text, 1, 100) AS text_snippet
+      FROM pr JOIN v_corpus ON v_corpus.id = pr.id)
+    SELECT id, text_snippet, round(second_proba, 6)::DOUBLE AS second_proba, round(naive_bayes_proba, 6)::DOUBLE AS naive_bayes_proba, round(0.7 * second_proba + 0.3 * naive_bayes_proba, 6)::DOUBLE AS final_proba,
     CASE WHEN 0.7 * second_proba + 0.3 * naive_bayes_proba >= 0.61 THEN 'Phishing' ELSE 'Legitimate' END AS prediction FROM r""",
 )
 def _(t):
@@ -260,9 +261,8 @@ def _(t):
     path = staging_path(t.spark, "report")
     writers.write_report(predict_batch(df, training.fitted(t), "p2"), path)
     back = t.spark.read.options(header=True, escape='"', multiLine=True).csv(path)
-    return back.select(
-        F.col("id").cast("long"), F.round(F.col("final_proba").cast("double"), 6).alias("final_proba"), "prediction"
-    )
+    numbers = [F.round(F.col(c).cast("double"), 6).alias(c) for c in ("second_proba", "naive_bayes_proba", "final_proba")]
+    return back.select(F.col("id").cast("long"), "text_snippet", *numbers, "prediction")
 
 
 @query("sink_nb_model", f"WITH {MODEL} SELECT id, round(p, 6)::DOUBLE AS p_nb FROM pr")

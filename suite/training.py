@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from riskspark import lexicon
 from riskspark.functions import scoring, text
-from riskspark.functions.staging import stage
+from riskspark.functions.staging import stage, staging_path
 from riskspark.operators import corpus, ensemble, metrics, sampling, textmodel, trees, urls
 from riskspark.plans import training as plans
-from riskspark.plans.corpus import build_text_corpus, build_url_corpus
+from riskspark.plans.corpus import build_mail_corpus, build_text_corpus, build_url_corpus
 from riskspark.plans.scans import score_urls
 from suite.registry import query
 from suite.views import cte, listed
@@ -130,6 +130,29 @@ def _(t):
 EVENT_SQL = "SELECT event_id AS id, event_type AS label FROM events"
 
 
+MAILS_SQL = """SELECT lpad(doc_id::VARCHAR, 9, '0') || '.eml' AS path, CASE WHEN doc_id % 4 = 1 THEN '  \t' ELSE text END AS text, doc_id % 3 % 2 AS label FROM documents"""
+
+
+@query(
+    "corpus_build_mail",
+    f"""WITH m AS ({MAILS_SQL}), c AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || path), path) <= 300),
+    w AS (SELECT path, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text, label FROM c),
+    d AS (SELECT * FROM w WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY text ORDER BY label, path) = 1),
+    r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || path), path) AS rn, count(*) OVER () AS n FROM d)
+    SELECT path, label, md5(text) AS digest, CASE WHEN rn <= floor(0.7::DOUBLE * n) THEN 'train' WHEN rn <= floor(0.7::DOUBLE * n) + floor(0.15::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM r""",
+)
+def _(t):
+    mails = t.table("documents").select(
+        F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".eml")).alias("path"),
+        F.when(F.col("doc_id") % 4 == 1, "  \t").otherwise(F.col("text")).alias("text"),
+        (F.col("doc_id") % 3 % 2).alias("label"),
+    )
+    built = build_mail_corpus(mails, 300)
+    path = staging_path(t.spark, "mail-corpus")
+    built.write.partitionBy("split").parquet(path)
+    return t.spark.read.parquet(path).select("path", "label", F.md5("text").alias("digest"), "split")
+
+
 def event_rows(t):
     return t.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("label"))
 

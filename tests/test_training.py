@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scoring, text
 from riskspark.operators import corpus, ensemble, metrics, sampling, textmodel, trees
-from riskspark.plans.corpus import build_text_corpus, build_url_corpus
+from riskspark.plans.corpus import build_mail_corpus, build_text_corpus, build_url_corpus
 from riskspark.sources import readers, writers
 
 
@@ -178,6 +178,21 @@ def test_vocabulary_limit_takes_the_most_frequent(spark):
     assert textmodel.vocabulary(tokens, 9, 3).count() == 0
 
 
+def test_sampling_computes_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(1000).selectExpr("id", "id % 3 AS label").mapInPandas(counted, "id long, label long")
+    assert sampling.cap_per_class(df, 50).count() == 150
+    assert seen.value == 1000
+    assert sampling.assign_split(df, stratify="label").groupBy("split").count().count() == 3
+    assert seen.value == 2000
+
+
 @pytest.mark.parametrize(
     "mode, weights, second, nb_p, expected",
     [("soft", (0.7, 0.3), 0.8, 0.6, 0.7), ("weighted", (0.7, 0.3), 1.0, 0.0, 0.7), ("weighted", (0.7, 0.3), 0.0, 1.0, 0.3),
@@ -252,8 +267,34 @@ def test_corpus_reader_order_and_errors(spark, tmp_path):
     (tmp_path / "b.csv").write_text("body,other\nx,1\n")
     with pytest.raises(ValueError):
         readers.read_text_corpus(spark, [{"path": str(tmp_path / "b.csv")}])
-    specs = [{"path": str(tmp_path / "a.csv")}, {"path": str(tmp_path / "b.csv"), "default_label": 1}]
+    specs = [{"path": str(tmp_path / "a.csv"), "multi_line": True}, {"path": str(tmp_path / "b.csv"), "default_label": 1}]
     df = readers.read_text_corpus(spark, specs)
     assert sorted((r.text, r.label) for r in df.collect()) == [('one, "two"\nline', 1), ("x", 0), ("x", 1)]
     first = corpus.dedupe_first(df, "text", ["src_ord", "path", "row_ord"])
     assert {r.text: r.label for r in first.collect()}["x"] == 0
+
+
+def test_arff_header_ends_at_data(spark, tmp_path):
+    (tmp_path / "x.arff").write_text("@relation r\n@attribute a numeric\n@attribute Result {-1,1}\n@DATA\n1,-1\n@attribute late numeric\n2,1\n")
+    got = readers.read_arff(spark, str(tmp_path / "x.arff")).collect()
+    assert [tuple(r) for r in got] == [(1.0, 1), (2.0, 0)]
+
+
+def test_one_probability_per_key(spark):
+    probs = spark.createDataFrame([(1, 0.2, None), (1, 0.4, 0.5), (1, 0.4, 0.3), (2, None, None)], "id int, p_second double, p_nb double")
+    got = {r.id: (r.p_second, r.p_nb) for r in ensemble.one_probability(probs, "id", "p_second", "p_nb").collect()}
+    assert got == {1: (0.4, 0.5), 2: (None, None)}
+    texts = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id int, text string")
+    twice = probs.select("id", F.col("p_second").alias("p"))
+    assert {(r.id, r.p_second) for r in ensemble.with_second_model(texts, twice).collect()} == {(1, 0.4), (2, None), (3, None)}
+
+
+def test_mail_corpus(spark):
+    rows = [("b.eml", "Hello \n team", 1), ("c.eml", " Hello team ", 0), ("a.eml", "Hello team", 0), ("d.eml", " \t ", 1), ("e.eml", None, 0)]
+    rows += [(f"f{i:03}.eml", f"mail {i}", i % 2) for i in range(99)]
+    built = build_mail_corpus(spark.createDataFrame(rows, "path string, text string, label int"))
+    got = {r.path: r for r in built.collect()}
+    assert len(got) == 100 and got["a.eml"].text == "Hello team" and got["a.eml"].label == 0
+    sizes = {r["split"]: r["count"] for r in built.groupBy("split").count().collect()}
+    assert sizes == {"train": 70, "val": 15, "test": 15}
+    assert build_mail_corpus(spark.createDataFrame(rows, "path string, text string, label int"), 10).count() <= 20
