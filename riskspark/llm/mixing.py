@@ -3,13 +3,15 @@
 1. A source's target is its weighted share of the budget, at most `most` times its own words; what
    is cut off is shared again by weight.
 2. The budget is a number of blocks of `block` words. Sources get blocks by highest quotients
-   target / (2k + 1); a source's blocks go to its shards by the same rule on the shards' words.
+   target / (2k + 1); a source's blocks go to its shards by the same rule on the shards' words; what a shard cannot
+   give is dealt again among the others.
 3. Within a shard, a source's documents stand in seeded hash order. Its blocks are taken from the
    front of that line, which goes round at most `most` times; the words a document gives are the
    overlap of its place in the line with the blocks taken.
 
-Shards are slices of the seeded hash. Their number grows with the square root of the corpus, so
-both the documents of a shard and the shards of a source stay small next to the corpus.
+The seeded hash is cut into slices, and a source's shards are runs of slices. Their number grows with
+the square root of the source's own words, so both the documents of a shard and the shards of a source
+stay small next to the source, and a source of few words is not cut into shards smaller than a document.
 
 Defined cases: a null text has size 0 and gives nothing; a null source is a source of its own, the
 last; ids may be null or repeat (equal records are interchangeable); without any word every target
@@ -106,6 +108,27 @@ def source_table(rows: DataFrame, block: int) -> pd.DataFrame:
     )
 
 
+def shard_count(words: int) -> int:
+    """Both the words of a shard and the shards grow with the square root of the words."""
+    return max(1, math.isqrt(words // 4096))
+
+
+def dealt_words(words: np.ndarray, blocks: int, block: int) -> np.ndarray:
+    """Words that each shard gives when its source deals `blocks` blocks by the shards' words.
+
+    A shard gives at most `MOST` times its words. What a last block lacks there is dealt again as
+    further blocks, until less than a block is missing or every shard gives all it can.
+    """
+    most, seats = -(-MOST * words // block), blocks
+    while True:
+        quota = sainte_lague(words, seats, most)
+        whole = np.minimum(quota * block, MOST * words)
+        short = int(blocks * block - whole.sum())
+        if short < block or (quota == most).all():
+            return whole
+        seats = int(quota.sum()) + short // block
+
+
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, the `keep` columns, and a document's place.
 
@@ -119,29 +142,30 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED, keep: tuple[str,
     )
     rows = write_shared(ordered, "sized")
     sources = source_table(rows, block)
-    total = int(sources["source_size"].sum())
-    shards = max(1, math.isqrt(total // 4096))
+    slices = shard_count(int(sources["source_size"].sum()))
     shape = "source string, source_size long, target double, blocks long"
     per_source = spark.createDataFrame([tuple(r) for r in sources.itertuples(index=False)], shape)
 
-    rows = rows.withColumn("shard", F.pmod("h", F.lit(shards)))
-    cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("line_words"))
+    rows = rows.withColumn("slice", F.pmod("h", F.lit(slices)))
+    cells = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     same = cells["source"].eqNullSafe(per_source["source"])
     cells = cells.join(per_source, same).drop(per_source["source"])
 
     def deal(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.sort_values("shard", kind="stable")
-        words = cell["line_words"].to_numpy()
-        most = -(-MOST * words // block)
-        quota = sainte_lague(words, int(cell["blocks"].iloc[0]), most)
-        return cell.assign(whole=np.minimum(quota * block, MOST * words))
-
-    # One group holds the shards of one source, never its documents.
-    shape = ", ".join(f"{name} {kind}" for name, kind in [*cells.dtypes, ("whole", "long")])
-    cells = cells.groupBy("source").applyInPandas(deal, shape)
+        count = shard_count(int(cell["source_size"].iloc[0]))
+        shard = (cell["slice"] * count // slices).astype("int64")
+        line = cell["words"].groupby(shard).sum()
+        whole = pd.Series(dealt_words(line.to_numpy(), int(cell["blocks"].iloc[0]), block), index=line.index)
+        cell = cell.assign(shard=shard, line_words=shard.map(line), whole=shard.map(whole))
+        return cell.drop(columns="words")
+
+    # One group holds the slices of one source, never its documents.
+    kinds = [(n, k) for n, k in cells.dtypes if n != "words"]
+    kinds += [(n, "long") for n in ("shard", "line_words", "whole")]
+    cells = cells.groupBy("source").applyInPandas(deal, ", ".join(f"{n} {k}" for n, k in kinds))
     keyed = rows.join(
-        cells.withColumnsRenamed({"source": "cell_source", "shard": "cell_shard"}),
-        F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("shard") == F.col("cell_shard")),
+        cells.withColumnsRenamed({"source": "cell_source", "slice": "cell_slice"}),
+        F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("slice") == F.col("cell_slice")),
     )
     line = W.Window.partitionBy("source", "shard").orderBy("g", "doc_id", "size")
     before = line.rowsBetween(W.Window.unboundedPreceding, -1)
