@@ -1,7 +1,8 @@
 """Line-first quality rules.
 
-Every line is judged on its own: punctuation runs, navigation and boilerplate wording, and repeats
-of an earlier line of the document. Failing lines go; a document that loses too much of its text
+Every line is judged on its own: too many punctuation runs, a line of dividing marks, a line that
+consists of navigation entries, a short line with a licence phrase, or a repeat of an earlier line of
+the document. Phrases count as whole words. Failing lines go; a document that loses too much of its text
 goes as a whole, and so does one that fails the base rules.
 
 Base rules, over words `[^\\x20\\x09-\\x0D]+` of the whole text: fewer than `min_words` words, or over
@@ -28,13 +29,19 @@ from riskspark.llm.common import register, table
 MIN_WORDS = 50
 MAX_LOST = 30  # percent of a document's word characters
 MARKS = re.compile(r"[!*$%&#|<>=~^]{2}|^[|<>»•·]$")  # a run of marks, or a separator alone
-BOILER = re.compile(
-    r"all rights reserved|licensed under|released under|privacy policy|terms of (?:use|service)"
-    r"|cookie policy|enable javascript|click here|sign in|log in|subscribe now|skip to content"
+RULE = re.compile(r"(?:[-._=*~+#•·][\x20\x09-\x0D]*){3,}")  # a line of marks that divides
+LEGAL = re.compile(r"\b(?:all rights reserved|licensed under|released under)\b", re.ASCII)
+LEGAL_WORDS = 15  # longer lines are prose that happens to hold such a phrase
+NAV_ITEM = (
+    r"(?:home|menu|search|help|faq|news|shop|about(?: us)?|contact(?: us)?|site ?map|sign (?:in|up|out)|log ?(?:in|out)"
+    r"|register|subscribe(?: now)?|click here|read more|back to top|skip to (?:main )?content|privacy policy"
+    r"|cookie policy|terms of (?:use|service)|(?:please )?enable javascript)"
 )
-BOILER_WORDS = 30  # longer lines are prose that happens to hold such a phrase
+NAV_GAP = r"[\x20\x09-\x0D|>»•·/,.:;!?()-]"
+NAV = re.compile(f"{NAV_GAP}*{NAV_ITEM}(?:{NAV_GAP}+{NAV_ITEM})*{NAV_GAP}*")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SPACE = "\x20\t\n\v\f\r"
 
 COLUMNS = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -59,7 +66,10 @@ def repeated_words(words: list[str]) -> int:
 def line_fails(line: str, words: list[str], max_marked: float = 1 / 3) -> bool:
     if sum(1 for w in words if MARKS.search(w)) > max_marked * len(words):
         return True
-    return len(words) <= BOILER_WORDS and BOILER.search(line.lower()) is not None
+    low = line.lower()
+    if RULE.fullmatch(low.strip(SPACE)) or NAV.fullmatch(low):
+        return True
+    return len(words) <= LEGAL_WORDS and LEGAL.search(low) is not None
 
 
 def judge(text: str | None, min_words: int = MIN_WORDS, max_lost: int = MAX_LOST) -> tuple:
@@ -138,8 +148,9 @@ judged AS (
   SELECT doc_id, again, list_sum([length(x) FOR x IN words]) AS chars,
     again
     OR 3 * len([x FOR x IN words IF regexp_matches(x, '[!*$%&#|<>=~^]{2}|^[|<>»•·]$')]) > len(words)
-    OR (len(words) <= 30 AND regexp_matches(lower(line),
-      'all rights reserved|licensed under|released under|privacy policy|terms of (use|service)|cookie policy|enable javascript|click here|sign in|log in|subscribe now|skip to content'))
+    OR regexp_full_match(lower(line), '[\x20\x09-\x0D]*([-._=*~+#•·][\x20\x09-\x0D]*){3,}')
+    OR regexp_full_match(lower(line), '""" + f"{NAV_GAP}*{NAV_ITEM}({NAV_GAP}+{NAV_ITEM})*{NAV_GAP}*" + r"""')
+    OR (len(words) <= 15 AND regexp_matches(lower(line), '\b(all rights reserved|licensed under|released under)\b'))
     AS failing
   FROM lines WHERE len(words) > 0),
 lost AS (

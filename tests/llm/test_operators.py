@@ -64,6 +64,25 @@ def test_quality(docs):
     assert quality.judge(lines)[8] == PASSAGE + "\n" + PASSAGE[:200]
 
 
+@pytest.mark.parametrize(
+    "line",
+    ["Home", "About us", "Home | About", "Sign in", "Home > News > Shop", "..........", "-----", "- - - -", "$$ ## win",
+     "All rights reserved.", "(c) 2020 Some Firm. All rights reserved.", "Released under the MIT License.", "Please enable JavaScript."],
+)
+def test_failing_lines(line):
+    assert quality.line_fails(line, line.split())
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["the design in detail", "a catalog in the main hall", "his dialog in the play", "You can sign in at the desk before noon.",
+     "They went home", "}", "--", "News of the day reached the shop", "é home", "unlicensed underwater work",
+     "The film, which was shot on a small island over two long summers, was released under another title abroad."],
+)
+def test_lines_that_stay(line):
+    assert not quality.line_fails(line, line.split())
+
+
 def test_simhash(spark, docs):
     rows = simhash.with_fingerprint(docs, ["doc_id"]).select("row.doc_id", "fp")
     path = simhash.write_shared(rows, "t")
@@ -216,6 +235,22 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_meets_the_target_of_a_small_source(spark):
+    small = [(i, 20, "small") for i in range(300)]
+    large = [(1000 + i, 400_000, "large") for i in range(50)]
+    rows = spark.createDataFrame(small + large, "doc_id long, n int, source string")
+    got = mixing.mix(rows.select("doc_id", "source", F.repeat(F.lit("w "), F.col("n")).alias("text")))
+    for r in got.groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 0.02 * r.target, r
+
+
+def test_missing_words_are_dealt_again():
+    words = np.array([7, 90, 3, 500, 0, 64])
+    for blocks in range(22):
+        got = mixing.dealt_words(words, blocks, 64)
+        assert (got <= 2 * words).all() and blocks * 64 - got.sum() < 64 or (got == 2 * words).all()
+
+
 def test_language(spark):
     words = {"en": "the house and river of green trees", "de": "das haus und der fluss mit baum", "fr": "la maison et le fleuve avec arbre"}
     rows = [(i, " ".join(np.random.default_rng(i).permutation(words[g].split())), g) for i, g in enumerate(list(words) * 60)]
