@@ -1,16 +1,18 @@
 """Personal data: base patterns, and identifiers found from their contexts by bootstrapping.
 
 One pass finds the base spans and, beside them, every identifier-shaped word that no base span
-covers: six characters or more, four of them digits, or digits mixed with letters. Each occurrence
-carries the lexical patterns around it: its two words before, and the word before with the word
-after.
-
-Base spans are the seeds of a graph between patterns and instances. In each round a pattern's score
-is the summed score of its distinct instances over their number plus one, and needs support from
-`SUPPORT` distinct seeds; an instance's score is one minus the product of (1 - score) over its
-patterns that reach `TRUSTED`. Instances that reach `ACCEPTED`, where they stand in such a
-pattern, become spans of the kind `id`. The scores are whole millionths, so sums do not depend on
-their order.
+covers: six characters or more, four of them digits, or digits mixed with letters; digit groups with
+single spaces between them are one word. Each occurrence carries the lexical patterns around it: its
+two words before, and the word before with the word after.
+
+Base spans are the seeds of a graph between patterns and instances. In each round a pattern is
+supported if `SUPPORT` distinct seeds or accepted instances stand in it. An instance most of whose
+patterns have no support is judged to be no identifier; other instances that are not accepted are
+unknown. A pattern's trust is its good instances over its judged ones plus one; an instance's score is
+one minus the product of (1 - trust) over its patterns that reach `TRUSTED`. Instances that reach
+`ACCEPTED` support patterns in the next round, and rounds go on until none is new: support, trust and
+scores only grow. Accepted instances, where they stand in a trusted pattern, become spans of the kind
+`id`. Scores are whole millionths, so sums do not depend on their order.
 
 Defined cases: a null text counts as empty; equal rows get equal results; ids may be null or repeat;
 an empty table gives an empty result; only `doc_id` and `text` are read.
@@ -37,8 +39,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHAPED = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._/-]*[A-Za-z0-9])?")
+GROUPS = re.compile(r"(?<![^\x20\x09-\x0D])[0-9]{2,}(?:\x20[0-9]{2,})+(?![^\x20\x09-\x0D])")
 PAIRS = "0246813579"  # a doubled digit's digit sum
-SUPPORT, TRUSTED, ACCEPTED, ROUNDS = 3, 0.8, 0.9, 3
+SUPPORT, TRUSTED, ACCEPTED = 3, 0.8, 0.9
 MILLION = 1_000_000
 
 
@@ -103,13 +106,22 @@ def occurrences(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[bool
     found = [(True, text[s:e], s, e, context(text, s, e)) for _, s, e in spans]
     if not any("0" <= c <= "9" for c in text):
         return found
-    covered = sorted((s, e) for _, s, e in spans)
+    covered = bytearray(len(text))
+
+    def free(start: int, end: int) -> bool:
+        return covered.find(1, start, end) < 0
+
+    for _, start, end in spans:
+        covered[start:end] = b"\x01" * (end - start)
+    for m in GROUPS.finditer(text):
+        if len(m[0]) >= 6 and len(digits(m[0])) >= 4 and free(*m.span()):
+            found.append((False, m[0], *m.span(), context(text, *m.span())))
+            covered[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
     for word in re.finditer(r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", text):
         for m in SHAPED.finditer(text, *word.span()):
             n = len(digits(m[0]))
-            if len(m[0]) >= 6 and (n >= 4 or 0 < n < len(m[0])):
-                if not any(s < m.end() and m.start() < e for s, e in covered):
-                    found.append((False, m[0], *m.span(), context(text, *m.span())))
+            if len(m[0]) >= 6 and (n >= 4 or 0 < n < len(m[0])) and free(*m.span()):
+                found.append((False, m[0], *m.span(), context(text, *m.span())))
     return found
 
 
@@ -140,50 +152,56 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, shape)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns and of instances, in millionths, from (pattern, value, seed).
+def bootstrap(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trusted patterns and accepted instances of (pattern, value, seed).
 
-    Every round is two sums over the graph's edges and is written; only patterns and instances that
-    score are carried on.
+    Every round joins the edges with the few supported patterns and is written. What it accepted
+    stays accepted, so the rounds end.
     """
     edges = write_shared(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    start = F.when(F.col("seed"), MILLION).otherwise(0)
-    scored = edges.withColumn("score", start.cast("long"))
-    for _ in range(rounds):
-        patterns = scored.groupBy("pattern").agg(
-            F.sum("score").alias("sum"), F.count("*").alias("n"), F.sum(F.col("seed").cast("long")).alias("seeds")
+    places = write_shared(edges.filter("not seed").groupBy("value").agg(F.count("*").alias("places")), "pii-places")
+    accepted, known = edges.select("value").limit(0), -1
+    while True:
+        # An accepted value counts once for each of its patterns, as a seed does.
+        good = edges.filter("seed").select("pattern").unionAll(
+            edges.filter("not seed").join(accepted, "value", "left_semi").select("pattern")
         )
-        patterns = patterns.filter(f"seeds >= {SUPPORT}")
-        patterns = patterns.select("pattern", F.floor(F.col("sum") / (F.col("n") + 1)).cast("long").alias("trust"))
-        patterns = write_shared(patterns.filter(f"trust >= {int(TRUSTED * MILLION)}"), "pii-patterns")
+        supported = good.groupBy("pattern").agg(F.count("*").alias("good")).filter(f"good >= {SUPPORT}")
+        supported = write_shared(supported, "pii-supported")
+        touched = write_shared(edges.filter("not seed").join(supported, "pattern").select("pattern", "value"), "pii-touched")
+        held = touched.groupBy("value").agg(F.count("*").alias("held")).join(places, "value")
+        failed = held.filter("2 * held < places").select("value").join(accepted, "value", "left_anti")
+        bad = touched.join(failed, "value", "left_semi").groupBy("pattern").agg(F.count("*").alias("bad"))
+        judged = supported.join(bad, "pattern", "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
+        trust = F.floor(F.col("good") * MILLION / (F.col("good") + F.col("bad") + 1)).cast("long")
+        judged = judged.select("pattern", trust.alias("trust")).filter(f"trust >= {int(TRUSTED * MILLION)}")
+        patterns = write_shared(judged, "pii-patterns")
         doubt = F.round(F.log1p(-F.col("trust") / MILLION) * MILLION).cast("long")
-        values = edges.filter("not seed").join(patterns, "pattern").groupBy("value").agg(F.sum(doubt).alias("doubt"))
-        gained = F.floor((1 - F.exp(F.col("doubt") / MILLION)) * MILLION).cast("long")
-        values = write_shared(values.select("value", gained.alias("gained")), "pii-values")
-        scored = edges.join(values, "value", "left").withColumn(
-            "score", F.when(F.col("seed"), MILLION).otherwise(F.coalesce("gained", F.lit(0))).cast("long")
-        ).drop("gained")
-    return patterns, values
+        values = touched.join(patterns, "pattern").groupBy("value").agg(F.sum(doubt).alias("doubt"))
+        gained = F.floor((1 - F.exp(F.col("doubt") / MILLION)) * MILLION)
+        accepted = write_shared(values.filter(gained >= int(ACCEPTED * MILLION)).select("value"), "pii-accepted")
+        before, known = known, accepted.count()
+        if known == max(before, 0):
+            return patterns, accepted
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Base columns and `spans`, base spans and discovered ones, for every row."""
+    """Base columns, `spans` (base spans and discovered ones) and `n_found` (discovered ones) for every row."""
     rows = write_shared(scan(docs), "pii")
     seen = rows.select("key", F.explode("seen").alias("x")).select("key", "x.*")
     seen = seen.select("key", "seed", "value", "start", "stop", F.explode("patterns").alias("pattern"))
-    patterns, values = bootstrap(seen.select("pattern", "value", "seed"))
-    sure = values.filter(f"gained >= {int(ACCEPTED * MILLION)}").select("value")
-    # The scored patterns and values are few; adaptive execution sees their sizes.
+    patterns, sure = bootstrap(seen.select("pattern", "value", "seed"))
+    # Trusted patterns and accepted values are few; adaptive execution sees their sizes.
     added = seen.filter("not seed").join(patterns.select("pattern"), "pattern", "left_semi").join(sure, "value", "left_semi")
-    texts = F.transform(
-        F.sort_array(F.collect_set(F.struct("start", "stop"))), lambda s: F.format_string("id:%d:%d", s["start"], s["stop"])
-    )
-    added = added.groupBy("key").agg(F.array_join(texts, ",").alias("added"))
-    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "added")
-    return rows.drop("seen").join(added, "key", "left").withColumn("spans", spans).drop("key", "base", "added")
+    added = added.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("found"))
+    texts = F.transform("found", lambda s: F.format_string("id:%d:%d", s["start"], s["stop"]))
+    spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.array_join(texts, ","))
+    joined = rows.drop("seen").join(added, "key", "left")
+    n_found = F.coalesce(F.array_size("found"), F.lit(0)).cast("long")
+    return joined.withColumns({"spans": spans, "n_found": n_found}).drop("key", "base", "found")
 
 
 @register("op5_pii")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = find(table(spark, folder, "documents"))
-    return found.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
+    return found.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_found")

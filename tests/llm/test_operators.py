@@ -170,6 +170,61 @@ def test_pii_learns_contexts(spark):
     assert got[100] == "id:23:31" and got[101] == ""
 
 
+@pytest.mark.parametrize("seeds, unseen", [(30, 8), (100, 26), (30, 200)])
+def test_pii_finds_more_with_more_text(spark, seeds, unseen):
+    rows = [(i, f"please write to member u{i}@mail.org today") for i in range(seeds)]
+    rows += [(1000 + i, f"please write to member KX-{48213 + i} today") for i in range(unseen)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1000 + i].spans == "id:23:31" and got[1000 + i].n_found == 1 for i in range(unseen))
+
+
+def test_pii_discoveries_support_patterns(spark):
+    rows = [(i, f"please write to member u{i}@mail.org today") for i in range(30)]
+    rows += [(100 + i, f"please write to member KX-{48213 + i} today") for i in range(6)]
+    rows += [(200 + i, f"the badge with serial KX-{48213 + i} was lost") for i in range(6)]
+    rows += [(300, "the badge with serial QQ-90125 was lost"), (301, "please write to member 12 345 678 today")]
+    rows += [(400 + i, f"in all the summer of {20000 + i}x it rained") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(df).collect()}
+    assert got[300] == "id:22:30" and got[301] == "id:23:33" and got[203] == "id:22:30"
+    assert all(got[400 + i] == "" for i in range(40))
+    accepted, _ = plain_bootstrap([(d, t) for d, t in rows])
+    assert {d for d, s in got.items() if "id:" in s} == accepted
+    assert pii.find(df.limit(0)).count() == 0
+
+
+def plain_bootstrap(rows):
+    """Ids of the rows that hold an accepted instance in a trusted pattern, by plain sets."""
+    edges, seeds, at = set(), set(), []
+    for doc_id, text in rows:
+        for seed, value, _, _, patterns in pii.occurrences(text, pii.base_spans(text)):
+            edges |= {(p, value) for p in patterns}
+            seeds |= {value} if seed else set()
+            at += [(doc_id, p, value) for p in patterns if not seed]
+    accepted, trusted = set(), {}
+    while True:
+        values = {p: {v for q, v in edges if q == p} for p, _ in edges}
+        supported = {p for p in values if len(values[p] & (seeds | accepted)) >= pii.SUPPORT}
+        failed = set()
+        for v in {v for _, v in edges} - seeds - accepted:
+            own = {p for p, w in edges if w == v}
+            if 2 * len(own & supported) < len(own):
+                failed.add(v)
+        trusted = {}
+        for p in supported:
+            good, bad = len(values[p] & (seeds | accepted)), len(values[p] & failed)
+            if good / (good + bad + 1) >= pii.TRUSTED:
+                trusted[p] = good / (good + bad + 1)
+        new = set()
+        for v in {v for _, v in edges} - seeds:
+            doubt = np.prod([1 - t for p, t in trusted.items() if v in values[p]])
+            if 1 - doubt >= pii.ACCEPTED:
+                new.add(v)
+        if new == accepted:
+            return {d for d, p, v in at if p in trusted and v in accepted}, trusted
+        accepted = new
+
+
 def test_urls(spark):
     urls = [f"http://good{i}.example.net/en/{i}" for i in range(40)] + [f"http://spam{i}.net/x/{i}" for i in range(40)]
     urls += ["HTTP://GOOD3.Example.ORG/fr/1?x#y", "no address", None, "x://example.com/de/", "https://a.example.com/en/3", "http://a.net?q=/en/"]
