@@ -254,7 +254,9 @@ def heuristic_score(get: Get) -> dict[str, Column]:
     return {"ml_score": score, "ml_probability": F.least(score / F.lit(100.0), F.lit(0.99))}
 
 
-def checks(get: Get) -> dict[str, Column]:
+def check_rows(get: Get) -> list[tuple]:
+    """(condition, name, status, detail) of every check."""
+
     def number(name: str) -> Column:
         return get(name).cast("string")
 
@@ -266,49 +268,51 @@ def checks(get: Get) -> dict[str, Column]:
         get("url_length") > 75, get("ip_hostname"), get("uses_https"), get("suspicious_tld")
     )
     entropy = F.format_string("%.2f", get("hostname_entropy"))
-    return {
-        "checks": checks_array(
-            (long, "Excessive URL Length", "fail", text(number("url_length"), " characters (suspicious > 75)")),
-            (~long, "URL Length", "pass", text(number("url_length"), " characters (normal)")),
-            (get("dot_count") > 4, "Excessive Dots", "fail", text(number("dot_count"), " dots found")),
-            (
-                get("special_char_count") > 2, "Special Characters", "fail",
-                text(number("special_char_count"), " suspicious characters"),
-            ),
-            (get("has_at_symbol"), "@ Symbol in URL", "fail", "URL contains @ symbol (redirect trick)"),
-            (ip, "IP-based Hostname", "fail", "Uses IP address instead of domain name"),
-            (~ip, "IP-based Hostname", "pass", "Uses domain name"),
-            (https, "HTTPS Protocol", "pass", "Secure connection"),
-            (~https, "HTTPS Protocol", "fail", "No HTTPS - insecure connection"),
-            (
-                get("subdomain_depth") > 2, "Deep Subdomains", "fail",
-                text(number("subdomain_depth"), " subdomain levels"),
-            ),
-            (get("path_length") > 50, "Long Path", "fail", text(number("path_length"), " characters in path")),
-            (tld, "Suspicious TLD", "fail", text(quoted_tld, " is commonly used in phishing")),
-            (~tld, "TLD Check", "pass", text(quoted_tld, " is standard")),
-            (get("url_shortener"), "URL Shortener", "warn", "Shortened URL hides true destination"),
-            (
-                get("high_entropy"), "High Entropy Hostname", "fail",
-                text("Entropy: ", entropy, " (random-looking domain)"),
-            ),
-            (
-                get("typosquatting"), "Typosquatting Detected", "fail",
-                text('Impersonating "', get("typosquat_brand"), '"'),
-            ),
-            (
-                F.size(get("suspicious_keywords")) >= 2, "Suspicious Keywords", "fail",
-                text("Found: ", shown(get("suspicious_keywords"), 5)),
-            ),
-            (get("hyphen_count") > 2, "Excessive Hyphens", "fail", text(number("hyphen_count"), " hyphens in domain")),
-            (get("unusual_port"), "Unusual Port", "fail", text("Port ", number("port"), " (non-standard)")),
-            (get("double_slash_path"), "Double Slash in Path", "warn", "Redirect trick detected"),
-            (
-                get("suspicious_params"), "Suspicious Parameters", "fail",
-                "Query contains sensitive parameter names",
-            ),
-        )
-    }
+    return [
+        (long, "Excessive URL Length", "fail", text(number("url_length"), " characters (suspicious > 75)")),
+        (~long, "URL Length", "pass", text(number("url_length"), " characters (normal)")),
+        (get("dot_count") > 4, "Excessive Dots", "fail", text(number("dot_count"), " dots found")),
+        (
+            get("special_char_count") > 2, "Special Characters", "fail",
+            text(number("special_char_count"), " suspicious characters"),
+        ),
+        (get("has_at_symbol"), "@ Symbol in URL", "fail", "URL contains @ symbol (redirect trick)"),
+        (ip, "IP-based Hostname", "fail", "Uses IP address instead of domain name"),
+        (~ip, "IP-based Hostname", "pass", "Uses domain name"),
+        (https, "HTTPS Protocol", "pass", "Secure connection"),
+        (~https, "HTTPS Protocol", "fail", "No HTTPS - insecure connection"),
+        (
+            get("subdomain_depth") > 2, "Deep Subdomains", "fail",
+            text(number("subdomain_depth"), " subdomain levels"),
+        ),
+        (get("path_length") > 50, "Long Path", "fail", text(number("path_length"), " characters in path")),
+        (tld, "Suspicious TLD", "fail", text(quoted_tld, " is commonly used in phishing")),
+        (~tld, "TLD Check", "pass", text(quoted_tld, " is standard")),
+        (get("url_shortener"), "URL Shortener", "warn", "Shortened URL hides true destination"),
+        (
+            get("high_entropy"), "High Entropy Hostname", "fail",
+            text("Entropy: ", entropy, " (random-looking domain)"),
+        ),
+        (
+            get("typosquatting"), "Typosquatting Detected", "fail",
+            text('Impersonating "', get("typosquat_brand"), '"'),
+        ),
+        (
+            F.size(get("suspicious_keywords")) >= 2, "Suspicious Keywords", "fail",
+            text("Found: ", shown(get("suspicious_keywords"), 5)),
+        ),
+        (get("hyphen_count") > 2, "Excessive Hyphens", "fail", text(number("hyphen_count"), " hyphens in domain")),
+        (get("unusual_port"), "Unusual Port", "fail", text("Port ", number("port"), " (non-standard)")),
+        (get("double_slash_path"), "Double Slash in Path", "warn", "Redirect trick detected"),
+        (
+            get("suspicious_params"), "Suspicious Parameters", "fail",
+            "Query contains sensitive parameter names",
+        ),
+    ]
+
+
+def checks(get: Get) -> dict[str, Column]:
+    return {"checks": checks_array(*check_rows(get))}
 
 
 RULES = [*PARTS, rule_features, rule_flags]

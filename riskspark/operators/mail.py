@@ -257,7 +257,9 @@ def hybrid_score(df: DataFrame) -> DataFrame:
     )
 
 
-def mail_checks(df: DataFrame) -> DataFrame:
+def mail_check_rows() -> list[tuple]:
+    """(condition, name, status, detail) of every check, over the columns of scored messages."""
+
     def status(col: str, label: str, failed: str, passed: str, unknown: str) -> list[tuple]:
         state = F.col(col)
         return [
@@ -277,44 +279,45 @@ def mail_checks(df: DataFrame) -> DataFrame:
     analyzed, attached = F.size("links_analyzed"), F.size("attachments")
     risky = F.col("risky_links") > 0
     dangerous = F.size("dangerous_files") > 0
-    return df.withColumn(
-        "checks",
-        checks_array(
-            *status(
-                "spf_status", "SPF", "Unauthorized sender IP", "Authorized sender IP",
-                "SPF record not verifiable",
-            ),
-            *status(
-                "dkim_status", "DKIM", "Email signature invalid", "Verified domain signature",
-                "DKIM not verifiable",
-            ),
-            (replied & differs, "REPLY_TO_MISMATCH", "fail", domains),
-            (replied & ~differs, "REPLY_TO_CHECK", "pass", "Sender and Reply-To domains match"),
-            (
-                F.col("suspicious_sender"), "SUSPICIOUS_SENDER", "fail",
-                F.concat(F.lit("Known suspicious domain: "), F.col("sender_domain")),
-            ),
-            (
-                urgent, "URGENCY_KEYWORDS", "fail",
-                F.concat(F.lit("Found: "), shown(F.col("urgency_keywords"), 5)),
-            ),
-            (~urgent, "URGENCY_CHECK", "pass", "No urgency manipulation detected"),
-            (
-                F.col("pattern_count") > 0, "PHISHING_PATTERNS", "fail",
-                counted(F.col("pattern_count"), " suspicious patterns detected"),
-            ),
-            (risky, "RISKY_LINKS", "fail", counted(F.col("risky_links"), " suspicious links found")),
-            (
-                ~risky & (analyzed > 0), "LINK_ANALYSIS", "pass",
-                counted(analyzed, " links analyzed, none suspicious"),
-            ),
-            (
-                dangerous, "DANGEROUS_ATTACHMENTS", "fail",
-                F.concat(F.lit("Dangerous files: "), F.array_join("dangerous_files", ", ")),
-            ),
-            (~dangerous & (attached > 0), "ATTACHMENTS", "warn", counted(attached, " attachment(s) found")),
+    return [
+        *status(
+            "spf_status", "SPF", "Unauthorized sender IP", "Authorized sender IP",
+            "SPF record not verifiable",
         ),
-    )
+        *status(
+            "dkim_status", "DKIM", "Email signature invalid", "Verified domain signature",
+            "DKIM not verifiable",
+        ),
+        (replied & differs, "REPLY_TO_MISMATCH", "fail", domains),
+        (replied & ~differs, "REPLY_TO_CHECK", "pass", "Sender and Reply-To domains match"),
+        (
+            F.col("suspicious_sender"), "SUSPICIOUS_SENDER", "fail",
+            F.concat(F.lit("Known suspicious domain: "), F.col("sender_domain")),
+        ),
+        (
+            urgent, "URGENCY_KEYWORDS", "fail",
+            F.concat(F.lit("Found: "), shown(F.col("urgency_keywords"), 5)),
+        ),
+        (~urgent, "URGENCY_CHECK", "pass", "No urgency manipulation detected"),
+        (
+            F.col("pattern_count") > 0, "PHISHING_PATTERNS", "fail",
+            counted(F.col("pattern_count"), " suspicious patterns detected"),
+        ),
+        (risky, "RISKY_LINKS", "fail", counted(F.col("risky_links"), " suspicious links found")),
+        (
+            ~risky & (analyzed > 0), "LINK_ANALYSIS", "pass",
+            counted(analyzed, " links analyzed, none suspicious"),
+        ),
+        (
+            dangerous, "DANGEROUS_ATTACHMENTS", "fail",
+            F.concat(F.lit("Dangerous files: "), F.array_join("dangerous_files", ", ")),
+        ),
+        (~dangerous & (attached > 0), "ATTACHMENTS", "warn", counted(attached, " attachment(s) found")),
+    ]
+
+
+def mail_checks(df: DataFrame) -> DataFrame:
+    return df.withColumn("checks", checks_array(*mail_check_rows()))
 
 
 def mail_extras(df: DataFrame) -> DataFrame:

@@ -80,12 +80,23 @@ def class_report(df: DataFrame, label="label", pred="pred") -> DataFrame:
     return df.agg(*_counts(label, pred)).select(F.inline(F.array(*rows)))
 
 
-def roc_auc(df: DataFrame, label="label", score="p", by=(), buckets=256) -> DataFrame:
+def in_ranges(tied: DataFrame, by: list[str], buckets: int | None = None) -> DataFrame:
+    """Add `bucket`, ascending in `s` within each `by` group: the range partition of the row.
+
+    The boundaries come from a sample of the rows' own (by, s), so partitions are about even wherever
+    the scores lie. Without `buckets` the session's number of partitions counts.
+    """
+    keys = [*by, "s"]
+    dealt = tied.repartitionByRange(buckets, *keys) if buckets else tied.repartitionByRange(*keys)
+    return dealt.withColumn("bucket", F.spark_partition_id())
+
+
+def roc_auc(df: DataFrame, label="label", score="p", by=(), buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve with ties; NaN when only one class is present.
 
     Rows whose label is null, or whose score is null or NaN, have no place in the order and take no
-    part. Equal scores collapse first. Distinct scores are ranked within slots of their log-odds,
-    `buckets` to the unit, and only slot totals are summed in order.
+    part. Equal scores collapse first. Distinct scores are ranked within range partitions, and only
+    the partitions' totals are summed in order.
     """
     by = list(by)
     value = F.col(score).cast("double")
@@ -94,21 +105,16 @@ def roc_auc(df: DataFrame, label="label", score="p", by=(), buckets=256) -> Data
     tied = data.groupBy(*by, "s").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
     )
-    # Slots follow the score itself, so each model has its own; logits spread those near 0 and 1.
-    inner = (F.col("s") > 0) & (F.col("s") < 1)
-    spread = F.when(inner, F.floor(F.log(F.col("s") / (1 - F.col("s"))) * buckets))
-    tied = tied.withColumns(
-        {"low": F.when(F.col("s") <= 0, 0).when(inner, 1).otherwise(2), "bucket": F.coalesce(spread, F.lit(0))}
-    )
-    inside = Window.partitionBy(*by, "low", "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    tied = in_ranges(tied, by, buckets)
+    inside = Window.partitionBy(*by, "bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(inside), F.lit(0))
     per_bucket = (
         tied.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
-        .groupBy(*by, "low", "bucket")
+        .groupBy(*by, "bucket")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
     )
     group = by or [F.lit(0)]
-    earlier = Window.partitionBy(*group).orderBy("low", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("neg").over(earlier), F.lit(0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return (

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions import scoring
+from riskspark.functions.staging import hold
 
 SUMMARY_LIMIT = 255  # width of the stored summary column
 
@@ -81,13 +82,36 @@ def threat_meter(df: DataFrame) -> DataFrame:
     return df.withColumn("threat_level", level)
 
 
+def most_frequent(counted: DataFrame, k: int | None) -> DataFrame:
+    if k is None:
+        return counted
+    return counted.orderBy(F.desc("n"), "scan_type", "name", "status").limit(k)
+
+
+def count_reasons(df: DataFrame, rows: list[tuple], scan_type: str, k: int | None = None) -> DataFrame:
+    """`top_reasons` of rows whose checks are not built yet: (condition, name, status, detail) in `rows`.
+
+    Each row becomes the bits of its conditions; they are counted map-side in one row per task and
+    named after that. No check text is built.
+    """
+    bits = F.array(*[F.coalesce(condition, F.lit(False)) for condition, *_ in rows]).alias("bits")
+    counts = hold(df.select(bits), "bits").agg(
+        *[F.count_if(F.get("bits", F.lit(i))).alias(f"n{i}") for i in range(len(rows))]
+    )
+    named = [
+        F.struct(F.lit(name).alias("name"), F.lit(status).alias("status"), F.col(f"n{i}").alias("n"))
+        for i, (_, name, status, _) in enumerate(rows)
+    ]
+    counts = counts.select(F.inline(F.array(*named))).filter("n > 0")
+    counts = counts.groupBy("name", "status").agg(F.sum("n").alias("n"))
+    return most_frequent(counts.select(F.lit(scan_type).alias("scan_type"), "name", "status", "n"), k)
+
+
 def top_reasons(scans: DataFrame, k: int | None = None) -> DataFrame:
-    """How often each check was raised, most frequent first."""
+    """How often each check of stored scans was raised, most frequent first."""
     counted = (
         scans.select("scan_type", F.explode("details.checks").alias("c"))
         .groupBy("scan_type", F.col("c.name").alias("name"), F.col("c.status").alias("status"))
         .agg(F.count("*").alias("n"))
     )
-    if k is None:
-        return counted
-    return counted.orderBy(F.desc("n"), "scan_type", "name", "status").limit(k)
+    return most_frequent(counted, k)

@@ -81,7 +81,9 @@ def sms_heuristic_score(df: DataFrame) -> DataFrame:
     return df.withColumn("ml_score", capped(sum(points[1:], points[0]), 100))
 
 
-def sms_checks(df: DataFrame) -> DataFrame:
+def sms_check_rows() -> list[tuple]:
+    """(condition, name, status, detail) of every check, over the columns of scored messages."""
+
     def found(prefix: str, name: str):
         return F.concat(F.lit(prefix), shown(F.col(name), 3))
 
@@ -96,30 +98,31 @@ def sms_checks(df: DataFrame) -> DataFrame:
     short_detail = F.concat(
         F.lit("Short code: "), sender, F.lit(" (legitimate services use these, but so do scams)")
     )
-    return df.withColumn(
-        "checks",
-        checks_array(
-            (_has("urgency"), "Urgency Language", "fail", found("Found: ", "urgency")),
-            (~_has("urgency"), "Urgency Check", "pass", "No urgency manipulation detected"),
-            (_has("prizes"), "Prize/Lottery Scam", "fail", found("Found: ", "prizes")),
-            (_has("threats"), "Threat Language", "fail", found("Found: ", "threats")),
-            (F.col("otp_hits") > 0, "OTP/Code Pattern", "warn", "Contains OTP-related content"),
-            (_has("financial"), "Financial Content", "warn", found("References: ", "financial")),
-            (F.col("pressured"), "Call to Action", "fail", found("Pressuring action: ", "actions")),
-            (risky, "Suspicious Links", "fail", counted(F.col("risky_links"), " risky link(s) detected")),
-            (~risky & linked, "Link Analysis", "pass", counted(analyzed, " link(s) analyzed, appear safe")),
-            (
-                ~linked & F.col("link_words"), "Missing Link", "warn",
-                "Mentions action but link may be hidden",
-            ),
-            (short, "Short Code Sender", "warn", short_detail),
-            (~short & phone, "Standard Number", "pass", "Standard phone number format"),
-            (
-                ~short & ~phone & (sender != ""), "Sender Format", "warn",
-                F.concat(F.lit("Non-standard sender: "), sender),
-            ),
+    return [
+        (_has("urgency"), "Urgency Language", "fail", found("Found: ", "urgency")),
+        (~_has("urgency"), "Urgency Check", "pass", "No urgency manipulation detected"),
+        (_has("prizes"), "Prize/Lottery Scam", "fail", found("Found: ", "prizes")),
+        (_has("threats"), "Threat Language", "fail", found("Found: ", "threats")),
+        (F.col("otp_hits") > 0, "OTP/Code Pattern", "warn", "Contains OTP-related content"),
+        (_has("financial"), "Financial Content", "warn", found("References: ", "financial")),
+        (F.col("pressured"), "Call to Action", "fail", found("Pressuring action: ", "actions")),
+        (risky, "Suspicious Links", "fail", counted(F.col("risky_links"), " risky link(s) detected")),
+        (~risky & linked, "Link Analysis", "pass", counted(analyzed, " link(s) analyzed, appear safe")),
+        (
+            ~linked & F.col("link_words"), "Missing Link", "warn",
+            "Mentions action but link may be hidden",
         ),
-    )
+        (short, "Short Code Sender", "warn", short_detail),
+        (~short & phone, "Standard Number", "pass", "Standard phone number format"),
+        (
+            ~short & ~phone & (sender != ""), "Sender Format", "warn",
+            F.concat(F.lit("Non-standard sender: "), sender),
+        ),
+    ]
+
+
+def sms_checks(df: DataFrame) -> DataFrame:
+    return df.withColumn("checks", checks_array(*sms_check_rows()))
 
 
 def sms_extras(df: DataFrame) -> DataFrame:

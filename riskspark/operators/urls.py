@@ -61,6 +61,15 @@ def url_checks(df: DataFrame, col: str = "url") -> DataFrame:
     return urls.on_columns(_named(df, col), [*urls.SCORING, urls.checks], *_RULE_INTERNALS)
 
 
+def url_check_rows() -> list[tuple]:
+    """The checks over the columns that `url_check_inputs` adds."""
+    return urls.check_rows(F.col)
+
+
+def url_check_inputs(df: DataFrame, col: str = "url") -> DataFrame:
+    return urls.on_columns(_named(df, col), urls.RULES)
+
+
 def url_heuristic_score(df: DataFrame, col: str = "url") -> DataFrame:
     steps = [*urls.SCORING, urls.heuristic_score]
     return urls.on_columns(_named(df, col), steps, *_RULE_INTERNALS)

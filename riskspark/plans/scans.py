@@ -59,3 +59,18 @@ def score_sms(df: DataFrame, llm=None) -> DataFrame:
     return scans.to_scan(
         df, "sms", "message_preview", "sender", "content_flags", "links_analyzed"
     )
+
+
+def url_reasons(df: DataFrame, col="url", k: int | None = None) -> DataFrame:
+    """How often `score_urls` raises each check, without building the checks."""
+    return scans.count_reasons(urls.url_check_inputs(df, col), urls.url_check_rows(), "url", k)
+
+
+def mail_reasons(df: DataFrame, k: int | None = None) -> DataFrame:
+    """How often `score_mail` raises each check, without building the checks."""
+    return scans.count_reasons(mail.mail_features(df), mail.mail_check_rows(), "email", k)
+
+
+def sms_reasons(df: DataFrame, k: int | None = None) -> DataFrame:
+    """How often `score_sms` raises each check, without building the checks."""
+    return scans.count_reasons(sms.sms_flags(sms.valid_sms(df)), sms.sms_check_rows(), "sms", k)

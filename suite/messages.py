@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from riskspark import lexicon
 from riskspark.operators import answers, links, mail, scans, sms
-from riskspark.plans.scans import score_mail, score_sms, score_urls
+from riskspark.plans.scans import mail_reasons, score_mail, score_sms, score_urls
 from suite.registry import query
 from suite.urls import hits, url_ctes
 from suite.views import cte, listed, quoted
@@ -501,7 +501,7 @@ def _(t):
     SELECT 'email' AS scan_type, split_part(c, '|', 1) AS name, split_part(c, '|', 2) AS status, count(*) AS n FROM c GROUP BY ALL""",
 )
 def _(t):
-    return scans.top_reasons(score_mail(parsed_mail(t)))
+    return mail_reasons(parsed_mail(t))
 
 
 @query(
@@ -510,4 +510,4 @@ def _(t):
     SELECT 'email' AS scan_type, split_part(c, '|', 1) AS name, split_part(c, '|', 2) AS status, count(*) AS n FROM c GROUP BY ALL ORDER BY n DESC, name, status LIMIT 3""",
 )
 def _(t):
-    return scans.top_reasons(score_mail(parsed_mail(t)), 3)
+    return mail_reasons(parsed_mail(t), 3)

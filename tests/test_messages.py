@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions import scoring
 from riskspark.operators import answers, links, mail, scans
-from riskspark.plans.scans import score_mail, score_sms, score_urls
+from riskspark.plans.scans import score_mail, score_sms, score_urls, sms_reasons, url_reasons
 from riskspark.sources import maildir
 
 SMS = [
@@ -163,3 +163,18 @@ def test_html_fallback(spark):
 def test_top_reasons(spark):
     df = sms_table(spark, [(1, "hi", ""), (2, "yo", "")])
     assert [tuple(r) for r in scans.top_reasons(score_sms(df), 1).collect()] == [("sms", "Urgency Check", "pass", 2)]
+
+
+def test_counted_reasons_are_those_of_the_scans(spark):
+    texts = ["Urgent: verify at http://10.0.0.1/login", "you won a prize, claim now", "", "hello there", None]
+    df = spark.createDataFrame([(i, t, s) for i, t in enumerate(texts) for s in ("12345", "+12025550123", "ACME", "")], "id long, message string, sender string")
+    assert rows_of(sms_reasons(df)) == rows_of(scans.top_reasons(score_sms(df)))
+    urls = spark.createDataFrame(list(enumerate(["http://10.0.0.1/login?next=1", "https://example.com/", "http://h:abc/", "", None])), "id long, url string")
+    assert rows_of(url_reasons(urls)) == rows_of(scans.top_reasons(score_urls(urls)))
+    plan = sms_reasons(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Found: " not in plan and "detail" not in plan
+    assert sms_reasons(df.limit(0)).count() == 0
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()))

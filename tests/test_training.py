@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,6 +250,24 @@ def test_auc_with_ties_skew_and_one_class(spark):
     assert math.isnan(metrics.roc_auc(df.filter("label = 1")).head().roc_auc)
 
 
+@pytest.mark.parametrize("scale, shift", [(1e6, -4e5), (1e-7, 0.3), (1.0, 0.0)])
+def test_auc_wherever_the_scores_lie(spark, scale, shift):
+    rng = random.Random(5)
+    y = [rng.random() < 0.4 for _ in range(3000)]
+    p = [(rng.random() + 0.3 * u) ** 3 * scale + shift for u in y]
+    order = sorted(range(len(y)), key=lambda i: p[i])
+    places = sum(k + 1 for k, i in enumerate(order) if y[i])
+    n = sum(y)
+    expected = (places - n * (n + 1) / 2) / (n * (len(y) - n))
+    df = judged(spark, [int(u) for u in y], [int(u) for u in y], p).withColumn("model", F.lit("a"))
+    both = df.unionAll(df.withColumns({"model": F.lit("b"), "p": F.col("p") * 1000}))
+    for row in metrics.roc_auc(both, by=["model"], buckets=16).collect():
+        assert row.roc_auc == pytest.approx(expected)
+    tied = both.select("model", F.col("p").alias("s"))
+    sizes = [r["count"] for r in metrics.in_ranges(tied, ["model"], 16).groupBy("bucket").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / 16
+
+
 def test_trees_learn_and_tolerate_absent_columns(spark):
     df = spark.range(200).select(
         (F.col("id") % 2).cast("int").alias("label"), F.when(F.col("id") % 2 == 1, 5.0).otherwise(1.0).alias("a"),
