@@ -11,9 +11,13 @@ lengths with the substrings that the multi-match rule selects. Pairs that meet a
 ends are cut off, and a banded bit-parallel edit distance runs over the rest, one machine word of
 2 * EDITS + 1 bits a character.
 
-A segment shared by many distinct lines would make all their pairs. Such keys (more than `HOT` lines)
-go another way: their lines, with text, fall into blocks of about `HOT` lines, a probe meets a
-block as one row, and the block is searched inside that row.
+A segment shared by many distinct lines (a template) would make all their pairs. Under such a key
+(more than `HOT` lines) the partition is applied again to what the key leaves open: the parts beside the
+matched segment, each with the edits that may still lie in it. The open part in which the key's lines
+differ most is cut into as many segments as it may hold edits, and one more; the cuts are laid so that
+every segment holds some of the characters in which those lines differ. This goes on until a key has at most
+`FEW` lines, or until its lines differ only within as many characters as may be edited; what such keys
+still share falls into blocks of about `HOT` lines, spread by key and block, and each probe searches every block.
 
 Only built-in expressions are used. Texts travel once, to become distinct; what follows moves 64-bit
 hashes. Texts of candidates are read again through a bitmap of fixed size, broadcast as at most
@@ -26,14 +30,18 @@ their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import register, table, write_shared
 
-EDITS = 2
+EDITS = 2  # `cut_again` knows parts of one and of two edits
 MIN_CHARS = 20
 HOT = 16
+FEW = 4
+HEAVY, SPREAD = 10_000, 16  # rows below a key of more than HEAVY lines meet their key's figures in SPREAD parts
 WORD_BITS = 16
 WORDY = r"[\p{L}\p{N}]"
 PLACE = ("doc_id", "text_hash", "line_no")
@@ -73,18 +81,19 @@ def probes() -> list[tuple[int, int, int]]:
 
 
 def segment_keys(distinct: DataFrame, indexed: bool) -> DataFrame:
-    """(id, key, role) of all distinct lines: their own segments (role 1), else also all probes (role 2)."""
+    """(id, key, role, probe) of all distinct lines: their own segments (role 1), else also all probes (role 2)."""
     rows = []
-    for shorter, number, shift in probes():
+    for place, (shorter, number, shift) in enumerate(probes()):
         own = shorter == 0 and shift == 0
         if own or not indexed:
             length = F.col("n") - shorter
             start, width = segment(length, number)
             cut = F.substring("line", (start + shift + 1).cast("int"), width.cast("int"))
             key = F.xxhash64(length, F.lit(number), cut)
-            rows.append(F.struct(key.alias("key"), F.lit(1 if own else 2).cast("byte").alias("role")))
+            marks = F.lit(1 if own else 2).cast("byte").alias("role"), F.lit(place).cast("byte").alias("probe")
+            rows.append(F.struct(key.alias("key"), *marks))
     sized = distinct.withColumn("n", F.length("line").cast("long"))
-    return sized.select(F.xxhash64("line").alias("id"), F.explode(F.array(*rows)).alias("x")).select("id", "x.key", "x.role")
+    return sized.select(F.xxhash64("line").alias("id"), F.explode(F.array(*rows)).alias("x")).select("id", "x.*")
 
 
 def let(fields: dict[str, Column], then) -> Column:
@@ -187,28 +196,126 @@ def only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of line ids that share a key, and rows (key, id, role, n) of keys with many lines."""
+    """Pairs (a, b) of line ids that share a key, and rows (id, key, role, probe, n) of keys with many lines."""
     distinct = lines(docs).select("line").distinct()
     index = segment_keys(distinct, True).select("key", F.col("id").alias("held"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n"))
     sized = segment_keys(distinct, False).join(sizes, "key")
-    cool = sized.filter(f"n <= {HOT}").join(index, "key").filter("held < id or (role = 2 and held <> id)")
-    pairs = cool.select(F.least("id", "held").alias("a"), F.greatest("id", "held").alias("b"))
-    return pairs, sized.filter(f"n > {HOT}")
+    return meet(sized.filter(f"n <= {HOT}"), index), sized.filter(f"n > {HOT}")
+
+
+def meet(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """(a, b): every row's id with the ids that its key holds."""
+    met = rows.join(index, "key").filter("held < id or (role = 2 and held <> id)")
+    return met.select(F.least("id", "held").alias("a"), F.greatest("id", "held").alias("b"))
+
+
+def opened(hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """What a hot key leaves open of its lines: key, role, id, above (lines of the key) and `parts`.
+
+    A part holds its text `t`, the length `w` that it has in the indexed lines, and the edits `x` that may lie in it.
+    """
+    known = [F.element_at(F.array(*[F.lit(v) for v in values]), F.col("probe").cast("int") + 1) for values in zip(*probes())]
+    shorter, number, shift = known
+    size = F.length("line") - shorter
+    start, width = segment(size, number)
+    parts = F.array(
+        part(F.substring("line", F.lit(1), (start + shift).cast("int")), start, number),
+        part(F.substring("line", (start + shift + width + 1).cast("int"), F.length("line")), size - start - width, F.lit(EDITS) - number),
+    )
+    rows = hot.join(texts.select(F.col("k1").alias("id"), "line"), "id")
+    return rows.select("key", "role", "id", F.col("n").alias("above"), F.filter(parts, lambda p: p["x"] > 0).alias("parts"))
+
+
+def part(text: Column, width: Column, edits: Column) -> Column:
+    return F.struct(text.alias("t"), width.cast("int").alias("w"), edits.cast("int").alias("x"))
+
+
+def differing(rows: DataFrame) -> DataFrame:
+    """For every key: n lines, the part `pick` in which they differ most, and there `open` characters after `skip` equal ones.
+
+    The least and the greatest of some texts share just the beginning that all of them share.
+    """
+    found = [F.count("*").alias("n"), F.max("above").alias("above")]
+    for i in range(EDITS):
+        text = F.get("parts", F.lit(i))["t"]
+        found += [F.min(text).alias(f"low{i}"), F.max(text).alias(f"high{i}")]
+        found += [F.min(F.reverse(text)).alias(f"back_low{i}"), F.max(F.reverse(text)).alias(f"back_high{i}")]
+    keys = rows.filter("role = 1").groupBy("key").agg(*found)
+    best = []
+    for i in range(EDITS):
+        skip = longest_common(F.col(f"low{i}"), F.col(f"high{i}"))
+        tail = longest_common(F.col(f"back_low{i}"), F.col(f"back_high{i}"))
+        width = F.greatest(F.coalesce(F.length(f"low{i}"), F.lit(0)) - skip - tail, F.lit(0))
+        best.append(F.struct(width.alias("open"), F.lit(-i).alias("order"), skip.alias("skip")))
+    keys = keys.select("key", "n", "above", F.array_max(F.array(*best)).alias("best"))
+    return keys.select("key", "n", "above", (-F.col("best.order")).alias("pick"), "best.open", "best.skip")
+
+
+def cut_again(rows: DataFrame) -> DataFrame:
+    """Every row's part `pick` in segments: rows of the keys one level down, as `opened` gives them.
+
+    The cuts count from the indexed text, so all rows of a key agree on them; a probe looks for a segment at
+    every shift that leaves either side with as many edits as it may hold.
+    """
+    chosen, other = F.get("parts", F.col("pick")), F.get("parts", 1 - F.col("pick"))
+    longer = F.length(chosen["t"]) - chosen["w"]
+    steps = [(F.lit(0), F.lit(0)), (chosen["x"], longer)] + [(F.lit(1), F.lit(t)) for t in range(1 - EDITS, EDITS)]
+    steps = F.array(*[F.struct(j.cast("int").alias("j"), t.cast("int").alias("shift")) for j, t in steps])
+    inner = F.filter(steps, lambda s, i: (i < 2) | ((chosen["x"] == EDITS) & (F.abs(s["shift"] - longer) <= 1)))
+    stepped = rows.select("key", "role", "id", "n", "open", "skip", chosen.alias("p"), other.alias("other"), F.explode(inner).alias("s"))
+
+    j, shift, edits, text = F.col("s.j"), F.col("s.shift"), F.col("p.x"), F.col("p.t")
+    start = F.when(j == 0, 0).otherwise(F.col("skip") + F.floor(F.col("open") * j / (edits + 1))).cast("int")
+    end = F.when(j == edits, F.col("p.w")).otherwise(F.col("skip") + F.floor(F.col("open") * (j + 1) / (edits + 1))).cast("int")
+    placed = stepped.withColumns({"start": start, "end": end})
+    start, end = F.col("start"), F.col("end")
+    parts = F.array(
+        part(F.substring(text, F.lit(1), start + shift), start, j),
+        part(F.substring(text, end + shift + 1, F.length(text)), F.col("p.w") - end, edits - j),
+        F.col("other"),
+    )
+    return placed.select(
+        F.xxhash64("key", j, F.substring(text, start + shift + 1, end - start)).alias("key"),
+        F.when((F.col("role") == 1) & (shift == 0), 1).otherwise(2).cast("byte").alias("role"),
+        "id", F.col("n").alias("above"), F.filter(parts, lambda p: p.isNotNull() & (p["x"] > 0)).alias("parts"),
+    )
+
+
+def refined(rows: DataFrame) -> DataFrame:
+    """(key, role, id, n): keys with few lines, or with lines that differ only where edits may lie, from `opened` rows."""
+    done = []
+    while True:
+        salts = F.when(F.col("above") > HEAVY, SPREAD).otherwise(1)
+        keys = differing(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("above")
+        met = rows.withColumn("salt", F.pmod(F.col("id"), salts).cast("int")).join(keys, ["key", "salt"])
+        more = (F.col("n") > min(FEW, HOT)) & (F.col("open") > F.get("parts", F.col("pick"))["x"])
+        met = met.withColumn("more", more).withColumn("parts", F.when(F.col("more"), F.col("parts")))
+        met = write_shared(met.drop("salt", "above"), "open-segments")
+        done.append(met.filter("not more").select("key", "role", "id", "n"))
+        rest = met.filter("more")
+        if rest.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        rows = cut_again(rest)
 
 
 def near_links(docs: DataFrame) -> DataFrame:
     """(a1, a2, b1, b2): keys of the distinct lines within EDITS edits of each other, each pair once."""
     pairs, hot = candidates(docs)
-    both = pairs.select("a", "b", F.lit(None).cast("long").alias("key"), F.lit(None).cast("byte").alias("role"), F.lit(None).cast("long").alias("n"))
-    both = both.unionByName(hot.select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "key", "role", "n"))
-    both = write_shared(both, "candidates")
-    pairs, hot = both.filter("key is null").select("a", "b").distinct(), both.filter("key is not null").select("key", "role", "n", F.col("a").alias("id"))
+    marked = hot.select(F.col("id").alias("a"), "key", "role", "probe", "n")
+    both = write_shared(pairs.unionByName(marked, allowMissingColumns=True), "candidates")
+    pairs, hot = both.filter("key is null").select("a", "b"), both.filter("key is not null").withColumnRenamed("a", "id").drop("b")
 
     needed = both.select(F.col("a").alias("id")).union(both.select("b").filter("b is not null")).distinct()
     texts = only(hashed(lines(docs).select("line")), needed, "k1").distinct()
     texts = write_shared(texts, "candidate-lines")
 
+    # Hot keys, cut again: the few lines of a key meet like others, many equal but for their last edits go on.
+    rest = refined(opened(hot, texts))
+    few = rest.filter(f"n <= {HOT}")
+    pairs = pairs.unionByName(meet(few, few.filter("role = 1").select("key", F.col("id").alias("held")))).distinct()
+    hot = rest.filter(f"n > {HOT}")
+
     def side(name: str) -> DataFrame:
         return texts.select(F.col("k1").alias(name), F.struct("k1", "k2", "line").alias(f"t{name}"))
 
@@ -216,10 +323,16 @@ def near_links(docs: DataFrame) -> DataFrame:
     cool = cool.select("ta.k1", "ta.k2", F.col("tb.k1").alias("o1"), F.col("tb.k2").alias("o2"))
 
     full = hot.join(texts, hot["id"] == texts["k1"]).drop("id")
-    block = F.pmod(F.xxhash64("k2"), F.ceil(F.col("n") / HOT))
+    blocks = F.ceil(F.col("n") / HOT)
+    block = F.pmod(F.xxhash64("k2"), blocks)
     held = full.filter("role = 1").groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("k1", "k2", "line")).alias("held"))
-    met = full.join(held, "key")
-    close = F.filter("held", lambda h: ((h["k1"] != F.col("k1")) | (h["k2"] != F.col("k2"))) & within(F.col("line"), h["line"]))
+    met = full.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(held, ["key", "block"])
+
+    def other(h: Column) -> Column:
+        later = (h["k1"] > F.col("k1")) | ((h["k1"] == F.col("k1")) & (h["k2"] > F.col("k2")))
+        return later | ((F.col("role") == 2) & ((h["k1"] != F.col("k1")) | (h["k2"] != F.col("k2"))))
+
+    close = F.filter("held", lambda h: other(h) & within(F.col("line"), h["line"]))
     links = F.transform(close, lambda h: F.struct(h["k1"].alias("o1"), h["k2"].alias("o2")))
     warm = met.select("k1", "k2", F.explode(links).alias("o")).select("k1", "k2", "o.*")
 

@@ -69,6 +69,23 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert {(r["doc_id"], i) for r in got for i in r["dropped"]} == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [16, 1])
+def test_lines_of_templates(spark, monkeypatch, hot):
+    """Lines that share most of their text, with numbers at an end, inside, or at two places."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "HEAVY", 20)
+    rng = random.Random(7)
+    made = []
+    for _ in range(70):
+        a, b = rng.randrange(10**6), rng.randrange(500)
+        made += [f"Record of the old city archive, file {a:06d}", f"{b:05d} is the number of this old record", f"user {b:03d} came back on day {a % 30:02d} of the month"]
+    made += [edited(rng, line, rng.choice([1, 2, 3])) for line in rng.sample(made, 90)]
+    rng.shuffle(made)
+    rows = [(i, "\n".join(made[i * 5 : i * 5 + 5])) for i in range(len(made) // 5)]
+    got = dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], i) for r in got for i in r["dropped"]} == brute(rows)
+
+
 def test_odd_rows(spark):
     line = "a line of some thirty characters"
     rows = [(None, line, "x"), (1, None, "y"), (2, "", None), (3, f"short\n{line}!", "z"), (4, f"{line}\nand another line with other words", None)]
