@@ -16,7 +16,7 @@ A segment shared by many distinct lines (a template) would make all their pairs.
 matched segment, each with the edits that may still lie in it. The open part in which the key's lines
 differ most is cut into as many segments as it may hold edits, and one more; the cuts are laid so that
 every segment holds some of the characters in which those lines differ. This goes on until a key has at most
-`FEW` lines, or until its lines differ only within as many characters as may be edited; what such keys
+`HOT` lines, or until its lines differ only within as many characters as may be edited; what such keys
 still share falls into blocks of about `HOT` lines, spread by key and block, and each probe searches every block.
 
 Only built-in expressions are used. Texts travel once, to become distinct; what follows moves 64-bit
@@ -40,7 +40,6 @@ from riskspark.llm.common import register, table, write_shared
 EDITS = 2  # `cut_again` knows parts of one and of two edits
 MIN_CHARS = 20
 HOT = 16
-FEW = 4
 HEAVY, SPREAD = 10_000, 16  # rows below a key of more than HEAVY lines meet their key's figures in SPREAD parts
 WORD_BITS = 16
 WORDY = r"[\p{L}\p{N}]"
@@ -81,19 +80,25 @@ def probes() -> list[tuple[int, int, int]]:
 
 
 def segment_keys(distinct: DataFrame, indexed: bool) -> DataFrame:
-    """(id, key, role, probe) of all distinct lines: their own segments (role 1), else also all probes (role 2)."""
+    """(id, key, probe) of all distinct lines: their own segments, else also all probes, by their number in `probes`."""
+    # Each segment and its surroundings are cut out of the line once; the probes then cut from these.
+    sized = distinct.withColumn("n", F.length("line").cast("long"))
+    around = {}
+    for i in range(EDITS + 1):
+        low = F.greatest(segment(F.col("n") - EDITS, i)[0] - EDITS, F.lit(0)).cast("int")
+        size = (F.floor(F.col("n") * (i + 1) / (EDITS + 1)) + EDITS).cast("int") - low
+        around |= {f"low{i}": low, f"around{i}": F.substring("line", low + 1, size)}
     rows = []
     for place, (shorter, number, shift) in enumerate(probes()):
         own = shorter == 0 and shift == 0
         if own or not indexed:
             length = F.col("n") - shorter
             start, width = segment(length, number)
-            cut = F.substring("line", (start + shift + 1).cast("int"), width.cast("int"))
+            first = (start + shift + 1).cast("int") - F.col(f"low{number}")
+            cut = F.substring(f"around{number}", first, width.cast("int"))
             key = F.xxhash64(length, F.lit(number), cut)
-            marks = F.lit(1 if own else 2).cast("byte").alias("role"), F.lit(place).cast("byte").alias("probe")
-            rows.append(F.struct(key.alias("key"), *marks))
-    sized = distinct.withColumn("n", F.length("line").cast("long"))
-    return sized.select(F.xxhash64("line").alias("id"), F.explode(F.array(*rows)).alias("x")).select("id", "x.*")
+            rows.append(F.struct(key.alias("key"), F.lit(place).cast("byte").alias("probe")))
+    return sized.withColumns(around).select(F.xxhash64("line").alias("id"), F.explode(F.array(*rows)).alias("x")).select("id", "x.*")
 
 
 def let(fields: dict[str, Column], then) -> Column:
@@ -196,17 +201,23 @@ def only(rows: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of line ids that share a key, and rows (id, key, role, probe, n) of keys with many lines."""
+    """Pairs (a, b) of line ids that share a key, and rows (id, key, role, probe, n) of keys with many lines.
+
+    Role 1 marks a line's own segment, which the key holds too, role 2 a mere probe.
+    """
     distinct = lines(docs).select("line").distinct()
     index = segment_keys(distinct, True).select("key", F.col("id").alias("held"))
     sizes = index.groupBy("key").agg(F.count("*").alias("n"))
-    sized = segment_keys(distinct, False).join(sizes, "key")
+    owned = [i for i, (shorter, _, shift) in enumerate(probes()) if shorter == 0 and shift == 0]
+    role = F.when(F.col("probe").isin(owned), 1).otherwise(2).cast("byte")
+    sized = segment_keys(distinct, False).join(sizes, "key").withColumn("role", role)
     return meet(sized.filter(f"n <= {HOT}"), index), sized.filter(f"n > {HOT}")
 
 
-def meet(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """(a, b): every row's id with the ids that its key holds."""
+def meet(rows: DataFrame, index: DataFrame, near: Column | None = None) -> DataFrame:
+    """(a, b): every row's id with the ids that its key holds, where `near` allows."""
     met = rows.join(index, "key").filter("held < id or (role = 2 and held <> id)")
+    met = met if near is None else met.filter(near)
     return met.select(F.least("id", "held").alias("a"), F.greatest("id", "held").alias("b"))
 
 
@@ -232,16 +243,17 @@ def part(text: Column, width: Column, edits: Column) -> Column:
 
 
 def differing(rows: DataFrame) -> DataFrame:
-    """For every key: n lines, the part `pick` in which they differ most, and there `open` characters after `skip` equal ones.
+    """For every key that two rows meet in: n lines, the part `pick` in which they differ most, `open` characters after `skip` equal ones.
 
     The least and the greatest of some texts share just the beginning that all of them share.
     """
-    found = [F.count("*").alias("n"), F.max("above").alias("above")]
+    own = F.col("role") == 1
+    found = [F.count(F.when(own, 1)).alias("n"), F.count("*").alias("rows"), F.max("above").alias("above")]
     for i in range(EDITS):
-        text = F.get("parts", F.lit(i))["t"]
+        text = F.when(own, F.get("parts", F.lit(i))["t"])
         found += [F.min(text).alias(f"low{i}"), F.max(text).alias(f"high{i}")]
         found += [F.min(F.reverse(text)).alias(f"back_low{i}"), F.max(F.reverse(text)).alias(f"back_high{i}")]
-    keys = rows.filter("role = 1").groupBy("key").agg(*found)
+    keys = rows.groupBy("key").agg(*found).filter("n > 0 and rows > 1")
     best = []
     for i in range(EDITS):
         skip = longest_common(F.col(f"low{i}"), F.col(f"high{i}"))
@@ -282,21 +294,33 @@ def cut_again(rows: DataFrame) -> DataFrame:
     )
 
 
+def odd_characters(parts: Column) -> Column:
+    """64 bits, by hash: which characters occur an odd number of times. One edit turns at most two of them."""
+    text = F.array_join(F.transform(parts, lambda p: p["t"]), "")
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def turned(bits: Column, char: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(char), F.lit(64)).cast("int")))
+
+    return F.aggregate(chars, F.lit(0).cast("long"), turned)
+
+
 def refined(rows: DataFrame) -> DataFrame:
-    """(key, role, id, n): keys with few lines, or with lines that differ only where edits may lie, from `opened` rows."""
+    """(key, role, id, n, odd): keys with few lines, or with lines that differ only where edits may lie, from `opened` rows."""
     done = []
     while True:
         salts = F.when(F.col("above") > HEAVY, SPREAD).otherwise(1)
         keys = differing(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("above")
         met = rows.withColumn("salt", F.pmod(F.col("id"), salts).cast("int")).join(keys, ["key", "salt"])
-        more = (F.col("n") > min(FEW, HOT)) & (F.col("open") > F.get("parts", F.col("pick"))["x"])
-        met = met.withColumn("more", more).withColumn("parts", F.when(F.col("more"), F.col("parts")))
+        more = (F.col("n") > HOT) & (F.col("open") > F.get("parts", F.col("pick"))["x"])
+        met = met.withColumn("more", more).withColumn("odd", F.when(~F.col("more"), odd_characters(F.col("parts"))))
+        met = met.withColumn("parts", F.when(F.col("more"), F.col("parts")))
         met = write_shared(met.drop("salt", "above"), "open-segments")
-        done.append(met.filter("not more").select("key", "role", "id", "n"))
+        done.append(met.filter("not more").select("key", "role", "id", "n", "odd"))
         rest = met.filter("more")
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        rows = cut_again(rest)
+        rows = write_shared(cut_again(rest), "cut-again")
 
 
 def near_links(docs: DataFrame) -> DataFrame:
@@ -313,7 +337,9 @@ def near_links(docs: DataFrame) -> DataFrame:
     # Hot keys, cut again: the few lines of a key meet like others, many equal but for their last edits go on.
     rest = refined(opened(hot, texts))
     few = rest.filter(f"n <= {HOT}")
-    pairs = pairs.unionByName(meet(few, few.filter("role = 1").select("key", F.col("id").alias("held")))).distinct()
+    index = few.filter("role = 1").select("key", F.col("id").alias("held"), F.col("odd").alias("held_odd"))
+    near = F.bit_count(F.col("odd").bitwiseXOR(F.col("held_odd"))) <= 2 * EDITS
+    pairs = pairs.unionByName(meet(few, index, near)).distinct()
     hot = rest.filter(f"n > {HOT}")
 
     def side(name: str) -> DataFrame:
