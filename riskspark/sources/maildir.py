@@ -1,5 +1,7 @@
 """Mail files to typed rows: the standard MIME parser runs inside Spark tasks."""
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,24 @@ PARSED = (
     "disposition: string, attached: boolean, filename: string, text: string, decoded: string>>, "
     "error string"
 )
+OUT_CHARS = 4 << 20  # parsed text that a task holds before it hands the rows on
+
+
+@lru_cache(maxsize=1)
+def parsed_schema():
+    """PARSED as an Arrow schema."""
+    import pyarrow as pa
+
+    texts = lambda names: [(n, pa.string()) for n in names.split()]
+    part = [
+        ("ord", pa.int32()), *texts("content_type disposition"), ("attached", pa.bool_()), *texts("filename text decoded")
+    ]
+    return pa.schema(
+        [
+            *texts("path sender recipient subject date reply_to return_path"), ("received", pa.list_(pa.string())),
+            *texts("auth_results"), ("multipart", pa.bool_()), ("parts", pa.list_(pa.struct(part))), *texts("error"),
+        ]
+    )
 
 
 def read_mail_files(spark: SparkSession, path: str) -> DataFrame:
@@ -27,13 +47,19 @@ def read_mail_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_mail(files: DataFrame) -> DataFrame:
-    """Headers and parts of each message; files that cannot be parsed get `error`."""
+    """Headers and parts of each message; files that cannot be parsed get `error`.
+
+    Messages are read one by one and rows leave a task by the size of their text, so that its memory
+    depends on neither the number nor the length of the messages in a batch.
+    """
 
     def parse(batches):
         import email
         import email.policy
 
-        import pandas as pd
+        import pyarrow as pa
+
+        schema = parsed_schema()
 
         def decoded(part):
             payload = part.get_payload(decode=True)
@@ -96,16 +122,21 @@ def parse_mail(files: DataFrame) -> DataFrame:
             return {**empty, "error": f"Failed to parse email: {problem}"}
 
         for batch in batches:
-            rows = []
-            for path, raw in zip(batch["path"], batch["content"]):
+            rows, held = [], 0
+            for path, raw in zip(batch.column("path"), batch.column("content")):
+                path, raw = path.as_py(), raw.as_py()
                 try:
                     rows.append(row(path, bytes(raw)))
                 except Exception as problem:
                     rows.append(failed(path, problem))
+                held += sum(len(p["text"]) + len(p["decoded"]) for p in rows[-1]["parts"])
+                if held > OUT_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("path", "content").mapInPandas(parse, PARSED)
+    return files.select("path", "content").mapInArrow(parse, PARSED)
 
 
 def read_mail_dir(spark: SparkSession, path: str) -> DataFrame:
