@@ -17,6 +17,21 @@ PARSED = (
     "error string"
 )
 OUT_CHARS = 4 << 20  # parsed text that a task holds before it hands the rows on
+KEPT_HEADERS = 256  # parsed header values that a task keeps
+KEPT_CHARS = 200  # longer header values are parsed at every use
+
+
+@lru_cache(maxsize=1)
+def mail_policy():
+    """The default policy with the last header values kept parsed: a part's type alone is asked for some ten times."""
+    import email.policy
+    from email.headerregistry import HeaderRegistry
+
+    parse = HeaderRegistry()
+    kept = lru_cache(maxsize=KEPT_HEADERS)(parse)
+    return email.policy.EmailPolicy(
+        header_factory=lambda name, value: (kept if len(value) <= KEPT_CHARS else parse)(name, value)
+    )
 
 
 @lru_cache(maxsize=1)
@@ -55,11 +70,10 @@ def parse_mail(files: DataFrame) -> DataFrame:
 
     def parse(batches):
         import email
-        import email.policy
 
         import pyarrow as pa
 
-        schema = parsed_schema()
+        policy, schema = mail_policy(), parsed_schema()
 
         def decoded(part):
             payload = part.get_payload(decode=True)
@@ -82,7 +96,7 @@ def parse_mail(files: DataFrame) -> DataFrame:
             return "" if value is None else str(value)
 
         def row(path, raw):
-            message = email.message_from_bytes(raw, policy=email.policy.default)
+            message = email.message_from_bytes(raw, policy=policy)
             multipart = message.is_multipart()
             parts = []
             for part in message.walk() if multipart else [message]:

@@ -37,3 +37,27 @@ def test_rows_leave_by_the_size_of_their_text():
     assert all(r["parts"][0]["text"] == long and r["error"] is None for r in rows[:6])
     assert rows[6]["error"].startswith("Failed to parse email: ") and rows[6]["subject"] == ""
     assert rows[7]["parts"][0]["decoded"] == "short" and rows[7]["sender"] == "a7@example.com"
+
+
+def test_a_repeated_header_is_parsed_once(monkeypatch):
+    """The type of a part is asked for many times, by the parser and by the rows."""
+    calls = []
+    real = HeaderRegistry.__call__
+    monkeypatch.setattr(HeaderRegistry, "__call__", lambda self, name, value: calls.append(name) or real(self, name, value))
+    maildir.mail_policy.cache_clear()
+    rows = [r for b in parsed([mail(i, "text") for i in range(50)]) for r in b.to_pylist()]
+    assert [r["subject"] for r in rows] == [f"no {i}" for i in range(50)]
+    assert calls.count("Content-Type") == 1 and calls.count("From") == calls.count("Subject") == 50
+
+
+def test_kept_headers_give_what_the_default_policy_gives():
+    import email
+    import email.policy
+
+    long = ", ".join(f"user{i}@example.com" for i in range(40))
+    raw = f"From: \"A, B\" <a@b.c>\nTo: {long}\nSubject: =?utf-8?q?caf=C3=A9?=\nSubject: two\nContent-Type: text/html; charset=nope\n\n<p>".encode()
+    ours = [email.message_from_bytes(raw, policy=maildir.mail_policy()) for _ in range(2)]
+    plain = email.message_from_bytes(raw, policy=email.policy.default)
+    for message in ours:
+        assert [(k, str(v)) for k, v in message.items()] == [(k, str(v)) for k, v in plain.items()]
+        assert message.get_content_charset() == "nope" and message["from"].addresses == plain["from"].addresses
