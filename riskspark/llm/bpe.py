@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import register, row_key, table, write_shared
+from riskspark.llm.common import SLICE_BYTES, register, row_key, slices, table, write_shared
 
 VOCABULARY = "byte_bpe_50k"
 CHUNK_BITS = 10  # chunks of about 2**10 bytes
@@ -158,7 +158,7 @@ def find_chunks(docs: DataFrame) -> DataFrame:
     """(key, start, size, chunk): all chunks of all texts, by the 128-bit hash of their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data, key = (text or "").encode(), row_key(doc_id, text)
@@ -199,7 +199,7 @@ def encode_shared(docs: DataFrame, shared: DataFrame, bitmap, name: str) -> Data
     """(chunk, ids): the token ids of every shared chunk, two bytes a token, each encoded once."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             found: dict[bytes, bytes] = {}
             for text in batch.column(0).to_pylist():
                 data = (text or "").encode()
@@ -211,7 +211,7 @@ def encode_shared(docs: DataFrame, shared: DataFrame, bitmap, name: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(name)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "data")):
             ids = [np.array(tool.encode(d.decode()), np.uint16).tobytes() for d in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.binary())], names=["chunk", "ids"])
 
@@ -249,7 +249,7 @@ def encode_documents(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = F
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, pack = codec(name), zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             rows, keys, packed = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = (text or "").encode()
@@ -262,17 +262,21 @@ def encode_documents(docs: DataFrame, name: str = VOCABULARY, with_ids: bool = F
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, unpack = codec(name), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "packed", SLICE_BYTES // 4)):
             ready = pa.Table.from_batches([batch]).select([f for f in batch.schema.names if f not in ("packed", "pieces")])
             waits = batch.column("packed").is_valid()
             yield from ready.filter(pa.compute.invert(waits)).to_batches()
-            rows = []
+            rows, held = [], 0
             for row in batch.select(["doc_id", "packed", "pieces"]).filter(waits).to_pylist():
                 known = {
                     p["start"]: (p["start"] + p["size"], np.frombuffer(p["ids"], np.uint16).tolist())
                     for p in row["pieces"] or ()
                 }
                 rows.append((row["doc_id"], np.array(encode_with(unpack.decompress(row["packed"]), known, tool), np.int32)))
+                held += rows[-1][1].nbytes
+                if held > SLICE_BYTES:
+                    yield batch_of(rows, with_ids)
+                    rows, held = [], 0
             yield batch_of(rows, with_ids)
 
     read = docs.mapInArrow(first, f"{shape}, key binary, packed binary")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import register, table, write_shared
+from riskspark.llm.common import register, slices, table, write_shared
 from riskspark.llm.components import components
 
 RADIUS = 3
@@ -61,7 +61,7 @@ def with_fingerprint(docs: DataFrame, keep: list[str]) -> DataFrame:
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "t")):
             found = pa.array([fingerprint(t) for t in batch.column("t").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("row"), found], names=["row", "fp"])
 
