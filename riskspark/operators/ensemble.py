@@ -55,13 +55,15 @@ def predict_batch(df: DataFrame, nb, second=None, text="text", mode="weighted",
     `second` names a probability column; without it the naive Bayes model decides alone.
     Rows without text are dropped.
     """
-    scored = textmodel.predict_nb(nb, df.dropna(subset=[text]), text, "naive_bayes_proba")
+    # Cut before the scores are joined, so that whole texts do not move with them.
+    cut = df.dropna(subset=[text]).withColumn("_snippet", F.substr(text, F.lit(1), F.lit(SNIPPET)))
+    scored = textmodel.predict_nb(nb, cut, text, "naive_bayes_proba")
     other = F.col(second) if second else F.col("naive_bayes_proba")
     final = scoring.combine_probs(other, F.col("naive_bayes_proba"), mode, weights)
     keys = [c for c in ("id", "path") if c in df.columns]
     return scored.select(
         *keys,
-        F.substr(text, F.lit(1), F.lit(SNIPPET)).alias("text_snippet"),
+        F.col("_snippet").alias("text_snippet"),
         other.alias("second_proba"),
         "naive_bayes_proba",
         final.alias("final_proba"),

@@ -1,6 +1,8 @@
-"""Term counts without a comparator in the sort."""
+"""Term counts without a comparator in the sort, and reports that do not move whole texts."""
 
-from riskspark.operators import textmodel
+from pyspark.sql import functions as F
+
+from riskspark.operators import ensemble, textmodel
 
 TEXTS = ["alpha beta beta gamma", "", None, "beta", "delta alpha delta alpha", "alpha 日本 beta", "solo solo solo"]
 
@@ -17,3 +19,13 @@ def test_tokens_are_sorted_without_a_comparator(spark):
     for r in textmodel.tokenize(df).collect():
         want[r.id] = sorted((x, r.tokens.count(x)) for x in set(r.tokens))
     assert {r.id: [tuple(t) for t in r.terms] for r in counted.collect()} == want
+
+
+def test_a_report_joins_snippets(spark):
+    rows = [(i, f"{'win a prize now' if i % 2 else 'team meeting notes'} {'x' * 300}", i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows + [(99, None, 0)], "id long, text string, label int").withColumn("text_snippet", F.lit("mine"))
+    report = ensemble.predict_batch(df, textmodel.fit_nb(df))
+    joined = plan(report)[plan(report).index("Join LeftOuter") :].splitlines()[1]
+    assert "_snippet" in joined and " text#" not in joined and "[text#" not in joined
+    got = {r.id: r.text_snippet for r in report.collect()}
+    assert got == {i: text[:100] for i, text, _ in rows}
