@@ -52,9 +52,10 @@ def with_counts(tokenized: DataFrame) -> DataFrame:
     Tokens are sorted within their document; a count is the distance between the starts of two
     neighbouring runs. Each step is held: it is computed once, whatever is filtered later.
     """
-    ordered = hold(tokenized.withColumn("_s", F.sort_array("tokens")).drop("tokens"), "_s")
-    places = F.sequence(F.lit(0), F.size("_s") - 1)
-    starts = F.filter(places, lambda i: (i == 0) | (F.get("_s", i - 1) != F.get("_s", i)))
+    ordered = hold(tokenized.withColumn("_s", F.array_sort("tokens")).drop("tokens"), "_s")
+    starts = F.filter(
+        F.transform("_s", lambda x, i: F.when((i == 0) | (F.get("_s", i - 1) != x), i)), lambda i: i.isNotNull()
+    )
     placed = hold(ordered.withColumn("_at", starts), "_at")
     ends = F.concat(F.slice("_at", F.lit(2), F.size("_at")), F.array(F.size("_s")))
     runs = F.zip_with("_at", ends, lambda i, j: F.struct(F.get("_s", i).alias("term"), (j - i).cast("long").alias("tf")))
