@@ -13,7 +13,7 @@ from riskspark.functions.staging import Scratch, remove
 from riskspark.operators import scans as scan_ops
 from riskspark.plans.scans import score_urls
 from riskspark.sources.writers import write_history
-from riskspark.streaming.slots import SLOTS, chained, first_from, with_previous
+from riskspark.streaming.slots import SLOTS, chained, first_from, hot_urls, with_previous
 from riskspark.streaming.state import StateTable
 
 # Lifetimes of a cached result and of a permission, and own addresses.
@@ -36,24 +36,32 @@ def scannable(df: DataFrame, col: str = "url", service: str = SERVICE) -> DataFr
     return df.filter(url.isNotNull() & web & ~local)
 
 
-def first_per_window(nav: DataFrame, state: StateTable, scratch: Scratch, ttl: int = CACHE_SECONDS) -> DataFrame:
+def first_per_window(
+    nav: DataFrame, state: StateTable, scratch: Scratch, ttl: int = CACHE_SECONDS, hot: DataFrame | None = None, unique: bool = False
+) -> DataFrame:
     """(url, at) of the navigations (url, at) of one batch that need a scan: the first per url, then the
     first at or after `ttl` seconds from the scan before, in this or an earlier batch. A cached result
     does not slide.
 
     The batch's times are put in order, of whatever url and slot; what arrives after a later scan is cached.
+    `hot` holds the urls that are spread over slots (by default those of `nav`); `unique` tells that the rows are distinct.
     """
-    return chained(nav.filter("url IS NOT NULL"), state.due(), ttl * 1_000_000, scratch)
+    nav = nav.filter("url IS NOT NULL")
+    hot = scratch.stage(hot_urls(nav), "hot") if hot is None else hot
+    return chained(nav, state.due(), ttl * 1_000_000, scratch, hot, unique)
 
 
-def allow_once(events: DataFrame, state: StateTable, scratch: Scratch, ttl: int = ALLOW_SECONDS) -> DataFrame:
+def allow_once(
+    events: DataFrame, state: StateTable, scratch: Scratch, ttl: int = ALLOW_SECONDS, hot: DataFrame | None = None
+) -> DataFrame:
     """(url, at, first, navs, last_open, allowed) per url and time of one batch of `nav` and `allow` events
     (id, url, at, kind): the smallest navigation id, the number of navigations, whether a permission is the
     time's last event, and whether its first navigation is allowed. No other navigation of one time can be.
 
     Allowing a url opens it for `ttl` seconds or until its next navigation, which uses the permission up.
     Every allowance starts a timer that closes the url when it fires, even if it was allowed anew
-    meanwhile. At one time permissions come first, then navigations by id.
+    meanwhile. At one time permissions come first, then navigations by id. `hot` holds the urls that are
+    spread over slots, by default those of the batch and its running timers.
     """
     span = ttl * 1_000_000
     length = max(span // SLOTS, 1)
@@ -64,18 +72,23 @@ def allow_once(events: DataFrame, state: StateTable, scratch: Scratch, ttl: int
         F.max(F.col("kind") == "allow").alias("allows"),
     )
     per = scratch.stage(per.withColumn("last_open", F.col("navs") == 0), "events")
+    hot = scratch.stage(hot_urls(per, state.timers()), "hot") if hot is None else hot
     known = state.last().select("url", F.struct("at", F.col("open").alias("last_open")).alias("known"))
-    told = with_previous(per, "last_open", length).join(known, "url", "left")
+    known = scratch.stage(known, "known")
+    told = with_previous(per, "last_open", length, hot).join(known, "url", "left")
     before = F.coalesce("before", "known")
     told = told.withColumn("opened", F.when(F.col("allows"), F.col("at")).when(before["last_open"], before["at"]))
-    told = scratch.stage(told.drop("before", "known"), "opened")
+    told = scratch.stage(told.drop("before", "known", "ahead", "last"), "opened")
     # The earliest timer that is still running when the permission is given closes the url.
     allows = scratch.stage(per.filter("allows").select("url", "at").union(state.timers()).distinct(), "allows")
-    asked = told.filter("navs > 0 AND opened IS NOT NULL").select("url", (F.col("opened") - (span - 1)).alias("x"))
-    running = first_from(asked.distinct(), allows, length)
+    # Where no permission was given nothing is looked up, and nothing moves.
+    given = told.filter("navs > 0 AND opened IS NOT NULL")
+    asked = given.select("url", (F.col("opened") - (span - 1)).alias("x"))
+    running = first_from(asked.distinct(), allows, length, hot)
     running = running.select("url", (F.col("x") + (span - 1)).alias("opened"), F.col("found").alias("timer"))
-    open_still = (F.col("timer") <= F.col("opened")) & (F.col("timer") + span > F.col("at")) & (F.col("navs") > 0)
-    judged = told.join(running, ["url", "opened"], "left").withColumn("allowed", F.coalesce(open_still, F.lit(False)))
+    open_still = (F.col("timer") <= F.col("opened")) & (F.col("timer") + span > F.col("at"))
+    judged = given.join(running, ["opened", "url"], "left").withColumn("allowed", F.coalesce(open_still, F.lit(False)))
+    judged = judged.unionByName(told.filter("navs = 0 OR opened IS NULL").withColumn("allowed", F.lit(False)), allowMissingColumns=True)
     return judged.select("url", "at", "first", "navs", "last_open", "allowed")
 
 
@@ -89,25 +102,32 @@ def decisions(
     scanning; `cached` while the url's last scan lives; else `scan`. Of navigations at one time the
     smallest id scans.
     """
-    per = scratch.stage(allow_once(events, state, scratch), "permitted")
+    hot = scratch.stage(hot_urls(events.filter("url IS NOT NULL"), state.timers()), "hot")
+    per = scratch.stage(allow_once(events, state, scratch, hot=hot), "permitted")
     nav = events.filter("kind = 'nav' AND url IS NOT NULL").select("id", "url", "at")
     left_over = per.filter(F.col("navs") > F.col("allowed").cast("int"))
-    scans = first_per_window(left_over.select("url", "at"), state, scratch) if auto_scan else left_over.limit(0).select("url", "at")
+    left_over = left_over.select("url", "at")
+    scans = first_per_window(left_over, state, scratch, hot=hot, unique=True) if auto_scan else left_over.limit(0)
     scans = scratch.stage(scans, "scans")
-    told = per.join(scans.withColumn("scans", F.lit(True)), ["url", "at"], "left")
-    told = told.select("url", "at", "first", "allowed", F.coalesce("scans", F.lit(False)).alias("scans"))
+    # Times differ where addresses begin alike: rows are sorted by time first.
+    told = per.filter("navs > 0").join(scans.withColumn("scans", F.lit(True)), ["at", "url"], "left")
+    told = told.select("url", "at", "first", "navs", "allowed", F.coalesce("scans", F.lit(False)).alias("scans"))
+    told = scratch.stage(told, "told")
+
+    def source(allowed, scans):
+        return F.when(allowed, "allowed").when(F.lit(not auto_scan), "off").when(scans, "scan").otherwise("cached").alias("source")
+
+    # The only navigation of its time is decided as its time is; others meet their time.
+    lone = (F.col("navs") == 1) & F.col("first").isNotNull()
+    decided = told.filter(lone).select(F.col("first").alias("id"), "url", "at", source(F.col("allowed"), F.col("scans")))
+    told = scratch.stage(told.filter(~lone), "several")
     # Where the first navigation of a time is allowed, the second one scans.
     both = told.filter("allowed AND scans").select("url", "at", "first")
-    second = nav.join(both, ["url", "at"]).filter("id > first").groupBy("url", "at").agg(F.min("id").alias("second"))
-    told = told.join(second, ["url", "at"], "left")
+    second = nav.join(both, ["at", "url"]).filter("id > first").groupBy("url", "at").agg(F.min("id").alias("second"))
+    told = scratch.stage(told.join(second, ["at", "url"], "left"), "several")
     scanner = F.when(F.col("scans"), F.when(F.col("allowed"), F.col("second")).otherwise(F.col("first")))
-    source = (
-        F.when(F.col("allowed") & (F.col("id") == F.col("first")), "allowed")
-        .when(F.lit(not auto_scan), "off")
-        .when(F.col("id") == scanner, "scan")
-        .otherwise("cached")
-    )
-    decided = nav.join(told, ["url", "at"]).select("id", "url", "at", source.alias("source"))
+    several = source(F.col("allowed") & (F.col("id") == F.col("first")), F.col("id") == scanner)
+    decided = decided.union(nav.join(told, ["at", "url"]).select("id", "url", "at", several))
     return decided, changes(events, per, scans)
 
 
@@ -156,7 +176,7 @@ def cache_stream(nav: DataFrame, path: str, checkpoint: str, late: int = LATE_SE
         state = StateTable(batch.sparkSession, f"{path}/state", number)
         with Scratch(batch.sparkSession) as scratch:
             events = scratch.stage(_timed(batch.select("url", "ts")).distinct(), "nav")
-            scans = scratch.stage(first_per_window(events, state, scratch), "scans")
+            scans = scratch.stage(first_per_window(events, state, scratch, unique=True), "scans")
             due = _kept(scans.select("url", F.timestamp_micros("at").alias("ts")), f"{path}/due", number)
             if then:
                 then(due, number)
@@ -174,7 +194,7 @@ def permission_stream(events: DataFrame, path: str, checkpoint: str, late: int =
         with Scratch(batch.sparkSession) as scratch:
             rows = scratch.stage(_timed(batch.select("id", "url", "kind", "ts")), "events")
             per = scratch.stage(allow_once(rows, state, scratch), "permitted")
-            told = rows.filter("kind = 'nav'").join(per.select("url", "at", "first", "allowed"), ["url", "at"], "left")
+            told = rows.filter("kind = 'nav'").join(per.select("url", "at", "first", "allowed"), ["at", "url"], "left")
             allowed = F.coalesce(F.col("allowed") & (F.col("id") == F.col("first")), F.lit(False))
             _kept(told.select("id", "url", F.timestamp_micros("at").alias("ts"), allowed.alias("allowed")), f"{path}/allowed", number)
             state.write(changes(rows, per, None), ALLOW_SECONDS * 1_000_000, late * 1_000_000)

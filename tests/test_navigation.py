@@ -73,6 +73,78 @@ def test_job_against_replay(spark, tmp_path, monkeypatch, batches, minutes):
     assert {"scan", "cached", "allowed"} <= set(got.values())
 
 
+@pytest.mark.parametrize("hot", [5, 60, 10**6])
+def test_hot_and_whole_urls_against_replay(spark, tmp_path, monkeypatch, hot):
+    """Urls in slots and urls that are one slot give the same decisions, also with several events at one time."""
+    monkeypatch.setattr(slots, "HOT", hot)
+    base = 1_704_067_200_000_000
+    rows = [(i, u, k, base + at) for i, u, k, at in events_of(hot, 400, 6, 1.5)]
+    rows += [(1000 + i, u, "nav", at) for i, u, k, at in rows[::9]]
+    folder = str(tmp_path / "in")
+    for part in (rows[:150] + rows[400:420], rows[150:400] + rows[420:]):
+        df = spark.createDataFrame(part, "id long, url string, kind string, at long")
+        df.select("id", "url", "kind", F.timestamp_micros("at").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).parquet(folder)
+    out = str(tmp_path / "job")
+    navigation.navigation_job(stream, out, str(tmp_path / "state")).awaitTermination()
+    got = [(r.id, r.source) for r in spark.read.parquet(f"{out}/decided").collect()]
+    assert len(got) == len(dict(got)) and dict(got) == replay(rows)
+
+
+def test_events_without_a_time(spark, tmp_path):
+    """They decide nothing, and neither open a url nor are scanned."""
+    events = [
+        (1, "http://u.com/", "nav", None), (2, "http://u.com/", "allow", None), (3, "http://v.com/", "nav", None),
+        (4, "http://u.com/", "nav", minute(0)), (5, "http://w.com/", "nav", minute(0)), (6, "http://u.com/", "nav", minute(1)),
+    ]
+    stream = stream_of(spark, tmp_path, events, SCHEMA, 1)
+    navigation.navigation_job(stream, str(tmp_path / "job"), str(tmp_path / "s1")).awaitTermination()
+    got = {r.id: r.source for r in spark.read.parquet(str(tmp_path / "job/decided")).collect()}
+    assert got == {4: "scan", 5: "scan", 6: "cached"}
+    navigation.cache_stream(stream.select("url", "ts"), str(tmp_path / "due"), str(tmp_path / "s2")).awaitTermination()
+    due = spark.read.parquet(str(tmp_path / "due/due")).collect()
+    assert sorted((r.url, r.ts is None) for r in due) == [("http://u.com/", False), ("http://w.com/", False)]
+
+
+def counted(monkeypatch):
+    """Rows of each table that is staged, by name."""
+    seen, plain = [], Scratch.stage
+
+    def stage(self, df, name):
+        out = plain(self, df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "stage", stage)
+    return seen
+
+
+def test_rounds_get_smaller(spark, monkeypatch):
+    """What no chain can reach is dropped from round to round, and times without a neighbour never take part."""
+    rng = random.Random(1)
+    dense = [("a", rng.randrange(200_000)) for _ in range(4_000)]
+    sparse = [(f"u{i}", t * 10_000) for i in range(400) for t in range(5)]
+    seen = counted(monkeypatch)
+    none = spark.createDataFrame([], "url string, due long")
+    with Scratch(spark) as scratch:
+        found = slots.chained(micros(spark, dense + sparse), none, 1_000, scratch, slots.hot_urls(micros(spark, dense))).collect()
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} >= set(sparse)
+    nodes = [n for name, n in seen if name == "nodes"]
+    assert nodes[0] < 4_000 and nodes[3] < nodes[0] / 2 and sum(nodes) < 5 * nodes[0]
+
+
+def test_only_hot_urls_meet_as_slots(spark, monkeypatch):
+    """Slots get longer with a hot url's time, but stay below its lifetime; other urls are one slot each."""
+    monkeypatch.setattr(slots, "HOT", 100)
+    rows = [("hot", i * 60_000_000) for i in range(5_000)] + [(f"u{i % 50}", i * 60_000_000) for i in range(2_000)]
+    times, length = micros(spark, rows), CACHE // slots.SLOTS
+    hot = slots.hot_urls(times)
+    assert [tuple(r) for r in hot.collect()] == [("hot", 4_999 * 60_000_000)]
+    groups = {r.url: (r.n, r.most) for r in slots.dealt(times, "at", length, hot).groupBy("url", "_slot").count()
+              .groupBy("url").agg(F.count("*").alias("n"), F.max("count").alias("most")).collect()}
+    assert groups.pop("hot")[0] > 1_000 and set(groups.values()) == {(1, 40)}
+
+
 def micros(spark, rows):
     return spark.createDataFrame(rows, "url string, at long")
 
