@@ -265,10 +265,19 @@ def sink_counts(scored: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 
 
 def scan_stream(nav: DataFrame, path: str, checkpoint: str, **options) -> StreamingQuery:
-    """Cache, score and store a navigation stream: `path`/history holds the scans, as one run per batch."""
+    """Cache, score and store a navigation stream: `path`/history holds the scans, as one run per batch.
+
+    The scans of one url in a batch share its score. External answers (`llm`) belong to single scans, which are then scored one by one.
+    """
 
     def score(due: DataFrame, number: int) -> None:
-        scored = _scored(due.withColumn("id", F.xxhash64("url", "ts")), **options)
+        due = due.withColumn("id", F.xxhash64("url", "ts"))
+        if options.get("llm") is not None:
+            scored = _scored(due, **options)
+        else:
+            urls = due.select("url").distinct().withColumn("id", F.xxhash64("url"))
+            scored = score_urls(urls, **options).select("url", "risk_score", "verdict", "scan_summary", "details")
+            scored = due.join(scored, "url")
         scans = scored.withColumns({"scan_type": F.lit("url"), "created_at": F.col("ts")})
         write_history(scans, f"{path}/history", f"batch-{number}")
 

@@ -145,6 +145,20 @@ def test_only_hot_urls_meet_as_slots(spark, monkeypatch):
     assert groups.pop("hot")[0] > 1_000 and set(groups.values()) == {(1, 40)}
 
 
+def test_history_scores_a_url_once(spark, tmp_path, monkeypatch):
+    """Many scans of one url share one scored row of their batch."""
+    asked = []
+    plain = navigation.score_urls
+    monkeypatch.setattr(navigation, "score_urls", lambda df, **more: asked.append(df.count()) or plain(df, **more))
+    events = [(i, "http://g00gle-account.tk/verify?redirect=1", "nav", minute(11 * i)) for i in range(30)]
+    events += [(50, "https://www.google.com/", "nav", minute(3)), (51, "http://h:abc/", "nav", minute(4))]
+    stream = stream_of(spark, tmp_path, events, SCHEMA, 1)
+    navigation.scan_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    stored = spark.read.parquet(str(tmp_path / "out/history")).groupBy("verdict", "risk_score").count().collect()
+    assert {tuple(r) for r in stored} == {("PHISHING", 84.0, 30), ("SAFE", 0.0, 1), ("ERROR", 0.0, 1)}
+    assert asked == [3]
+
+
 def micros(spark, rows):
     return spark.createDataFrame(rows, "url string, at long")
 
